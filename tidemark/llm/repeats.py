@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 KEYS = "block int, bucket int, level int, n int, keys binary, twice binary"
-ANSWERS = "block int, bucket int, level int, bits binary"
+ANSWERS = "block int, bucket int, level int, bits binary, before binary"
 
 
 @dataclass(frozen=True)
@@ -84,10 +84,11 @@ def answers(keys: DataFrame, earlier: bool = False) -> DataFrame:
     """One bit for each key: does another block have it, or its own block twice?
 
     earlier: only blocks with a smaller number count, and repeats inside the block don't.
-    Rows without a set bit are left out."""
+    Column bits has the answer; column before tells in either case whether a block with
+    a smaller number has the key. Rows without a set bit are left out."""
 
     def compare(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("block", "bucket", "level", "bits")}
+        out: dict[str, list] = {k: [] for k in ("block", "bucket", "level", "bits", "before")}
         order = np.argsort(table["block"].to_numpy(), kind="stable")
         levels, blocks, sizes = (table[c].to_numpy() for c in ("level", "block", "n"))
         bucket = table["bucket"][0].as_py() if len(table) else 0
@@ -96,27 +97,29 @@ def answers(keys: DataFrame, earlier: bool = False) -> DataFrame:
             own = np.concatenate([unpack(table["keys"][i].as_py()) for i in rows])
             at = np.argsort(own, kind="stable")
             same = own[at[1:]] == own[at[:-1]]
-            found = np.zeros(len(own), bool)
-            found[at[1:][same]] = True
+            before = np.zeros(len(own), bool)
+            before[at[1:][same]] = True
+            found = before
             if not earlier:
+                found = before.copy()
                 found[at[:-1][same]] = True
             del own, at, same
             pos = 0
             for i in rows:
-                bits = found[pos : pos + sizes[i]]
+                bits, sooner = found[pos : pos + sizes[i]], before[pos : pos + sizes[i]]
                 pos += sizes[i]
                 if not earlier:
                     bits = bits | np.unpackbits(np.frombuffer(table["twice"][i].as_py(), np.uint8), count=sizes[i]).astype(bool)
                 if bits.any():
-                    for k, v in zip(out, (int(blocks[i]), bucket, int(level), np.packbits(bits).tobytes()), strict=True):
+                    for k, v in zip(out, (int(blocks[i]), bucket, int(level), np.packbits(bits).tobytes(), np.packbits(sooner).tobytes()), strict=True):
                         out[k].append(v)
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
     return keys.groupBy("bucket").applyInArrow(compare, ANSWERS)
 
 
-def flags(keys: np.ndarray, table: pa.Table, level: int, buckets: int) -> np.ndarray:
+def flags(keys: np.ndarray, table: pa.Table, level: int, buckets: int, column: str = "bits") -> np.ndarray:
     """For each of the block's keys of a level, in the order given, the bit that came back."""
     if not len(keys):
         return np.zeros(0, bool)
@@ -128,7 +131,7 @@ def flags(keys: np.ndarray, table: pa.Table, level: int, buckets: int) -> np.nda
     own = ordered[first]
     cuts = [0, *np.searchsorted(own, bounds(buckets)).tolist(), len(own)]
     bits = np.zeros(len(own), bool)
-    for b, at, blob in zip(table["bucket"].to_pylist(), table["level"].to_pylist(), table["bits"].to_pylist(), strict=True):
+    for b, at, blob in zip(table["bucket"].to_pylist(), table["level"].to_pylist(), table[column].to_pylist(), strict=True):
         if at == level:
             bits[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=cuts[b + 1] - cuts[b])
     out = np.empty(len(keys), bool)
