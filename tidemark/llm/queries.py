@@ -5,13 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substrings, suffixes
+from . import lines, quality, substrings, suffixes, urls
+
+HOST_RULES = (
+    urls.host_rule("allow", "com/"),
+    urls.host_rule("block", "example.com/en/"),
+    urls.host_rule("allow", "www.example.com/en/"),
+    urls.host_rule("block", "net/es/"),
+    urls.host_rule("block", "net/fr/"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), (*HOST_RULES, *urls.PATTERNS))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -23,8 +46,43 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": """
+        WITH pieces AS (
+            SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
+        ), keyed AS (
+            SELECT *, trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') AS trimmed FROM pieces
+        ), held AS (
+            SELECT trimmed, min(doc_id) AS first_id FROM keyed WHERE length(trimmed) >= 10 GROUP BY trimmed HAVING count(DISTINCT source) >= 8
+        ), marked AS (
+            SELECT k.doc_id, k.line, k.pos, coalesce(h.first_id <> k.doc_id, false) AS gone FROM keyed k LEFT JOIN held h ON k.trimmed = h.trimmed
+        ), kept AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed, CASE WHEN d.text IS NOT NULL THEN md5(k.text) END AS text_md5
+        FROM documents d LEFT JOIN kept k USING (doc_id)""",
+    "op4_url_filter": r"""
+        WITH rules(name, verdict, host, start) AS (VALUES
+            ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'), ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
+            ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')
+        ), rests AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parts AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+        ), best AS (
+            SELECT page_id, arg_max(r.name, length(r.name)) AS rule, arg_max(r.verdict, length(r.name)) AS verdict
+            FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.start) GROUP BY page_id
+        )
+        SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, CASE WHEN
+            regexp_matches(p.host, '^(.*\.)?(cheap-pills|spam-farm|adult-[a-z0-9]+|(online-)?casino(-[a-z0-9]+)*)\.')
+            OR regexp_matches(p.path, '/(viagra|cialis)([/._-]|$)') OR regexp_matches(p.path, '/wp-login\.php$') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM parts p LEFT JOIN best b USING (page_id)""",
+}
