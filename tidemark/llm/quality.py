@@ -112,6 +112,11 @@ def covered(rule: list[Test], rows: list, cuts: dict) -> tuple[int, int]:
     return sum(r[1] for r in held), sum(r[2] for r in held)
 
 
+def cell(feature: str, edges: list[float]) -> Column:
+    """How many of the cut values lie below the feature."""
+    return F.size(F.filter(F.array(*(F.lit(v) for v in edges)).cast("array<double>"), lambda v: v < F.col(feature))).alias(feature)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = 20_000, cuts: int = 32, rules: int = 8, tests: int = 3, precision: float = 0.97) -> list[list[Test]]:
     """An ordered list of rules for documents labelled 0 (bad).
 
@@ -128,8 +133,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     part = statistics(part).select("__id", "__label", *RATIOS).persist()
     try:
         grid = part.agg(*(F.percentile_approx(f, [(k + 0.5) / cuts for k in range(cuts)], 1000).alias(f) for f in RATIOS)).first()
-        edges = {f: sorted(set(grid[f] or [])) for f in RATIOS}
-        cells = [F.size(F.filter(F.array(*(F.lit(v) for v in edges[f])).cast("array<double>"), lambda v, f=f: v < F.col(f))).alias(f) for f in RATIOS]
+        edges = {f: (lambda v: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)])(sorted(set(grid[f] or []))) for f in RATIOS}
+        cells = [cell(f, edges[f]) for f in RATIOS]
         fold = (F.pmod(F.xxhash64("__id", F.lit(29)), F.lit(3)) == 0).alias("__fold")
         counts = part.groupBy(fold, *cells).agg(F.sum(1 - F.col("__label")).alias("__bad"), F.sum("__label").alias("__good")).collect()
     finally:
