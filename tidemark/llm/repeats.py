@@ -37,7 +37,7 @@ def layout(df: DataFrame, text: str, block_bytes: int, bucket_bytes: int, *more)
     row = df.agg(F.sum(F.octet_length(F.col(text))).alias("bytes"), *more).first()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = row["bytes"] or 0
-    return Layout(max(2 * parts, -(-total // block_bytes)), max(parts, -(-total // bucket_bytes))), list(row)[1:]
+    return Layout(max(parts, -(-total // block_bytes)), max(parts, -(-total // bucket_bytes))), list(row)[1:]
 
 
 def bounds(buckets: int) -> np.ndarray:
