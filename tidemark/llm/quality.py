@@ -140,16 +140,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     finally:
         part.unpersist()
     rows = {fold: [(tuple(r[f] for f in RATIOS), r["__bad"], r["__good"]) for r in counts if r["__fold"] == fold] for fold in (False, True)}
+
+    def worth(rule: list[Test], part: list) -> float:
+        bad, good = covered(rule, part, edges)
+        return (bad - good) / (bad + good) if bad + good else -1.0
+
+    def pure(rule: list[Test], parts: dict) -> bool:
+        bad, good = (sum(x) for x in zip(*(covered(rule, part, edges) for part in parts.values()), strict=True))
+        return bad >= precision * (bad + good)
+
     found: list[list[Test]] = []
     while len(found) < rules:
         rule = grow(rows[False], edges, tests)
-        worth = lambda r: (lambda p, n: (p - n) / (p + n) if p + n else -1.0)(*covered(r, rows[True], edges))
-        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
+        while len(rule) > 1 and worth(rule[:-1], rows[True]) >= worth(rule, rows[True]) and pure(rule[:-1], rows):
             rule = rule[:-1]
-        if not rule:
-            break
-        both = [sum(x) for x in zip(covered(rule, rows[False], edges), covered(rule, rows[True], edges), strict=True)]
-        if both[0] < max(3, 0.005 * sum(r[1] for k in rows for r in rows[k])) or both[0] < precision * sum(both):
+        if not pure(rule, rows):  # what holds on two thirds does not on all: grown again on all
+            rule = grow([r for part in rows.values() for r in part], edges, tests)
+        total = sum(r[1] for part in rows.values() for r in part)
+        if not rule or not pure(rule, rows) or sum(covered(rule, part, edges)[0] for part in rows.values()) < max(3, 0.005 * total):
             break
         found.append(rule)
         rows = {k: [r for r in v if not all(t.holds(r[0], edges) for t in rule)] for k, v in rows.items()}
