@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, quality, substrings, suffixes, urls, vectors
+from . import jaccard, languages, lines, packing, pieces, quality, substrings, suffixes, urls, vectors
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 HOST_RULES = (
     urls.host_rule("allow", "com/"),
@@ -20,6 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes with dropout and decodes again; lossless is checked row by row."""
+    docs, model = table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
+    ids = pieces.encode(docs.select("doc_id", "text"), model, seed=20240607, dropout=0.1)
+    out = pieces.decode(ids, model)
+    return out.select("doc_id", "n_ids", "ids_crc32", F.md5("text").alias("decoded_md5"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -34,6 +50,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts n-grams on remainders 0 and 1, calibrates on 3, holds out 2."""
+    docs = table(spark, sf_dir, "documents")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = languages.train(docs.where(rest != 2), "lang", calibrate=rest == 3)
+    out = languages.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -44,6 +69,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -54,11 +83,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_piece_dropout": op1_piece_dropout,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
