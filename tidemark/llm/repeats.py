@@ -33,11 +33,12 @@ class Layout:
 def layout(df: DataFrame, text: str, block_bytes: int, bucket_bytes: int, *more) -> tuple[Layout, list]:
     """Sizes from the total text length, at least what the session's shuffle width can use.
 
-    more: further aggregates that the same pass shall compute."""
+    Every block sends a row to every bucket, so buckets, which are cheap to compare, are
+    a quarter of the width at least. more: further aggregates that the same pass shall compute."""
     row = df.agg(F.sum(F.octet_length(F.col(text))).alias("bytes"), *more).first()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = row["bytes"] or 0
-    return Layout(max(parts, -(-total // block_bytes)), max(parts, -(-total // bucket_bytes))), list(row)[1:]
+    return Layout(max(parts, -(-total // block_bytes)), max(-(-parts // 4), -(-total // bucket_bytes))), list(row)[1:]
 
 
 def bounds(buckets: int) -> np.ndarray:
