@@ -13,17 +13,16 @@ LG_K = 12
 
 def line_key(line: Column, shortest: int) -> Column:
     """Hash of a line without outer blanks; null for lines too short to judge."""
-    trimmed = F.trim(F.translate(line, BLANKS[1:], " " * (len(BLANKS) - 1)))
-    return F.when(F.length(trimmed) >= shortest, F.xxhash64(trimmed, F.length(trimmed)))
+    trimmed = F.btrim(line, F.lit(BLANKS))
+    return F.when(F.length(trimmed) >= shortest, F.xxhash64(trimmed))
 
 
-def spread_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, sites: int, shortest: int) -> DataFrame:
+def spread_lines(lines: DataFrame, sites: int) -> DataFrame:
     """Keys of the lines found on `sites` distinct sites or more, and the smallest id that has each.
 
     Sketches of 2**12 registers err by 1.6 percent (one sigma); estimates within a
     fifth of the threshold, over ten sigma, are counted exactly. Both ways combine
     on the map side, so a line of a third of all rows is no hot key."""
-    lines = docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.explode(F.array_distinct(F.transform(F.split(text_col, "\n"), lambda x: line_key(x, shortest)))).alias("line")).where("line is not null")
     sketch = lines.groupBy("line").agg(F.hll_sketch_agg(F.coalesce(F.col("site"), F.lit("")), LG_K).alias("sketch"), F.max(F.col("site").isNull()).alias("unknown"), F.min("id").alias("first"))
     guess = saved(sketch.select("line", "first", (F.hll_sketch_estimate("sketch") - F.col("unknown").cast("int")).alias("n")).where(F.col("n") >= 0.8 * sites))
     near = guess.where(F.col("n") < 1.2 * sites).select("line")
@@ -40,12 +39,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the text shortened, and n_lines and n_removed. Null text: kept, both counts 0; null
     sites count for nothing; repeated rows are one document; a null id never is the first.
 
-    Plan: sketches by line hash, an exact count for the few lines near the threshold,
+    Plan: a table of line hashes (no text), sketches by line hash, an exact count for the few lines near the threshold,
     then each document meets the list of its own removed lines by id."""
-    held = saved(spread_lines(docs, id_col, text_col, site_col, sites, shortest))
-    keys = F.transform(F.split(text_col, "\n"), lambda x: line_key(x, shortest))
-    mine = docs.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(keys)).alias("line"))
-    gone = mine.join(held, "line").where(~F.col("__id").eqNullSafe(F.col("first"))).groupBy("__id").agg(F.collect_set("line").alias("__gone"))
+    keys = F.array_compact(F.transform(F.split(text_col, "\n"), lambda x: line_key(x, shortest)))
+    own = saved(docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.explode(F.array_distinct(keys)).alias("line")))
+    held = saved(spread_lines(own, sites))
+    gone = own.join(held, "line").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
     out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
     lines = F.split(text_col, "\n")
     left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__gone", line_key(x, shortest)), F.lit(False)))

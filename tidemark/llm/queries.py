@@ -100,7 +100,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH pieces AS (
             SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
         ), keyed AS (
-            SELECT *, trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') AS trimmed FROM pieces
+            SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS trimmed FROM pieces
         ), held AS (
             SELECT trimmed, min(doc_id) AS first_id FROM keyed WHERE length(trimmed) >= 10 GROUP BY trimmed HAVING count(DISTINCT source) >= 8
         ), marked AS (
