@@ -17,6 +17,7 @@ BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 WIDTH = 5
 RATIOS = ("words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "shout_share")
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RATIOS)
 
 
 def bound(value: Column, use) -> Column:
@@ -58,11 +59,13 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumns({"n_words": F.size("__w").cast("long"), "__n_lines": F.size("__l"), "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"), "__h": windows}).drop("__l", "__w")
     out = out.withColumn("n_repeat_words", repeated(F.col("__h")).cast("long")).drop("__h")
     c = F.col
-    return out.withColumns({
+    out = out.withColumns({
         "words": c("n_words").cast("double"), "word_length": share(c("word_chars"), c("n_words")), "symbol_share": share(c("n_symbols"), c("word_chars")),
         "dup_line_share": share(c("n_dup_lines"), c("__n_lines")), "repeat_share": share(c("n_repeat_words"), c("n_words")),
         "upper_share": share(c("__upper"), c("word_chars")), "digit_share": share(c("__digits"), c("word_chars")), "shout_share": share(c("__shout"), c("word_chars")),
-    }).drop("__chars", "__upper", "__digits", "__shout", "__n_lines")
+    })
+    # One row in, one out; it keeps Spark from repeating the statistics inside a later filter on them.
+    return out.select(*(c(x) for x in docs.columns if x not in STATISTICS), F.inline(F.array(F.struct(*STATISTICS))))
 
 
 @dataclass(frozen=True)

@@ -146,13 +146,14 @@ def narrow_again(block: Block, cells, bits: pa.Table, buckets: int):
     return span, core & ~(span & before)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 48) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 48, whole_characters: bool = False) -> DataFrame:
     """Removes each byte covered by a string of length bytes that also starts anywhere else.
 
     Texts are UTF-8 bytes; matches never cross documents; a repeat inside one document
     counts, overlapping ones too; strings are judged on the input, not on what is left.
     Returns the id, kept (binary: the remaining bytes), n_bytes, n_removed and spans
-    (maximal removed runs of bytes, end exclusive). A null text counts as empty; texts
+    (maximal removed runs of bytes, end exclusive). With whole_characters, a character
+    that loses a byte goes altogether, so that kept is valid UTF-8. A null text counts as empty; texts
     shorter than length keep all; repeated rows are copies of each other; ids only name
     rows, so null and repeated ids are allowed. Other columns are ignored. Equal strings
     are told by 64-bit hashes.
@@ -164,7 +165,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size, _ = repeats.layout(docs, "text", BLOCK_BYTES, BUCKET_BYTES)
     buckets, count = size.buckets, size.blocks
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64(F.coalesce("id", F.lit(-1)), F.octet_length("text")), F.lit(count)).cast("int"))
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(count)).cast("int"))
 
     def first(table: pa.Table) -> dict[int, np.ndarray]:
         return Block(table["text"], length, gram).runs()
@@ -194,6 +195,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for lo, hi in ((p.first[w], p.last[w]), (a[s], b[s]), (at[found], at[found])):
                 edge += np.bincount(lo + p.base, minlength=len(edge)) - np.bincount(hi + length + p.base, minlength=len(edge)) if len(lo) else 0
         gone = np.cumsum(edge[:-1]) > 0
+        if whole_characters:
+            character = np.cumsum((block.data & 0xC0) != 0x80)
+            gone = (np.bincount(character, gone) > 0)[character]
         removed = np.concatenate([[0], np.cumsum(gone)])
         at, to, rows = text.runs(gone, block.offsets)
         base = np.repeat(block.offsets[:-1], np.diff(rows))
