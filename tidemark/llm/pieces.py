@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import text
 
 U64 = np.uint64
-SPACE, CHUNK = "▁", 1 << 21
+SPACE, CHUNK = "▁", 1 << 19
 NONE = np.int64(1 << 62)
 
 
@@ -188,7 +188,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     within and between documents, and a rerun gives the same ids on any partitioning.
     A null text is null, an empty one has no ids. Every segmentation decodes to the text:
     letters in no piece, and the space mark itself, are spelled in byte pieces.
-    model: path that every executor can read. Narrow, about 2 MB of text at a time."""
+    model: path that every executor can read. Narrow, about half a MB of text at a time."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,16 +214,17 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
         for batch in batches:
-            lists = batch["ids"]
-            sizes = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
-            first, ids = np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().to_numpy()
-            data, offsets = decode_rows(table, ids.astype(np.int64), first)
-            raw = memoryview(ids.astype("<i4").tobytes())
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
-            texts = pa.Array.from_buffers(pa.string(), len(lists), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-            if lists.null_count:
-                texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
-            yield pa.RecordBatch.from_arrays([batch["id"], texts, pa.array(sizes), pa.array(crc, pa.int64())], ["id", "text", "n_ids", "ids_crc32"])
+            sizes = np.nan_to_num(np.asarray(batch["ids"].value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
+            for a, b in text.chunks(np.concatenate([[0], np.cumsum(sizes)]), CHUNK >> 2):
+                lists = batch["ids"][a:b]
+                first, ids = np.concatenate([[0], np.cumsum(sizes[a:b])]), lists.flatten().to_numpy()
+                data, offsets = decode_rows(table, ids.astype(np.int64), first)
+                raw = memoryview(ids.astype("<i4").tobytes())
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(first.tolist(), first[1:].tolist(), strict=False)]
+                texts = pa.Array.from_buffers(pa.string(), len(lists), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                if lists.null_count:
+                    texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([batch["id"][a:b], texts, pa.array(sizes[a:b]), pa.array(crc, pa.int64())], ["id", "text", "n_ids", "ids_crc32"])
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, f"id {kind}, text string, n_ids long, ids_crc32 long").withColumnRenamed("id", id_col)
