@@ -3,8 +3,9 @@
 Documents with equal shingle sets are one class. Classes are partitioned into small
 groups of similar documents (same least token, then linked inside the group). A row of
 the token-group matrix is a group's token union. A query document meets a group through
-a token of both prefixes; its overlap with the group's union bounds the similarity to
-every member, and only groups whose bound qualifies are opened and compared exactly.
+a token of both prefixes; its overlap with the group's union (first by counts of tokens
+in 256 hashed columns, then by the union itself) bounds the similarity to every member,
+and only groups whose bound qualifies are opened and compared exactly.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .components import components, roots
 from .shared import saved
 
 U64 = np.uint64
-CELLS, SLICE = 1 << 20, 1 << 16
+CELLS, SLICE, COLUMNS = 1 << 22, 1 << 16, 256
 GROUP, QUERIES, LEVELS, BROADCAST_IDS = 48, 256, 3, 500_000
 
 
@@ -46,13 +47,13 @@ def token_sets(column, width: int) -> list[np.ndarray]:
 
 
 def token_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents have tokens of each hash cell, over all documents; a fixed 4 MB."""
+    """How many documents have tokens of each hash cell, over all documents; a fixed 16 MB."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.int32)
         for batch in batches:
             for tokens in token_sets(batch["text"], width):
-                np.add.at(total, (tokens & U64(CELLS - 1)).astype(np.int64), 1)
+                np.add.at(total, tokens & U64(CELLS - 1), 1)
         parts = [(k, np.flatnonzero(total[k : k + SLICE])) for k in range(0, CELLS, SLICE)]
         parts = [(k, at) for k, at in parts if len(at)]
         yield pa.RecordBatch.from_arrays([
@@ -76,7 +77,7 @@ def token_counts(docs: DataFrame, width: int) -> np.ndarray:
 def levels_of(counts: np.ndarray) -> np.ndarray:
     """0 for cells of usual counts, then one more for each doubling: common tokens sort last."""
     usual = max(1.0, 2 * counts.mean())
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1, 0, 31).astype(U64)
+    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1, 0, 31).astype(np.uint8)
 
 
 def links_within(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +97,17 @@ def links_within(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
     return np.nonzero(np.triu(linked, 1))
 
 
+def columns_of(tokens: np.ndarray) -> bytes:
+    """Row of the coarse matrix: how many tokens fall into each of 256 columns (255: that or more)."""
+    return np.minimum(np.bincount((tokens >> U64(40) & U64(COLUMNS - 1)).astype(np.int64), minlength=COLUMNS), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bound on the overlap of two rows of counts; a full column bounds nothing."""
+    full = (a == 255).any(axis=1) | (b == 255).any(axis=1)
+    return np.where(full, np.int64(1) << 40, np.minimum(a, b).sum(axis=1, dtype=np.int64))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Columns id, n_shingles and component_id (smallest id reachable by links), one row per input row.
 
@@ -111,12 +123,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     level = levels_of(token_counts(docs, width))
     session = docs.sparkSession
-    held = session.sparkContext.broadcast(level)  # 8 MB at any input size
+    held = session.sparkContext.broadcast(level)  # 4 MB at any input size
     id_type = dict(docs.dtypes)["id"]
 
     def ranked(tokens: np.ndarray) -> np.ndarray:
         """Tokens as numbers in order of commonness, then hash."""
-        return np.sort((held.value[(tokens & U64(CELLS - 1)).astype(np.int64)] << U64(59)) | (tokens >> U64(5)))
+        return np.sort((held.value[tokens & U64(CELLS - 1)].astype(U64) << U64(59)) | (tokens >> U64(5)))
 
     def signature(tokens: np.ndarray) -> tuple[int, int]:
         return tuple(int(x.sum(dtype=U64).astype(np.int64)) for x in (text.mix(tokens), text.mix(tokens ^ U64(text.BASE))))
@@ -132,11 +144,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([
                 batch["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix]))),
-            ], ["id", "n", "s1", "s2", "prefix"])
+                pa.array([columns_of(s) for s in sets], pa.binary()),
+            ], ["id", "n", "s1", "s2", "prefix", "cols"])
 
-    described = saved(docs.mapInArrow(describe, f"id {id_type}, n long, s1 long, s2 long, prefix array<long>"))
+    described = saved(docs.mapInArrow(describe, f"id {id_type}, n long, s1 long, s2 long, prefix array<long>, cols binary"))
     sets = described.where("n > 0 and id is not null")
-    classes = saved(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix")).withColumn("key", F.col("prefix")[0]))
+    classes = saved(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("cols").alias("cols")).withColumn("key", F.col("prefix")[0]))
 
     def texts(wanted: DataFrame) -> DataFrame:
         """wanted (with column rep) and the texts of these documents."""
@@ -202,7 +215,44 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asks = tokens.select("token", "rep", F.col("comp").alias("own"), "n")
     groups = saved(groups)
     fits = (F.col("own") < F.col("comp")) & (percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n"))
-    pairs = saved(asks.join(groups, "token").where(fits).select("rep", "grp").distinct())
+    pairs = saved(asks.join(groups, "token").where(fits).select("rep", "n", "grp").distinct())
+
+    # Rows of the coarse matrix bound the overlap before any text moves.
+    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per group; rows come sorted by group, and a group may go on in the next batch."""
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grp, n = batch["grp"].to_numpy(), batch["n"].to_numpy()
+            rows = np.frombuffer(b"".join(batch["cols"].to_pylist()), np.uint8).reshape(-1, COLUMNS)
+            low = high = n
+            if held:
+                grp, rows = np.concatenate([held[0], grp]), np.concatenate([held[1], rows])
+                low, high = np.concatenate([held[2], n]), np.concatenate([held[3], n])
+            heads = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
+            out = grp[heads], np.maximum.reduceat(rows, heads), np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads)
+            held = tuple(x[-1:] for x in out)
+            yield matrix_rows(*(x[:-1] for x in out))
+        if held:
+            yield matrix_rows(*held)
+
+    def matrix_rows(grp, rows, low, high) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(grp), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(low), pa.array(high)], ["grp", "row", "low", "high"])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                mine, row = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, COLUMNS) for c in ("cols", "row"))
+                n, low, high = (batch[c].to_numpy() for c in ("n", "low", "high"))
+                most = np.minimum(most_shared(mine, row), np.minimum(n, high))
+                other = np.maximum(low, most)  # the member size that fits best
+                yield batch.filter(pa.array(100 * most >= percent * (n + other - most))).select(["rep", "grp"])
+
+    matrix = placed.join(pairs.select("grp").distinct(), "grp", "left_semi").select("grp", "n", "cols")
+    matrix = matrix.repartition("grp").sortWithinPartitions("grp").mapInArrow(widest, "grp long, row binary, low long, high long")
+    asked = pairs.join(classes.select("rep", "cols"), "rep").join(saved(matrix), "grp")
+    pairs = saved(asked.mapInArrow(bounded, f"rep {id_type}, grp long"))
     parts = saved(pairs.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("parts")))
     queries = pairs.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(19)), F.col("parts"))).drop("parts").withColumn("member", F.lit(False))
     inside = placed.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("rep", "grp", "part", F.lit(True).alias("member"))
@@ -233,6 +283,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = near.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(saved(more))
     final = components(found)
     known = saved(classes.join(final, classes["rep"] == final["id"], "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")))
-    linked = described.withColumn("m", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("n"))).drop("prefix")
+    linked = described.withColumn("m", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("n"))).drop("prefix", "cols")
     out = linked.join(known.withColumnRenamed("n", "m"), ["s1", "s2", "m"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
