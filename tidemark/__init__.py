@@ -1,0 +1 @@
+"""Calendar-driven incremental ingest of daily market tables, on Spark."""
