@@ -29,7 +29,7 @@ def manifest(spark: SparkSession, head: dict[str, Any], totals: DataFrame) -> Da
 
 
 def write_manifest(row: DataFrame, root: str) -> str:
-    """Writes manifests/run=<time> under root and returns its path."""
-    path = f"{root}/manifests/run={datetime.now(UTC):%Y%m%dT%H%M%S%fZ}"
+    """Writes _manifests/run=<time> under root (the underscore hides it from scans of the table) and returns its path."""
+    path = f"{root}/_manifests/run={datetime.now(UTC):%Y%m%dT%H%M%S%fZ}"
     row.coalesce(1).write.option("ignoreNullFields", False).json(path)
     return path
