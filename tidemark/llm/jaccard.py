@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents with equal shingle sets are one class. Classes are partitioned into small
-groups of similar documents (same least token, then linked inside the group). A row of
+groups of similar documents (a least token in common, then linked inside the group). A row of
 the token-group matrix is a group's token union. A query document meets a group through
 a token of both prefixes; its overlap with the group's union (first by counts of tokens
 in 256 hashed columns, then by the union itself) bounds the similarity to every member,
@@ -24,7 +24,7 @@ from .shared import saved
 
 U64 = np.uint64
 CELLS, SLICE, COLUMNS = 1 << 22, 1 << 16, 256
-GROUP, QUERIES, LEVELS, BROADCAST_IDS = 48, 256, 3, 500_000
+GROUP, QUERIES, LEVELS, KEYS, BROADCAST_ROWS = 48, 256, 3, 3, 500_000
 
 
 def token_sets(column, width: int) -> list[np.ndarray]:
@@ -130,6 +130,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """Tokens as numbers in order of commonness, then hash."""
         return np.sort((held.value[tokens & U64(CELLS - 1)].astype(U64) << U64(59)) | (tokens >> U64(5)))
 
+    def least(tokens: np.ndarray, k: int) -> int:
+        """Least token under the k-th hash, rare ones first: equal with the chance of the similarity."""
+        order = held.value[tokens & U64(CELLS - 1)].astype(U64) << U64(59) | text.mix(tokens ^ U64(k)) >> U64(5)
+        return int(text.mix(order.min(keepdims=True) ^ U64(k)).view(np.int64)[0])
+
     def signature(tokens: np.ndarray) -> tuple[int, int]:
         return tuple(int(x.sum(dtype=U64).astype(np.int64)) for x in (text.mix(tokens), text.mix(tokens ^ U64(text.BASE))))
 
@@ -144,16 +149,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([
                 batch["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix]))),
-                pa.array([columns_of(s) for s in sets], pa.binary()),
-            ], ["id", "n", "s1", "s2", "prefix", "cols"])
+                pa.array([columns_of(s) for s in sets], pa.binary()), pa.array([[least(s, k) for k in range(1, KEYS + 1)] if len(s) else [] for s in sets], pa.list_(pa.int64())),
+            ], ["id", "n", "s1", "s2", "prefix", "cols", "keys"])
 
-    described = saved(docs.mapInArrow(describe, f"id {id_type}, n long, s1 long, s2 long, prefix array<long>, cols binary"))
+    described = saved(docs.mapInArrow(describe, f"id {id_type}, n long, s1 long, s2 long, prefix array<long>, cols binary, keys array<long>"))
     sets = described.where("n > 0 and id is not null")
-    classes = saved(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("cols").alias("cols")).withColumn("key", F.col("prefix")[0]))
+    classes = saved(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("cols").alias("cols"), F.first("keys").alias("keys")))
 
     def texts(wanted: DataFrame) -> DataFrame:
         """wanted (with column rep) and the texts of these documents."""
-        few = wanted.select("rep").distinct().limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         return docs.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("rep")).drop("id")
 
     def dealt(rows: DataFrame, by: str, size: int) -> DataFrame:
@@ -178,7 +183,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table({"key": table["key"], "rep": table["rep"], "leader": table["rep"].take(pa.array(root)), "s1": table["s1"], "s2": table["s2"], "parts": table["parts"], "tokens": pa.array(sent, pa.binary())})
 
     links = []
-    members = texts(saved(dealt(classes.select("key", "rep", "s1", "s2"), "key", GROUP)))
+    members = texts(saved(dealt(classes.select(F.explode("keys").alias("key"), "rep", "s1", "s2"), "key", GROUP)))
     for _ in range(LEVELS):  # leaders of a key's parts meet again; what stays apart is left to the matrix
         out = saved(members.groupBy("key", "part").applyInArrow(link, grouped))
         links.append(out.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")))
@@ -189,10 +194,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = components(reduce(DataFrame.unionByName, links))
 
     # The matrix: every class with its component so far; a group is a bounded part of a component.
-    placed = classes.join(near, classes["rep"] == near["id"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("id", "component", "key")
+    placed = classes.join(near, classes["rep"] == near["id"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("id", "component", "keys")
     placed = saved(placed)
-    sizes = saved(placed.groupBy("comp").agg(F.ceil(F.count("*") / GROUP).alias("parts")).where("parts > 1"))
-    placed = placed.join(sizes, "comp", "left").withColumn("grp", F.xxhash64("comp", F.pmod(F.xxhash64("rep", F.lit(13)), F.coalesce("parts", F.lit(1))))).drop("parts")
+    sizes = saved(placed.groupBy("comp").agg(F.count("*").alias("weight")))
+    place = F.pmod(F.xxhash64("rep", F.lit(13)), F.ceil(F.col("weight") / GROUP))
+    placed = placed.join(sizes, "comp").withColumn("grp", F.xxhash64("comp", place))
     size, _ = repeats.layout(described.select(F.lit("x" * 8).alias("x"), F.explode("prefix")), "x", 4 << 20, 16 << 20)
     blocks = placed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(size.blocks)).cast("int"))
 
@@ -204,17 +210,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tokens = column.flatten().to_numpy()
         found = repeats.flags(tokens.view(U64), bits, 0, size.buckets)
         row = pa.array(np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())[found])
-        return pa.table({"token": pa.array(tokens[found])} | {c: table[c].take(row) for c in ("rep", "comp", "grp", "n")})
+        return pa.table({"token": pa.array(tokens[found])} | {c: table[c].take(row) for c in ("rep", "comp", "weight", "grp", "n")})
 
     bits = repeats.answers(repeats.send(blocks, prefix_keys, size))
-    schema = f"token long, rep {id_type}, comp {id_type}, grp long, n long"
+    schema = f"token long, rep {id_type}, comp {id_type}, weight long, grp long, n long"
     tokens = saved(blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(shared_tokens, schema))
     across = saved(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
     tokens = saved(tokens.join(across, "token"))
-    groups = tokens.groupBy("token", "grp", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asks = tokens.select("token", "rep", F.col("comp").alias("own"), "n")
+    groups = tokens.groupBy("token", "grp", "comp", "weight").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    asks = tokens.select("token", "rep", F.col("comp").alias("own"), F.col("weight").alias("mine"), "n")
     groups = saved(groups)
-    fits = (F.col("own") < F.col("comp")) & (percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n"))
+    # The smaller component asks: few queries against many groups, not many against few.
+    asking = F.struct("mine", "own") < F.struct(F.col("weight").alias("mine"), F.col("comp").alias("own"))
+    fits = asking & (percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n"))
     pairs = saved(asks.join(groups, "token").where(fits).select("rep", "n", "grp").distinct())
 
     # Rows of the coarse matrix bound the overlap before any text moves.
@@ -283,6 +291,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = near.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(saved(more))
     final = components(found)
     known = saved(classes.join(final, classes["rep"] == final["id"], "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")))
-    linked = described.withColumn("m", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("n"))).drop("prefix", "cols")
+    linked = described.withColumn("m", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("n"))).drop("prefix", "cols", "keys")
     out = linked.join(known.withColumnRenamed("n", "m"), ["s1", "s2", "m"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
