@@ -33,7 +33,7 @@ def in_order(docs: DataFrame, id_col: str, blocks: int, knots: list) -> DataFram
         low, high = F.try_element_at(at, block + 1), F.try_element_at(at, block + 2)
         part = F.floor((F.col("__id") - low) / (high - low) * sub)
         block = block * sub + F.coalesce(F.greatest(F.lit(0), F.least(F.lit(sub - 1), part)), F.lit(0))
-    return out.withColumn("block", block.cast("int")).drop("__id", "__range")
+    return out.withColumn("block", F.coalesce(block.cast("int"), F.lit(2**31 - 1))).drop("__id", "__range")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
