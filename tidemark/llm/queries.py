@@ -127,4 +127,33 @@ ORACLE_SQL: dict[str, str] = {
             regexp_matches(p.host, '^(.*\.)?(cheap-pills|spam-farm|adult-[a-z0-9]+|(online-)?casino(-[a-z0-9]+)*)\.')
             OR regexp_matches(p.path, '/(viagra|cialis)([/._-]|$)') OR regexp_matches(p.path, '/wp-login\.php$') THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts p LEFT JOIN best b USING (page_id)""",
+    "op2_jaccard_join": r"""
+        WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM texts WHERE len(w) > 0
+        ), grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM starts
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+        ), shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS inter FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (SELECT u, v FROM shared JOIN sizes x ON u = x.doc_id JOIN sizes y ON v = y.doc_id WHERE 100 * inter >= 85 * (x.n + y.n - inter)
+        ), reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.v FROM reach r JOIN links l ON r.b = l.u
+        ), comps AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d JOIN comps c ON d.doc_id = c.a LEFT JOIN sizes s USING (doc_id)""",
+    "op9_near_dedup": r"""
+        WITH RECURSIVE good AS MATERIALIZED (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS MATERIALIZED (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 ELSE false END
+        ), reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.v FROM reach r JOIN links l ON r.b = l.u
+        ), comps AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), degrees AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+        SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN comps c ON e.vec_id = c.a LEFT JOIN degrees d ON e.vec_id = d.u""",
+    "op10_substring_dedup": r"""
+        WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM texts WHERE len(w) >= 13
+        ), windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM starts
+        ), firsts AS (SELECT k, min(doc_id) AS first_id FROM windows GROUP BY k
+        ), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (k) WHERE first_id < doc_id
+        ), lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+        ), kept AS (SELECT t.doc_id, t.w, coalesce(len(l.ps), 0) AS n_removed, CASE WHEN l.ps IS NULL THEN t.w ELSE (SELECT coalesce(list(t.w[j] ORDER BY j), []) FROM (SELECT unnest(range(1, len(t.w) + 1)) AS j) WHERE NOT list_contains(l.ps, j)) END AS rest
+            FROM texts t LEFT JOIN lost l USING (doc_id))
+        SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept""",
 }
