@@ -217,13 +217,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = saved(blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(shared_tokens, schema))
     across = saved(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
     tokens = saved(tokens.join(across, "token"))
-    groups = tokens.groupBy("token", "grp", "comp", "weight").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asks = tokens.select("token", "rep", F.col("comp").alias("own"), F.col("weight").alias("mine"), "n")
-    groups = saved(groups)
-    # The smaller component asks: few queries against many groups, not many against few.
+    # Components that share a prefix token, then the small one's documents with the other's groups.
+    sharing = saved(tokens.groupBy("token", "comp", "weight").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    asks = sharing.select("token", F.col("comp").alias("own"), F.col("weight").alias("mine"), F.col("least").alias("low"), F.col("most").alias("high"))
     asking = F.struct("mine", "own") < F.struct(F.col("weight").alias("mine"), F.col("comp").alias("own"))
-    fits = asking & (percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n"))
-    pairs = saved(asks.join(groups, "token").where(fits).select("rep", "n", "grp").distinct())
+    fits = asking & (percent * F.col("low") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("high"))
+    meeting = saved(asks.join(sharing, "token").where(fits).select("own", "comp").distinct())
+    groups = saved(placed.groupBy("comp", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    asks = saved(meeting.join(placed.select(F.col("comp").alias("own"), "rep", "n"), "own"))
+    fits = (percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n"))
+    pairs = saved(asks.join(groups, "comp").where(fits).select("rep", "n", "grp").distinct())
 
     # Rows of the coarse matrix bound the overlap before any text moves.
     def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
