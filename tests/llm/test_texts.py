@@ -217,3 +217,31 @@ def test_pieces(table, documents):
     varied = pieces.encode(table(rows), MODEL, seed=9, dropout=0.3).collect()
     assert sum(a["ids"] != b["ids"] for a, b in zip(other, varied, strict=True)) > 50
     assert pieces.encode(table([]), MODEL).count() == 0
+
+
+def test_every_occurrence_has_its_own_coins(table):
+    word, model = "internationalization", pieces.pieces(MODEL)
+    rows = [(k, word) for k in range(400)] + [(900, f"{word} " * 400)]
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(table(rows), MODEL, seed=9, dropout=0.5).collect()}
+    assert len({tuple(got[k]) for k in range(400)}) > 100
+    begins = [k for k, i in enumerate(got[900]) if model.bytes[model.starts[i]] == 0x20]
+    parts = {tuple(got[900][a:b]) for a, b in zip(begins, begins[1:], strict=False)}
+    assert len(begins) >= 400 and len(parts) > 100
+
+
+def test_words_with_kept_merges_are_the_plain_ones(monkeypatch):
+    """All words of a text by one heap each, with the keys that the encoder used."""
+    model, body = pieces.pieces(MODEL), " ".join(f"{w} the of" for w in ("international", "Wirtschaft", "x", "over") * 30)
+    seen, coin = {}, pieces.skipped
+    monkeypatch.setattr(pieces, "skipped", lambda keys, *a: (seen.setdefault("keys", []).append(keys), coin(keys, *a))[1])
+    data = np.frombuffer(body.encode(), np.uint8)
+    ids, _ = pieces.encode_rows(model, data, np.array([0, len(data)]), np.array([77], np.uint64), 5, 0.1)
+    keys = list(dict.fromkeys(k for k in seen["keys"][0].tolist()))  # words with a merge, in order
+    words = [" " + w for w in body.split()]
+    symbols = [model.of_letters(np.array([ord(c) for c in w])).tolist() for w in words]
+    plain = [one_heap(model, s, 0, 0.0) for s in symbols]
+    some = [k for k, (s, t) in enumerate(zip(symbols, plain, strict=True)) if len(t) < len(s)]
+    assert len(some) == len(keys) and len(set(keys)) == len(keys)
+    for k, key in zip(some, keys, strict=True):
+        plain[k] = one_heap(model, symbols[k], key, 0.1)
+    assert ids.tolist() == [i for t in plain for i in t]

@@ -1,9 +1,9 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Candidate merges wait in an agenda, best score first, then leftmost. When a candidate's
-turn comes, a keyed hash of the seed, the word's variant and the candidate's span
-decides whether it is skipped. Words are encoded many at a time: each round takes the
-top of every word's agenda at once, so the result is that of one heap per word.
+turn comes, a keyed hash of the seed, the row's id, the word's place and the candidate's
+span decides whether it is skipped. Words are encoded many at a time: each round takes
+the top of every word's agenda at once, so the result is that of one heap per word.
 """
 
 from __future__ import annotations
@@ -79,8 +79,10 @@ def skipped(keys: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.nda
     return (mark >> U64(11)).astype(float) < dropout * float(1 << 53)
 
 
-def agenda_rounds(model: Pieces, symbols: np.ndarray, first: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Final symbols of all words, and each word's first. first: word bounds in symbols; keys: of words."""
+def agenda_rounds(model: Pieces, symbols: np.ndarray, first: np.ndarray, keys: np.ndarray, dropout: float, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Final symbols of all words, and each word's first. first: word bounds in symbols; keys: of words.
+
+    merges: takes (word, start, middle, end) of every merge made."""
     word = np.repeat(np.arange(len(first) - 1), np.diff(first))
     start = np.arange(len(symbols)) - first[word]
     end = start + 1
@@ -102,6 +104,8 @@ def agenda_rounds(model: Pieces, symbols: np.ndarray, first: np.ndarray, keys: n
             done.append((word[~busy], start[~busy], symbols[~busy]))
         take = np.flatnonzero(order == np.repeat(top, np.diff(np.append(heads, len(symbols))))) if len(live) else live
         take = take[order[take] < NONE]
+        if merges is not None:
+            merges.append((word[take], start[take], end[take], end[take + 1]))
         symbols[take] = model.result[at[take]]
         end[take] = end[take + 1]
         busy[take + 1] = False
@@ -120,7 +124,7 @@ def gather(bounds: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(begin[-1]) + np.repeat(bounds[:-1][picks] - begin[:-1], sizes), begin
 
 
-def encode_rows(model: Pieces, data: np.ndarray, offsets: np.ndarray, names: np.ndarray, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_rows(model: Pieces, data: np.ndarray, offsets: np.ndarray, names: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows and each row's first id."""
     rows = len(offsets) - 1
     lengths = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
@@ -138,13 +142,29 @@ def encode_rows(model: Pieces, data: np.ndarray, offsets: np.ndarray, names: np.
     word = text.span_hash(prefix, begin, stop)
     own = row[begin]
     turn = np.arange(len(begin)) - np.searchsorted(own, own)
-    variant = text.mix(text.mix(names[own] ^ U64(seed)) + turn.astype(U64)) % U64(variants) if dropout > 0 else np.zeros(len(begin), U64)
-    key = text.mix(word + text.mix(variant + U64(seed) * U64(2) + U64(1)))
-    _, example, which = np.unique(key, return_index=True, return_inverse=True)
-    spans = np.concatenate([[0], np.cumsum((stop - begin)[example])])
-    at = np.arange(spans[-1]) + np.repeat(begin[example] - spans[:-1], np.diff(spans))
+    _, example, which = np.unique(word, return_index=True, return_inverse=True)
+
+    def laid(picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the letters of the picked words, and where each begins."""
+        begins = np.concatenate([[0], np.cumsum((stop - begin)[picks])])
+        return np.arange(begins[-1]) + np.repeat(begin[picks] - begins[:-1], np.diff(begins)), begins
+
+    at, spans = laid(example)
     letters, values = symbol[at], points[at]
-    known, first = agenda_rounds(model, np.where(letters < 0, 0, letters), spans, key[example], dropout)
+    merges: list[tuple] = []
+    known, first = agenda_rounds(model, np.where(letters < 0, 0, letters), spans, np.zeros(len(example), U64), 0.0, merges if dropout > 0 else None)
+    if merges:
+        # An occurrence whose coins keep all merges of the plain word ends like it; any other has an agenda of its own.
+        key = text.mix(word + text.mix(text.mix(names[own] ^ U64(seed)) + turn.astype(U64)))
+        owner, *span = (np.concatenate([m[k] for m in merges]) for k in range(4))
+        order = np.argsort(owner, kind="stable")
+        at, ends = gather(np.searchsorted(owner[order], np.arange(len(example) + 1)), which)
+        at, turns = order[at], np.repeat(np.arange(len(which)), np.diff(ends))
+        varied = np.unique(turns[skipped(key[turns], *(x[at] for x in span), dropout)])
+        at, begins = laid(varied)
+        other, bounds = agenda_rounds(model, symbol[at], begins, key[varied], dropout)
+        which[varied] = len(example) + np.arange(len(varied))
+        known, first = np.concatenate([known, other]), np.concatenate([first, bounds[1:] + len(known)])
     # A word of one unknown letter, and letters left over that are no piece, become bytes.
     lone = np.flatnonzero(letters[spans[:-1]] < 0) if len(example) else np.zeros(0, np.int64)
     spelled = [np.zeros(0, np.int64)]
@@ -180,11 +200,11 @@ def decode_rows(model: Pieces, ids: np.ndarray, first: np.ndarray) -> tuple[np.n
     return data[keep], total[offsets]
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, dropout: float = 0.0, variants: int = 16) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, dropout: float = 0.0) -> DataFrame:
     """The id and `ids` (array of int) of every row; without dropout as the library encodes.
 
-    dropout: the chance that a candidate merge is skipped. The seed, the row's id and the
-    word's place choose one of `variants` segmentations of the word, so equal words differ
+    dropout: the chance that a candidate merge is skipped. Every occurrence of a word has
+    coins of its own, by the seed, the row's id and the word's place, so equal words differ
     within and between documents, and a rerun gives the same ids on any partitioning.
     A null text is null, an empty one has no ids. Every segmentation decodes to the text:
     letters in no piece, and the space mark itself, are spelled in byte pieces.
@@ -197,7 +217,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             data, offsets = text.utf8(batch["text"])
             names = batch["name"].to_numpy().view(U64)
             for a, b in text.chunks(offsets, CHUNK):
-                ids, first = encode_rows(table, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], names[a:b], seed, dropout, variants)
+                ids, first = encode_rows(table, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], names[a:b], seed, dropout)
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))
                 lists = lists if not batch["text"].null_count else pa.array([None if t is None else x for t, x in zip(batch["text"][a:b].to_pylist(), lists.to_pylist(), strict=True)], lists.type)
                 yield pa.RecordBatch.from_arrays([batch["id"][a:b], lists], ["id", "ids"])
