@@ -33,11 +33,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the smallest id stays.
-
-    Rows with equal ids are one document; rows with a null id, and empty texts, stay."""
-    groups = jaccard.jaccard_join(docs, width=5, percent=80)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five words, 0.8) the row with the smallest id stays, null ids last.
+
+    Every row is a document of its own, also if ids repeat or are null. Texts without a word stay."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        groups = jaccard.jaccard_join(docs, width=5, percent=80)
+        return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    keyed = saved(docs.withColumn("row_key", F.monotonically_increasing_id()))  # saved, so that keys are the same in every job
+    groups = jaccard.jaccard_join(keyed, id_col="row_key", width=5, percent=80)
+    rows = keyed.select("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row_key").alias("place"))
+    places = saved(groups.join(rows, "row_key").select("row_key", "component_id", "place"))
+    first = places.groupBy("component_id").agg(F.min("place")["row_key"].alias("row_key"))
+    return keyed.join(first.select("row_key"), "row_key", "left_semi").select(*docs.columns)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -101,3 +101,19 @@ def test_run_and_odd_documents(spark, stages):
         assert docs.count() >= 0
     for _, stage in corpus_pipeline.STAGES[1:]:  # rows that the quality stage would have taken out
         assert stage(spark, odd, DIR).count() >= 5
+
+
+def test_repeated_rows_keep_one_text(spark, stages):
+    schema = stages[0][1].schema
+    body = lambda seed: " ".join(f"{seed}{k}" for k in range(70))
+    rows = [(1, body("a")), (1, body("a")), (2, body("b")), (2, body("c")), (None, body("d")), (None, body("d")), (None, body("a")), (None, body("e")), (3, body("c")), (4, body("f")), (5, body("f")), (6, None), (7, "")]
+    assert all(len(t) >= 200 for _, t in rows if t)
+    odd = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)], schema)
+    near = corpus_pipeline.saved(corpus_pipeline.near_stage(spark, odd, DIR))
+    want = [(1, body("a")), (2, body("b")), (2, body("c")), (None, body("d")), (None, body("e")), (4, body("f")), (6, None), (7, "")]
+    assert near.columns == odd.columns
+    assert Counter((r["doc_id"], r["text"]) for r in near.collect()) == Counter(want)
+    left = corpus_pipeline.passage_stage(spark, near, DIR)
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(want)
+    for order in (odd.orderBy("source"), odd.repartition(5)):
+        assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_stage(spark, order, DIR).collect()) == Counter(want)
