@@ -245,3 +245,18 @@ def test_words_with_kept_merges_are_the_plain_ones(monkeypatch):
     for k, key in zip(some, keys, strict=True):
         plain[k] = one_heap(model, symbols[k], key, 0.1)
     assert ids.tolist() == [i for t in plain for i in t]
+
+
+@pytest.mark.parametrize("most", [0, 400])
+def test_languages_in_tables_are_the_same(spark, documents, most):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "lang").limit(80)
+    few = spark.createDataFrame([(9000, "qvyx zzuq wqx qvyx", "xx"), (9001, "漢字 かな 한글 🙂", "yy"), (9002, None, "en"), (9003, "", None)], docs.schema)
+    docs = docs.unionByName(few)
+    want, got = (languages.train(docs, "lang", calibrate=docs["doc_id"] % 3 == 1, most_grams=n) for n in (4_000_000, most))
+    assert want.tables is None and got.tables is not None and got.names == want.names and len(got.hashes) <= 4 * most
+    assert (got.sharpness, got.least, got.most_entropy) == pytest.approx((want.sharpness, want.least, want.most_entropy))
+    odd = spark.createDataFrame([(9004, "qvyx zzuq", None), (9005, "Привет ŵ", None), (9006, "12 !", None), (9006, "12 !", None), (None, "the zzuq", None)], docs.schema)
+    rows = [{(r["doc_id"], r["text"]): r for r in languages.predict(docs.unionByName(odd), m).collect()} for m in (want, got)]
+    assert rows[0].keys() == rows[1].keys() and rows[1][9004, "qvyx zzuq"]["lang_pred"] == "xx"
+    for key, r in rows[0].items():
+        assert (rows[1][key]["lang_pred"], rows[1][key]["rejected"]) == (r["lang_pred"], r["rejected"]) and rows[1][key]["score"] == pytest.approx(r["score"])
