@@ -260,3 +260,12 @@ def test_languages_in_tables_are_the_same(spark, documents, most):
     assert rows[0].keys() == rows[1].keys() and rows[1][9004, "qvyx zzuq"]["lang_pred"] == "xx"
     for key, r in rows[0].items():
         assert (rows[1][key]["lang_pred"], rows[1][key]["rejected"]) == (r["lang_pred"], r["rejected"]) and rows[1][key]["score"] == pytest.approx(r["score"])
+
+
+def test_only_the_draw_is_kept_from_counting(spark):
+    rows = [(k, f"word{chr(97 + k % 26)}{chr(97 + k // 26)} here", "aa") for k in range(200)] + [(k, "zzuq vrrm", "zz") for k in range(201, 204)]
+    docs = spark.createDataFrame([*rows, (300, "one more", "bb")], "doc_id long, text string, lang string")
+    held = (docs["doc_id"] > 0) & (docs["doc_id"] < 210)
+    model, every = languages.train(docs, "lang", calibrate=held, sample=20), languages.train(docs, "lang")
+    assert model.names == ["aa", "bb", "zz"] and len(model.hashes) > 0.7 * len(every.hashes)
+    assert languages.predict(docs, model).where("lang = 'zz' and lang_pred = 'zz'").count() == 3

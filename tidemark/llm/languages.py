@@ -217,12 +217,17 @@ def count_grams(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, label_col: str, text_col: str = "text", calibrate: Column | None = None, most_grams: int = 4_000_000, sample: int = 4000) -> Model | None:
     """Models for all labels, from all rows with a label and a text; None without such rows.
 
-    calibrate: which rows to keep from counting and to calibrate on instead, of which
-    at most about `sample` are used. Up to most_grams (label, 4-gram) rows, and four
+    calibrate: which rows to draw about `sample` from at most, to calibrate on; all others
+    are counted. A label whose rows are all marked is counted only. Up to most_grams (label, 4-gram) rows, and four
     times as many probabilities, the models are arrays that every task holds; beyond that
     they are tables, all counts included, and only the most frequent grams are held."""
-    rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), (F.lit(False) if calibrate is None else calibrate).alias("held")).where("label is not null and text is not null")
-    counts = count_grams(rows.where(~F.col("held")).select("label", "text")).persist()
+    rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.coalesce(F.lit(False) if calibrate is None else calibrate, F.lit(False)).alias("held")).where("label is not null and text is not null")
+    drawn = F.lit(False)
+    if calibrate is not None:
+        sizes = rows.groupBy("label").agg(F.count("*"), F.count_if("held")).collect()  # a row per label
+        share = min(1.0, sample / max(1, sum(r[2] for r in sizes)))
+        drawn = F.col("held") & ~F.col("label").isin([r[0] for r in sizes if r[1] == r[2]]) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = count_grams(rows.where(~drawn).select("label", "text")).persist()
     try:
         size, kinds, names = counts.count(), counts.select("gram").distinct().count(), sorted(r[0] for r in counts.select("label").distinct().collect())
         if not names:
@@ -240,7 +245,7 @@ def train(docs: DataFrame, label_col: str, text_col: str = "text", calibrate: Co
     finally:
         counts.unpersist()
     if calibrate is not None:
-        fit(model, rows.where("held"), sample)
+        fit(model, rows.where(drawn).select("label", "text"))
     return model
 
 
@@ -306,10 +311,8 @@ def with_entropies(docs: DataFrame, model: Model, text_col: str, finish, schema)
     return (docs if model.tables is None else with_rest(docs, held, model, text_col)).mapInArrow(run, schema)
 
 
-def fit(model: Model, rows: DataFrame, sample: int) -> None:
-    """Sharpness by likelihood on held rows; bounds that reject half a percent of the right ones each."""
-    share = min(1.0, sample / max(1, rows.count()))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("label", "text")
+def fit(model: Model, drawn: DataFrame) -> None:
+    """Sharpness by likelihood on the drawn rows; bounds that reject half a percent of the right ones each."""
 
     def finish(model: Model, columns: list, entropy: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[0], pa.array(list(entropy), pa.list_(pa.float64())), pa.array(letters)], ["label", "entropy", "letters"])
