@@ -269,3 +269,11 @@ def test_only_the_draw_is_kept_from_counting(spark):
     model, every = languages.train(docs, "lang", calibrate=held, sample=20), languages.train(docs, "lang")
     assert model.names == ["aa", "bb", "zz"] and len(model.hashes) > 0.7 * len(every.hashes)
     assert languages.predict(docs, model).where("lang = 'zz' and lang_pred = 'zz'").count() == 3
+
+
+def test_copies_of_a_text_are_drawn_one_by_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "the same words in every row", "en") for k in range(3000)], "doc_id long, text string, lang string")
+    drawn = []
+    monkeypatch.setattr(languages, "fit", lambda model, rows, *_: drawn.append(rows.count()))
+    languages.train(docs, "lang", calibrate=docs["doc_id"] % 3 > 0, sample=200)
+    assert 120 < drawn[0] < 280
