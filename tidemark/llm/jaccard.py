@@ -1,11 +1,14 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with equal shingle sets are one class. Classes are partitioned into small
-groups of similar documents (a least token in common, then linked inside the group). A row of
-the token-group matrix is a group's token union. A query document meets a group through
-a token of both prefixes; its overlap with the group's union (first by counts of tokens
-in 256 hashed columns, then by the union itself) bounds the similarity to every member,
-and only groups whose bound qualifies are opened and compared exactly.
+Documents with equal shingle sets are one class. A token of one class only is shared
+with nothing, so a class with too many of them can't be similar to any other: two exact
+counts by token, first of a sample of the hash range and then of what is left, settle
+most classes. The others are partitioned into groups of similar documents (a least token
+in common, then linked inside the group, cut by size). A row of the token-group matrix
+is a group's token union, stored. Two components meet where a rare token stands in the
+prefixes of both unions; a query document's overlap with a group's union then bounds its
+similarity to every member, and only groups whose bound qualifies are opened and
+compared exactly.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import repeats, text
+from . import text
 from .components import components, roots
 from .shared import saved
 
 U64 = np.uint64
-CELLS, SLICE, COLUMNS = 1 << 22, 1 << 16, 256
-GROUP, QUERIES, LEVELS, KEYS, BROADCAST_ROWS = 48, 256, 3, 3, 500_000
+SLICE = 1 << 16
+GROUP, QUERIES, LEVELS, KEYS, BROADCAST_ROWS = 48, 256, 4, 3, 500_000
 
 
 def token_sets(column, width: int) -> list[np.ndarray]:
@@ -46,66 +49,74 @@ def token_sets(column, width: int) -> list[np.ndarray]:
     return out
 
 
-def token_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents have tokens of each hash cell, over all documents; a fixed 16 MB."""
+def class_of(tokens: np.ndarray) -> int:
+    """Number of the class of all equal sets: a hash of the set."""
+    sums = np.array([text.mix(tokens).sum(dtype=U64), text.mix(tokens ^ U64(text.BASE)).sum(dtype=U64), len(tokens)], U64)
+    return int(text.mix(text.prefix_hash(text.mix(sums))[-1:]).view(np.int64)[0])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int32)
-        for batch in batches:
-            for tokens in token_sets(batch["text"], width):
-                np.add.at(total, tokens & U64(CELLS - 1), 1)
-        parts = [(k, np.flatnonzero(total[k : k + SLICE])) for k in range(0, CELLS, SLICE)]
-        parts = [(k, at) for k, at in parts if len(at)]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k // SLICE for k, _ in parts], pa.int32()), pa.array([at.astype(np.uint16).tobytes() for _, at in parts], pa.binary()),
-            pa.array([total[k + at].astype(np.uint32).tobytes() for k, at in parts], pa.binary()),
-        ], ["slice", "cells", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(SLICE, np.int64)
-        for at, n in zip(table["cells"].to_pylist(), table["counts"].to_pylist(), strict=True):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
-        return pa.table({"slice": table["slice"][:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
-
-    sums = docs.select("text").mapInArrow(count, "slice int, cells binary, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
-    out = np.zeros(CELLS, np.uint32)
-    for row in sums.collect():
-        out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["counts"], np.uint32)
-    return out
+
+def least(tokens: np.ndarray, k: int) -> int:
+    """Least token under the k-th hash: equal for two sets with the chance of their similarity."""
+    return int(text.mix(text.mix(tokens ^ U64(k)).min(keepdims=True) ^ U64(k)).view(np.int64)[0])
+
+
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrow list<int64> of unsigned hashes."""
+    bounds = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, U64), *arrays]).view(np.int64)))
+
+
+def arrays(column) -> list[np.ndarray]:
+    """The other way round."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]).astype(np.int64)
+    flat = column.flatten().to_numpy().view(U64)
+    return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two bounded lists of sets, as products of 0-1 matrices."""
+    shared = np.zeros((len(left), len(right)))
+    kinds = np.unique(np.concatenate([np.zeros(0, U64), *right]))
+    if not len(kinds) or not left:
+        return shared
+
+    def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(kinds, flat), len(kinds) - 1)
+        known = kinds[at] == flat
+        return row[known], at[known]
+
+    (a, x), (b, y) = cells(left), cells(right)
+    for lo in range(0, len(kinds), SLICE):
+        size = min(SLICE, len(kinds) - lo)
+        one, two = np.zeros((len(left), size), np.float32), np.zeros((len(right), size), np.float32)
+        for matrix, row, at in ((one, a, x), (two, b, y)):
+            part = (at >= lo) & (at < lo + size)
+            matrix[row[part], at[part] - lo] = 1
+        shared += one @ two.T
+    return shared
 
 
-def levels_of(counts: np.ndarray) -> np.ndarray:
-    """0 for cells of usual counts, then one more for each doubling: common tokens sort last."""
-    usual = max(1.0, 2 * counts.mean())
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1, 0, 31).astype(np.uint8)
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs reach the similarity."""
+    shared = overlaps(left, right)
+    total = np.array([len(s) for s in left], float)[:, None] + np.array([len(s) for s in right], float)[None]
+    return 100 * shared >= percent * (total - shared)
 
 
 def links_within(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All linked pairs of a bounded group."""
-    sizes = np.array([len(s) for s in sets])
-    shared = np.zeros((len(sets), len(sets)))
-    _, cell, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    cell, row = cell[count[cell] > 1], row[count[cell] > 1]
-    for lo in range(0, int(cell.max(initial=-1)) + 1, SLICE):
-        part = (cell >= lo) & (cell < lo + SLICE)
-        if part.any():
-            at = np.zeros((len(sets), SLICE), np.float32)
-            at[row[part], cell[part] - lo] = 1
-            shared += at @ at.T
-    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None] - shared)
-    return np.nonzero(np.triu(linked, 1))
+    return np.nonzero(np.triu(linked(sets, sets, percent), 1))
 
 
-def columns_of(tokens: np.ndarray) -> bytes:
-    """Row of the coarse matrix: how many tokens fall into each of 256 columns (255: that or more)."""
-    return np.minimum(np.bincount((tokens >> U64(40) & U64(COLUMNS - 1)).astype(np.int64), minlength=COLUMNS), 255).astype(np.uint8).tobytes()
+def lonely(tokens: DataFrame) -> DataFrame:
+    """cls and u: how many tokens of a class no other class has. tokens: rows (token, cls).
 
-
-def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bound on the overlap of two rows of counts; a full column bounds nothing."""
-    full = (a == 255).any(axis=1) | (b == 255).any(axis=1)
-    return np.where(full, np.int64(1) << 40, np.minimum(a, b).sum(axis=1, dtype=np.int64))
+    Minimum and maximum combine on the map side, so a frequent token is no hot key."""
+    ends = tokens.groupBy("token").agg(F.min("cls").alias("cls"), F.max("cls").alias("other"))
+    return ends.where("cls = other").groupBy("cls").agg(F.count("*").alias("u"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -113,187 +124,153 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) form distinct shingles of width words. Two
     documents link when 100 * intersection >= percent * union. A text without words, or a
-    null one, has no shingles and links with nothing. Rows with equal ids are one node; a
-    null id links with nothing. Other columns are ignored. Equal shingles are told by 64-bit hashes.
-
-    No pair within a known component is compared again, so a group of near copies costs
-    its size times a group's, not its square. Only the ids of documents to compare are
-    broadcast, up to half a million; beyond that they are joined by a shuffle.
+    null one, has no shingles and links with nothing; so does a row with a null id. Repeated
+    ids: each row goes by its own set, component_id is the smallest id of the rows reached.
+    Texts may be of any length. Other columns are ignored. Equal shingles, and equal sets,
+    are told by 64-bit hashes.
+
+    Plan: one pass describes the documents, one counts sampled tokens; from there on only
+    the token sets of classes that may still be similar to another move. No pair within a
+    known component is compared again, so a group of near copies costs its size times a
+    group's, not its square. Ids whose texts are wanted are broadcast up to half a million;
+    beyond that they are joined by a shuffle.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    level = levels_of(token_counts(docs, width))
-    session = docs.sparkSession
-    held = session.sparkContext.broadcast(level)  # 4 MB at any input size
     id_type = dict(docs.dtypes)["id"]
+    most = U64(min(2**64 - 1, 2 * (100 - percent) * 2**64 // 100))  # at this share of the hash range, half unshared is enough to tell
 
-    def ranked(tokens: np.ndarray) -> np.ndarray:
-        """Tokens as numbers in order of commonness, then hash."""
-        return np.sort((held.value[tokens & U64(CELLS - 1)].astype(U64) << U64(59)) | (tokens >> U64(5)))
-
-    def least(tokens: np.ndarray, k: int) -> int:
-        """Least token under the k-th hash, rare ones first: equal with the chance of the similarity."""
-        order = held.value[tokens & U64(CELLS - 1)].astype(U64) << U64(59) | text.mix(tokens ^ U64(k)) >> U64(5)
-        return int(text.mix(order.min(keepdims=True) ^ U64(k)).view(np.int64)[0])
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = token_sets(batch["text"], width)
+            cls = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int64()), cls], ["id", "n", "cls"])
 
-    def signature(tokens: np.ndarray) -> tuple[int, int]:
-        return tuple(int(x.sum(dtype=U64).astype(np.int64)) for x in (text.mix(tokens), text.mix(tokens ^ U64(text.BASE))))
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = token_sets(batch["text"], width)
+            some = [s[: np.searchsorted(s, most)] for s in sets]  # sets are sorted
+            cls = np.repeat(np.array([class_of(s) if len(s) else 0 for s in sets], np.int64), [len(s) for s in some])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U64), *some]).view(np.int64)), pa.array(cls)], ["token", "cls"])
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only rows of the class that was asked for: a repeated id may have other texts."""
         for batch in batches:
             sets = token_sets(batch["text"], width)
-            sums, prefix = [signature(s) for s in sets], []
-            for s in sets:
-                own = ranked(s)
-                prefix.append(own[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64))
-            bounds = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
-            yield pa.RecordBatch.from_arrays([
-                batch["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in sums], pa.int64()), pa.array([b for _, b in sums], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix]))),
-                pa.array([columns_of(s) for s in sets], pa.binary()), pa.array([[least(s, k) for k in range(1, KEYS + 1)] if len(s) else [] for s in sets], pa.list_(pa.int64())),
-            ], ["id", "n", "s1", "s2", "prefix", "cols", "keys"])
-
-    described = saved(docs.mapInArrow(describe, f"id {id_type}, n long, s1 long, s2 long, prefix array<long>, cols binary, keys array<long>"))
-    sets = described.where("n > 0 and id is not null")
-    classes = saved(sets.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix"), F.first("cols").alias("cols"), F.first("keys").alias("keys")))
-
-    def texts(wanted: DataFrame) -> DataFrame:
-        """wanted (with column rep) and the texts of these documents."""
-        few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return docs.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("rep")).drop("id")
-
-    def dealt(rows: DataFrame, by: str, size: int) -> DataFrame:
-        """Rows whose value of `by` others have too, dealt into parts of about size rows."""
-        counts = saved(rows.groupBy(by).count().where("count > 1"))
-        return rows.join(counts, by).withColumn("parts", F.ceil(F.col("count") / size)).drop("count").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("parts")))
-
-    grouped = f"key long, rep {id_type}, leader {id_type}, s1 long, s2 long, parts long, tokens binary"
+            own = [k for k, (s, c) in enumerate(zip(sets, batch["cls"].to_pylist(), strict=True)) if len(s) and class_of(s) == c]
+            sets = [sets[k] for k in own]
+            keys = pa.array([[least(s, k) for k in range(1, KEYS + 1)] for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["cls"].take(pa.array(own, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), keys, lists(sets)], ["cls", "n", "keys", "tokens"])
+
+    def may_link(rows: DataFrame, alone: DataFrame) -> DataFrame:
+        return rows.join(alone, "cls", "left").where(100 * F.coalesce("u", F.lit(0)) <= (100 - percent) * F.col("n")).drop("u")
+
+    described = saved(docs.mapInArrow(describe, f"id {id_type}, n long, cls long"))
+    classes = saved(described.where("n > 0 and id is not null").groupBy("cls", "n").agg(F.min("id").alias("rep")))
+    alone = lonely(docs.where("id is not null").select("text").mapInArrow(sampled, "token long, cls long"))
+    wanted = saved(may_link(classes, alone).select("rep", "cls"))
+    count = wanted.count()
+    texts = docs.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, F.col("id") == F.col("rep")).select("cls", "text")
+    open_ = saved(texts.mapInArrow(tokens_of, "cls long, n long, keys array<long>, tokens array<long>"))
+    if open_.count() > count:  # rows that repeat
+        open_ = saved(open_.dropDuplicates(["cls"]))
+    live = saved(may_link(open_, lonely(open_.select(F.explode("tokens").alias("token"), "cls"))))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows whose key others have too, dealt into parts of about GROUP rows."""
+        counts = saved(rows.groupBy("key").count().where("count > 1"))
+        parts = F.ceil(F.col("count") / GROUP).alias("parts")
+        return rows.join(counts, "key").select(*rows.columns, parts, F.pmod(F.xxhash64("cls", F.lit(11)), parts).alias("part"))
 
     def link(table: pa.Table) -> pa.Table:
-        if "text" in table.column_names:
-            found = token_sets(table["text"], width)
-            real = [k for k, (s, a, b) in enumerate(zip(found, table["s1"].to_pylist(), table["s2"].to_pylist(), strict=True)) if signature(s) == (a, b)]
-            found, table = [found[k] for k in real], table.take(pa.array(real, pa.int64()))
-        else:
-            found = [np.frombuffer(x, U64) for x in table["tokens"].to_pylist()]
-        order = np.argsort(table["rep"].to_numpy(), kind="stable")
-        table, found = table.take(pa.array(order)), [found[k] for k in order]
-        root = roots(*links_within(found, percent), len(found)) if found else np.zeros(0, np.int64)
-        many = table.num_rows > 0 and table["parts"][0].as_py() > 1
-        sent = [s.tobytes() if many and root[k] == k else None for k, s in enumerate(found)]
-        return pa.table({"key": table["key"], "rep": table["rep"], "leader": table["rep"].take(pa.array(root)), "s1": table["s1"], "s2": table["s2"], "parts": table["parts"], "tokens": pa.array(sent, pa.binary())})
+        order = np.argsort(table["cls"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        found = arrays(table["tokens"])
+        root = roots(*links_within(found, percent), len(found))
+        return pa.table({"key": table["key"], "cls": table["cls"], "leader": table["cls"].take(pa.array(root)), "parts": table["parts"]})
 
     links = []
-    members = texts(saved(dealt(classes.select(F.explode("keys").alias("key"), "rep", "s1", "s2"), "key", GROUP)))
+    met = saved(dealt(live.select(F.explode("keys").alias("key"), "cls")))
     for _ in range(LEVELS):  # leaders of a key's parts meet again; what stays apart is left to the matrix
-        out = saved(members.groupBy("key", "part").applyInArrow(link, grouped))
-        links.append(out.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")))
-        leaders = out.where("parts > 1 and rep = leader").drop("parts", "leader")
+        groups = met.join(live.select("cls", "tokens"), "cls").groupBy("key", "part")
+        out = saved(groups.applyInArrow(link, "key long, cls long, leader long, parts long"))
+        links.append(out.where("cls <> leader").select(F.col("cls").alias("u"), F.col("leader").alias("v")))
+        leaders = out.where("parts > 1 and cls = leader").select("key", "cls")
         if leaders.isEmpty():
             break
-        members = dealt(leaders, "key", GROUP)
+        met = saved(dealt(leaders))
     near = components(reduce(DataFrame.unionByName, links))
 
-    # The matrix: every class with its component so far; a group is a bounded part of a component.
-    placed = classes.join(near, classes["rep"] == near["id"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("id", "component", "keys")
-    placed = saved(placed)
-    sizes = saved(placed.groupBy("comp").agg(F.count("*").alias("weight")))
-    place = F.pmod(F.xxhash64("rep", F.lit(13)), F.ceil(F.col("weight") / GROUP))
-    placed = placed.join(sizes, "comp").withColumn("grp", F.xxhash64("comp", place))
-    size, _ = repeats.layout(described.select(F.lit("x" * 8).alias("x"), F.explode("prefix")), "x", 4 << 20, 16 << 20)
-    blocks = placed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(size.blocks)).cast("int"))
-
-    def prefix_keys(table: pa.Table) -> dict[int, np.ndarray]:
-        return {0: table["prefix"].combine_chunks().flatten().to_numpy().view(U64)}
-
-    def shared_tokens(table: pa.Table, bits: pa.Table) -> pa.Table:
-        column = table["prefix"].combine_chunks()
-        tokens = column.flatten().to_numpy()
-        found = repeats.flags(tokens.view(U64), bits, 0, size.buckets)
-        row = pa.array(np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())[found])
-        return pa.table({"token": pa.array(tokens[found])} | {c: table[c].take(row) for c in ("rep", "comp", "weight", "grp", "n")})
-
-    bits = repeats.answers(repeats.send(blocks, prefix_keys, size))
-    schema = f"token long, rep {id_type}, comp {id_type}, weight long, grp long, n long"
-    tokens = saved(blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(shared_tokens, schema))
-    across = saved(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
-    tokens = saved(tokens.join(across, "token"))
-    # Components that share a prefix token, then the small one's documents with the other's groups.
-    sharing = saved(tokens.groupBy("token", "comp", "weight").agg(F.min("n").alias("least"), F.max("n").alias("most")))
-    asks = sharing.select("token", F.col("comp").alias("own"), F.col("weight").alias("mine"), F.col("least").alias("low"), F.col("most").alias("high"))
-    asking = F.struct("mine", "own") < F.struct(F.col("weight").alias("mine"), F.col("comp").alias("own"))
-    fits = asking & (percent * F.col("low") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("high"))
-    meeting = saved(asks.join(sharing, "token").where(fits).select("own", "comp").distinct())
-    groups = saved(placed.groupBy("comp", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")))
-    asks = saved(meeting.join(placed.select(F.col("comp").alias("own"), "rep", "n"), "own"))
-    fits = (percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n"))
-    pairs = saved(asks.join(groups, "comp").where(fits).select("rep", "n", "grp").distinct())
-
-    # Rows of the coarse matrix bound the overlap before any text moves.
-    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per group; rows come sorted by group, and a group may go on in the next batch."""
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            grp, n = batch["grp"].to_numpy(), batch["n"].to_numpy()
-            rows = np.frombuffer(b"".join(batch["cols"].to_pylist()), np.uint8).reshape(-1, COLUMNS)
-            low = high = n
-            if held:
-                grp, rows = np.concatenate([held[0], grp]), np.concatenate([held[1], rows])
-                low, high = np.concatenate([held[2], n]), np.concatenate([held[3], n])
-            heads = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
-            out = grp[heads], np.maximum.reduceat(rows, heads), np.minimum.reduceat(low, heads), np.maximum.reduceat(high, heads)
-            held = tuple(x[-1:] for x in out)
-            yield matrix_rows(*(x[:-1] for x in out))
-        if held:
-            yield matrix_rows(*held)
-
-    def matrix_rows(grp, rows, low, high) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(grp), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(low), pa.array(high)], ["grp", "row", "low", "high"])
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                mine, row = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, COLUMNS) for c in ("cols", "row"))
-                n, low, high = (batch[c].to_numpy() for c in ("n", "low", "high"))
-                most = np.minimum(most_shared(mine, row), np.minimum(n, high))
-                other = np.maximum(low, most)  # the member size that fits best
-                yield batch.filter(pa.array(100 * most >= percent * (n + other - most))).select(["rep", "grp"])
-
-    matrix = placed.join(pairs.select("grp").distinct(), "grp", "left_semi").select("grp", "n", "cols")
-    matrix = matrix.repartition("grp").sortWithinPartitions("grp").mapInArrow(widest, "grp long, row binary, low long, high long")
-    asked = pairs.join(classes.select("rep", "cols"), "rep").join(saved(matrix), "grp")
-    pairs = saved(asked.mapInArrow(bounded, f"rep {id_type}, grp long"))
-    parts = saved(pairs.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("parts")))
-    queries = pairs.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(19)), F.col("parts"))).drop("parts").withColumn("member", F.lit(False))
-    inside = placed.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("rep", "grp", "part", F.lit(True).alias("member"))
-    wanted = saved(queries.join(classes.select("rep", "s1", "s2"), "rep").unionByName(inside.join(classes.select("rep", "s1", "s2"), "rep")))
-
-    def open_groups(table: pa.Table) -> pa.Table:
-        found = token_sets(table["text"], width)
-        member, rep, sums = table["member"].to_pylist(), table["rep"].to_pylist(), list(zip(table["s1"].to_pylist(), table["s2"].to_pylist(), strict=True))
-        real = [k for k, s in enumerate(found) if signature(s) == sums[k]]
-        inside = [k for k in real if member[k]]
-        u, v = [], []
-        if inside:
-            union = np.unique(np.concatenate([found[k] for k in inside]))
-            for q in (k for k in real if not member[k]):
-                own = found[q]
-                most = int(np.isin(own, union, assume_unique=True).sum())
-                for m in inside:  # most bounds the overlap with every member
-                    top = min(most, len(found[m]))
-                    if 100 * top >= percent * (len(own) + len(found[m]) - top):
-                        both = len(np.intersect1d(own, found[m], assume_unique=True))
-                        if 100 * both >= percent * (len(own) + len(found[m]) - both):
-                            u.append(rep[q])
-                            v.append(rep[m])
-                            break  # the members are one component
-        return pa.table({"u": pa.array(u, table.schema.field("rep").type), "v": pa.array(v, table.schema.field("rep").type)})
-
-    more = texts(wanted).groupBy("grp", "part").applyInArrow(open_groups, f"u {id_type}, v {id_type}")
-    found = near.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(saved(more))
-    final = components(found)
-    known = saved(classes.join(final, classes["rep"] == final["id"], "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")))
-    linked = described.withColumn("m", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("n"))).drop("prefix", "cols", "keys")
-    out = linked.join(known.withColumnRenamed("n", "m"), ["s1", "s2", "m"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    # Groups: parts of a component of about equal size. The matrix: the token union of each group.
+    sized = live.join(near, live["cls"] == near["id"], "left").select("cls", "n", F.coalesce("component", "cls").alias("comp"), F.floor(F.log("n") / np.log(1.08)).alias("size"))
+    sized = saved(sized)
+    counts = saved(sized.groupBy("comp", "size").count())
+    part = F.pmod(F.xxhash64("cls", F.lit(13)), F.ceil(F.col("count") / GROUP))
+    placed = saved(sized.join(counts, ["comp", "size"]).select("cls", "n", "comp", F.xxhash64("comp", "size", part).alias("grp")))
+
+    def union(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        n = table["n"].to_numpy()
+        tokens = lists([np.unique(np.concatenate(arrays(table["tokens"])))])
+        return pa.table({"grp": pa.array([key[0].as_py()]), "comp": table["comp"][:1], "lo": pa.array([n.min()]), "hi": pa.array([n.max()]), "tokens": tokens})
+
+    with_tokens = placed.join(live.select("cls", "tokens"), "cls")
+    matrix = saved(with_tokens.groupBy("grp").applyInArrow(union, "grp long, comp long, lo long, hi long, tokens array<long>"))
+
+    # Tokens of two components or more, rare ones first; links need one within both prefixes.
+    cells = matrix.select(F.explode("tokens").alias("token"), "grp", "comp")
+    across = saved(cells.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token", "df"))
+    rows = cells.join(across, "token").groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))  # a group's union bounds the list
+    rows = rows.join(matrix.select("grp", "comp", "lo", "hi"), "grp").withColumn("s", F.size("shared"))
+    probe = F.col("s") - F.ceil(percent * F.col("lo") / 100) + 1
+    index = F.col("s") - F.ceil(2 * percent * F.col("lo") / (100 + percent)) + 1
+    prefix = rows.where(probe > 0).select("comp", "lo", "hi", "s", index.alias("index"), F.posexplode(F.slice("shared", F.lit(1), probe.cast("int"))).alias("pos", "x"))
+    prefix = saved(prefix.select(F.col("x.token").alias("token"), "comp", "lo", "hi", (F.col("s") - F.col("pos")).alias("room"), (F.col("pos") < F.col("index")).alias("indexed")))
+    ends = (F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("room").alias("room"))  # room: how many tokens can be common from here on
+    larger = prefix.groupBy("token", "comp").agg(*ends).withColumnsRenamed({"comp": "p", "lo": "p_lo", "hi": "p_hi", "room": "p_room"})
+    smaller = prefix.where("indexed").groupBy("token", "comp").agg(*ends)
+    room = F.least("room", "p_room")
+    fits = (F.col("p") != F.col("comp")) & (F.col("lo") <= F.col("p_hi")) & (percent * F.col("p_lo") <= 100 * F.col("hi")) & ((100 + percent) * room >= percent * (F.col("lo") + F.col("p_lo")))
+    met = larger.join(smaller, "token").where(fits).select(F.least("p", "comp").alias("a"), F.greatest("p", "comp").alias("b"), room.alias("room"))
+    met = saved(met.groupBy("a", "b").agg(F.max("room").alias("room")))
+    # Documents of the smaller component ask the groups of the other.
+    weights = saved(placed.groupBy("comp").agg(F.count("*").alias("weight")))
+    sides = met.join(weights.withColumnsRenamed({"comp": "a", "weight": "x"}), "a").join(weights.withColumnsRenamed({"comp": "b", "weight": "y"}), "b")
+    sides = sides.select(F.when(F.col("x") <= F.col("y"), F.col("a")).otherwise(F.col("b")).alias("own"), F.when(F.col("x") <= F.col("y"), F.col("b")).otherwise(F.col("a")).alias("comp"), "room")
+    asks = sides.join(placed.select(F.col("comp").alias("own"), "cls", "n"), "own")
+    fits = (percent * F.col("n") <= 100 * F.col("hi")) & (percent * F.col("lo") <= 100 * F.col("n")) & ((100 + percent) * F.col("room") >= percent * (F.col("lo") + F.col("n")))
+    pairs = saved(asks.join(matrix.select("grp", "comp", "lo", "hi"), "comp").where(fits).select("cls", "grp"))
+
+    def in_parts(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Queries with their token sets, at most about QUERIES in a part of a group, and the parts of each group."""
+        parts = saved(pairs.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("parts")))
+        queries = pairs.join(parts, "grp").select("grp", F.pmod(F.xxhash64("cls", F.lit(19)), "parts").alias("part"), "cls")
+        return queries.join(live.select("cls", "n", "tokens"), "cls"), parts.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    def bound(queries: pa.Table, group: pa.Table) -> pa.Table:
+        """Queries whose overlap with the union leaves room for a similar member."""
+        own, n = arrays(queries["tokens"]), queries["n"].to_numpy()
+        lo, hi = (group[c][0].as_py() for c in ("lo", "hi"))
+        shared = np.minimum(overlaps(own, arrays(group["tokens"]))[:, 0], np.minimum(n, hi))
+        other = np.maximum(lo, shared)  # the member size that fits best
+        return queries.filter(pa.array(100 * shared >= percent * (n + other - shared))).select(["cls", "grp"])
+
+    def compare(queries: pa.Table, members: pa.Table) -> pa.Table:
+        """A link to one member for each query that has any: the members are one component."""
+        hit = linked(arrays(queries["tokens"]), arrays(members["theirs"]), percent)
+        some = pa.array(np.flatnonzero(hit.any(axis=1)))
+        return pa.table({"u": queries["cls"].take(some), "v": members["member"].take(pa.array(hit.argmax(axis=1))).take(some)})
+
+    queries, parts = in_parts(pairs)
+    unions = parts.join(matrix.select("grp", "lo", "hi", "tokens"), "grp")
+    qualified = saved(queries.groupBy("grp", "part").cogroup(unions.groupBy("grp", "part")).applyInArrow(bound, "cls long, grp long"))
+    queries, parts = in_parts(qualified)
+    members = parts.join(with_tokens.select("grp", F.col("cls").alias("member"), F.col("tokens").alias("theirs")), "grp")
+    more = queries.groupBy("grp", "part").cogroup(members.groupBy("grp", "part")).applyInArrow(compare, "u long, v long")
+    final = components(near.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(saved(more)))
+
+    firsts = saved(final.join(classes, final["id"] == classes["cls"]).groupBy("component").agg(F.min("rep").alias("first")))
+    groups = final.join(firsts, "component").select(F.col("id").alias("cls"), "first")
+    known = saved(classes.join(groups, "cls", "left").select("cls", F.coalesce("first", "rep").alias("component_id")))
+    nothing = F.col("cls").isNull() | F.col("id").isNull()
+    alone = described.where(nothing).select("id", "n", F.col("id").alias("component_id"))
+    out = described.where(~nothing).join(known, "cls").select("id", "n", "component_id").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
