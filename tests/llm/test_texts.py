@@ -134,6 +134,20 @@ def test_packing(table, documents):
     assert packing.pack(table([]), RANKS).count() == 0
 
 
+def test_ids_equal_the_public_tokenizer():
+    """Random Unicode texts, blanks of all kinds and apostrophes, id by id; then one text of over a MB."""
+    draw, encode = random.Random(11), packing.encoder(RANKS)[0]
+    kinds = ["'s", "'ll", "'x", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2028", "\x0b", "<|endoftext|>", "a", "Zeit", "9", "12", "\u0663", "!", "...", "\u00e9", "e\u0301", "\u6f22", "\ud55c", "\U0001f642", "\u200d", "\ufeff", "\x00", "_", "\u00df", "\u0130"]
+    texts = ["".join(draw.choice(kinds) for _ in range(draw.randrange(40))) for _ in range(6000)]
+    texts += ["".join(chr(draw.choice((draw.randrange(1, 0x300), draw.randrange(0x2000, 0x2100), draw.randrange(0xE000, 0x11000)))) for _ in range(30)) for _ in range(2000)]
+    texts.append(" ".join(draw.choice(kinds) * draw.randrange(1, 9) for _ in range(300_000)))
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)
+    for t, w in zip(texts, want, strict=True):
+        assert encode.encode_to_numpy(t, allowed_special="all", disallowed_special=()).tolist() == w.ids, repr(t[:200])
+
+
 def test_cuts_are_optimal():
     draw = random.Random(5)
     for _ in range(60):
@@ -153,7 +167,7 @@ def test_cuts_are_optimal():
                     if length < size and length >= 16 and length & (length - 1) == 0:
                         options.append(best[i])
             best[j] = min(options) + costs[j]
-        bounds = packing.cuts(at, costs, size)
+        bounds = packing.cuts(np.array(at), np.array(costs), size)
         cost = sum(packing.HARD * (-(-(b - a) // size) - 1) + -(b - a) % size + costs[at.index(b)] for a, b in zip(bounds, bounds[1:], strict=False))
         assert bounds[0] == 0 and bounds[-1] == at[-1] and cost == best[len(at) - 1]
 

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 SENTENCE, HARD, RUN = 2, 8, 4
 CHUNK_TOKENS = 1 << 20
-#: The byte-level vocabulary's split pattern, and its text that is one id by itself.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The byte-level vocabulary's split pattern in its public form without
+#: backtracking, and its text that is one id by itself.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 SPECIAL = {"<|endoftext|>": 50256}
 
 
@@ -35,48 +36,65 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL), ends
 
 
-def cuts(positions: list[int], costs: list[int], size: int) -> list[int]:
+def cuts(positions: np.ndarray, costs: np.ndarray, size: int) -> list[int]:
     """The boundaries at which the cheapest packing cuts, first 0 and last the end.
 
     positions: increasing, from 0; costs: what a cut there costs, in padding tokens.
     From boundary i to j the tokens fill whole windows, cut anywhere at HARD each, and
     a last window that is padded to size unless its length is a power of two. For a run
     of n windows, padding is n * size - (position j - position i), so the best i within
-    the run's range of positions is a sliding minimum of cost(i) + position(i): one
-    monotone queue for each n. Powers of two are looked up by position."""
-    best, back = [0] * len(positions), [0] * len(positions)
-    at = {0: 0}
-    queues = [(n * size, (n - 1) * (HARD + size) + size, deque()) for n in range(1, RUN + 1)]
-    entered = [0] * RUN
-    powers = [1 << k for k in range(4, size.bit_length() - 1)]
-    for j in range(1, len(positions)):
-        here = positions[j]
-        low, origin = 1 << 62, 0
-        for n, (reach, base, queue) in enumerate(queues):
-            k, near = entered[n], here - reach + size
-            while k < j and positions[k] < near:
-                value = best[k] + positions[k]
-                while queue and queue[-1][0] >= value:
-                    queue.pop()
-                queue.append((value, k))
-                k += 1
-            entered[n] = k
-            while queue and positions[queue[0][1]] < here - reach:
+    the run's range of positions is a sliding minimum of cost(i) + position(i). Runs of
+    one window keep it in a monotone queue. Longer runs start before the block of size
+    positions that j is in, where all costs are known, so they are looked up a block at
+    a time; powers of two are looked up by position."""
+    count = len(positions)
+    bits = count.bit_length()
+    last = (1 << bits) - 1
+    keys = np.full(count + 1, 1 << 62, np.int64)  # cost + position, then the later boundary first
+    edges = [np.searchsorted(positions, positions - n * size) for n in range(RUN, 0, -1)]
+    ranges = np.stack([e for pair in zip(edges, edges[1:], strict=False) for e in pair], 1)
+    base = np.arange(RUN, 1, -1) * (size + HARD) - HARD
+    never = np.where(ranges[:, 1::2] > ranges[:, ::2], 0, 1 << 40)
+    limits, at, price = (last - edges[-1]).tolist(), positions.tolist(), costs.tolist()
+    exact: dict[int, list[int]] = {}
+    for p in (1 << k for k in range(4, size.bit_length() - 1)):
+        i = np.searchsorted(positions, positions - p)
+        for j in np.flatnonzero(positions[i] == positions - p).tolist():
+            exact.setdefault(j, []).append(int(i[j]))
+    best, back, queue, block, keys[0] = [0], [0], deque([last]), 1, last
+    while block < count:
+        end = int(np.searchsorted(positions, positions[block] + size))
+        key = np.minimum.reduceat(keys, ranges[block:end].ravel())[::2].reshape(-1, RUN - 1)
+        cost = np.minimum(key >> bits, 1 << 40) + base + never[block:end]
+        run = cost.shape[1] - 1 - cost[:, ::-1].argmin(axis=1)  # of equal costs the shorter run
+        rows = np.arange(end - block)
+        far, start = cost[rows, run] - positions[block:end], last - (key[rows, run] & last)
+        for j, low, origin in zip(range(block, end), far.tolist(), start.tolist(), strict=True):
+            here = at[j]
+            while queue and queue[0] & last > limits[j]:
                 queue.popleft()
-            if queue and queue[0][0] + base - here < low:
-                low, origin = queue[0][0] + base - here, queue[0][1]
-        for p in powers:
-            i = at.get(here - p)
-            if i is not None and best[i] < low:
-                low, origin = best[i], i
-        best[j], back[j] = low + costs[j], origin
-        at[here] = j
-        if j > 4096 and not j & 4095:
-            at = {p: i for p, i in at.items() if p >= here - size}
-    path = [len(positions) - 1]
+            if queue:
+                top = queue[0]
+                near = (top >> bits) + size - here
+                if near <= low:
+                    low, origin = near, last - (top & last)
+            if j in exact:
+                for i in exact[j]:
+                    if best[i] < low:
+                        low, origin = best[i], i
+            low += price[j]
+            best.append(low)
+            back.append(origin)
+            own = (low + here) << bits | last - j
+            while queue and queue[-1] >= own:
+                queue.pop()
+            queue.append(own)
+        keys[block:end] = (np.array(best[block:end]) + positions[block:end]) << bits | last - np.arange(block, end)
+        block = end
+    path = [count - 1]
     while path[-1]:
         path.append(back[path[-1]])
-    return [positions[i] for i in reversed(path)]
+    return [at[i] for i in reversed(path)]
 
 
 def windows(ends: np.ndarray, stops: np.ndarray, size: int) -> np.ndarray:
@@ -90,7 +108,7 @@ def windows(ends: np.ndarray, stops: np.ndarray, size: int) -> np.ndarray:
     costs = np.full(len(at), HARD)
     costs[np.isin(at, stops)] = SENTENCE
     costs[np.isin(at, ends)] = 0
-    bounds = cuts(at.tolist(), costs.tolist(), size)
+    bounds = cuts(at, costs, size)
     out = [0]
     for a, b in zip(bounds, bounds[1:], strict=False):
         out += [*range(a + size, b, size), b]
@@ -121,33 +139,32 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         sequence = TaskContext.get().partitionId() << 40
         names, streams, held = [], [], 0
         for batch in batches:
-            texts = pc.fill_null(batch["text"], "")
-            for k in range(len(texts)):
-                stream = np.array([*encode.encode(texts[k].as_py(), allowed_special="all", disallowed_special=()), end_id], np.uint32)
-                names.append(batch["id"][k])
-                streams.append(stream)
-                held += len(stream)
+            begin = 0
+            for k, body in enumerate(pc.fill_null(batch["text"], "").to_pylist()):
+                streams += [encode.encode_to_numpy(body, allowed_special="all", disallowed_special=()), np.array([end_id])]
+                held += len(streams[-2]) + 1
                 if held >= CHUNK_TOKENS:
-                    out, sequence = chunk(names, streams, ends_sentence, sequence)
+                    out, sequence = chunk([*names, batch["id"][begin : k + 1]], streams, ends_sentence, sequence)
                     yield out
-                    names, streams, held = [], [], 0
+                    names, streams, held, begin = [], [], 0, k + 1
+            names.append(batch["id"][begin:])
         if streams:
             yield chunk(names, streams, ends_sentence, sequence)[0]
 
     def chunk(names: list, streams: list, ends_sentence: np.ndarray, sequence: int):
-        tokens = np.concatenate(streams)
-        ends = np.cumsum([len(s) for s in streams])
+        tokens = np.concatenate(streams).astype("<u4")
+        ends = np.cumsum([len(s) for s in streams])[1::2]
         stops = np.flatnonzero(ends_sentence[np.minimum(tokens, len(ends_sentence) - 1)]) + 1
         bounds = windows(ends, stops[stops < len(tokens)], size)
         starts = np.unique(np.concatenate([bounds[:-1], ends[:-1]]))
         stop = np.append(starts[1:], len(tokens))
         doc = np.searchsorted(ends, starts, "right")
         window = np.searchsorted(bounds, starts, "right") - 1
-        first = ends - [len(s) for s in streams]
-        raw = memoryview(tokens.astype("<u4").tobytes())
+        first = np.append(0, ends[:-1])
+        raw = memoryview(tokens.tobytes())
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stop.tolist(), strict=True)]
         columns = [
-            pa.array([names[k].as_py() for k in doc], names[0].type), pa.array(starts - first[doc]), pa.array(stop - starts), pa.array(crc, pa.int64()),
+            pa.concat_arrays(names).take(pa.array(doc)), pa.array(starts - first[doc]), pa.array(stop - starts), pa.array(crc, pa.int64()),
             pa.array((ends - first)[doc]), pa.array(window + sequence), pa.array(starts - bounds[window]),
         ]
         if ids:
