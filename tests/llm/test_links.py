@@ -111,5 +111,8 @@ def test_odd_vectors(spark):
     got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_dedup(frame(spark, rows)).collect())
     alone = [(k, 0, k, True) for k in (1, 2, 3, 4, 5, 8, 9)]
     assert got == sorted([*alone, (6, 3, 6, True), (7, 3, 6, False), (7, 3, 6, False), (10, 3, 6, False)])
+    named = [(None, [1.0, 0.0]), (4, [1.0, 0.1]), (None, [2.0, 0.0]), (9, [0.0, 1.0]), (None, [-1.0, -1.0]), (None, None)]
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in vectors.near_dedup(frame(spark, named)).collect())
+    assert got == [("4", 2, "4", True), ("9", 0, "9", True), ("None", 0, "None", True), ("None", 0, "None", True), ("None", 2, "4", False), ("None", 2, "4", False)]
     assert vectors.near_dedup(frame(spark, [])).count() == 0
     assert vectors.near_dedup(frame(spark, [(1, None)])).first()["kept"]

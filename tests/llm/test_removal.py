@@ -108,3 +108,14 @@ def test_lines_of_many_sites_are_counted_by_sketch(spark):
 def test_hash_of_kept_bytes(table):
     (r,) = suffixes.suffix_dedup(table([(1, "plain")])).collect()
     assert hashlib.sha256(bytes(r["kept"])).hexdigest() == hashlib.sha256(b"plain").hexdigest()
+
+
+def test_unknown_and_empty_sites(spark):
+    line = "A line that stands on every site."
+    rows = [(1, line, "", "x"), (2, line, "b", "x"), (3, line, None, "x"), (4, line, "", "x"), (5, line, "b", "x"), (6, line, None, "x")]
+    got = lines.line_dedup(sites(spark, rows), sites=2).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+    assert all(r["n_removed"] == 0 for r in lines.line_dedup(sites(spark, rows), sites=3).collect())
+    clash = spark.createDataFrame([(*r[:3], 7, 8, 9) for r in rows], "doc_id long, text string, source string, key long, gone long, left long")
+    out = lines.line_dedup(clash, sites=2).collect()
+    assert sum(r["n_removed"] for r in out) == 5 and all((r["key"], r["gone"], r["left"]) == (7, 8, 9) for r in out)

@@ -291,3 +291,67 @@ def test_copies_of_a_text_are_drawn_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(languages, "fit", lambda model, rows, *_: drawn.append(rows.count()))
     languages.train(docs, "lang", calibrate=docs["doc_id"] % 3 > 0, sample=200)
     assert 120 < drawn[0] < 280
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 1.0])
+def test_long_words_equal_one_heap_and_rounds(monkeypatch, dropout):
+    model, draw = pieces.pieces(MODEL), random.Random(8)
+    words = [" " + "".join(draw.choice("etaoinshrd") for _ in range(n)) for n in (300, 3, 700)] + ["a" * 400]
+    symbols = [model.of_letters(np.array([ord(c) for c in w])) for w in words]
+    first, keys = np.concatenate([[0], np.cumsum([len(s) for s in symbols])]), np.arange(90, 94).astype(np.uint64)
+    made: list = []
+    got, bounds = pieces.agenda_rounds(model, np.concatenate(symbols), first, keys, dropout, made)
+    for k, s in enumerate(symbols):
+        assert got[bounds[k] : bounds[k + 1]].tolist() == one_heap(model, s.tolist(), keys[k], dropout)
+    monkeypatch.setattr(pieces, "LONG", 1 << 20)
+    others: list = []
+    again, _ = pieces.agenda_rounds(model, np.concatenate(symbols), first, keys, dropout, others)
+    assert again.tolist() == got.tolist()
+    merges = lambda m: sorted(zip(*(np.concatenate([x[k] for x in m]).tolist() for k in range(4)), strict=True)) if m else []
+    assert merges(made) == merges(others)
+
+
+def test_a_word_of_a_megabyte(table):
+    import sentencepiece
+
+    draw = random.Random(12)
+    body = "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789") for _ in range(1 << 20))
+    assert pieces.encode(table([(1, body[:20_000])]), MODEL).first()["ids"] == sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(body[:20_000])
+    (r,) = pieces.decode(pieces.encode(table([(1, body)]), MODEL, seed=3, dropout=0.1), MODEL).collect()
+    assert r["text"] == body
+
+
+def test_labels_that_contradict_and_clashing_names(spark):
+    draw = random.Random(2)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    names = "w long, ls long, h long, chars long, id long, label long, fold long, bad long, n_lines long, upper long, kept long, rule long"
+    rows = [(k, " ".join(word() + ("###" if k % 3 == 0 else "") for _ in range(60)), *([7] * 12)) for k in range(150)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
+    labels = spark.createDataFrame([(k, v) for k in range(150) for v in ((0, 1) if k % 3 == 0 else (1,))], "doc_id long, quality int")
+    got = quality.quality_rules(docs, labels).collect()
+    assert len(got) == 150 and all(r["kept"] == (r["doc_id"] % 3 != 0) and r["chars"] == r["w"] == r["id"] == r["upper"] == 7 for r in got)
+    again = quality.learn(docs.repartition(5), labels.repartition(7), "doc_id", "text", "quality")
+    assert again == quality.learn(docs, labels, "doc_id", "text", "quality")
+
+
+def test_urls_with_line_breaks_and_clashing_names(spark):
+    rows = [(1, "http://a\nb.example.com/en/x", "a\nb.example.com", "/en/x", "example.com/en/", "block"), (2, "http://x.net/\nfr/", "x.net", "/\nfr/", None, "allow"), (3, "http://a\n.spam-farm.org/\nviagra/x", "a\n.spam-farm.org", "/\nviagra/x", None, "block")]
+    pages = spark.createDataFrame([(i, u, 7, 8, 9) for i, u, *_ in rows], "page_id long, url string, subject long, tokens long, token long")
+    got = urls.url_filter(pages, (*HOST_RULES, *urls.PATTERNS)).collect()
+    assert [(r["page_id"], r["url"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == rows
+    assert all((r["subject"], r["tokens"], r["token"]) == (7, 8, 9) for r in got)
+
+
+def test_many_url_rules_against_all_expressions(spark):
+    import re
+
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abc") for _ in range(2))
+    rules = tuple(urls.host_rule(draw.choice(("allow", "block")), f"{word()}.{word()}/{word()}/") for _ in range(300))
+    rows = [(k, f"http://{word()}.{word()}.{word()}/{word()}/{word()}") for k in range(3000)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    for k, u in rows:
+        hits = [(len(r.name), -i, r) for i, r in enumerate(rules) if re.search(r.pattern, u[7:])]
+        best = max(hits, key=lambda h: h[:2])[2] if hits else None
+        assert got[k] == ((best.name, best.verdict) if best else (None, "allow"))
+    assert sum(r is not None for r, _ in got.values()) > 50

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import saved, unused
 
 BLANKS = " \t\x0b\x0c\r"
 LG_K = 12
@@ -23,8 +23,9 @@ def spread_lines(lines: DataFrame, sites: int) -> DataFrame:
     Sketches of 2**12 registers err by 1.6 percent (one sigma); estimates within a
     fifth of the threshold, over ten sigma, are counted exactly. Both ways combine
     on the map side, so a line of a third of all rows is no hot key."""
-    sketch = lines.groupBy("line").agg(F.hll_sketch_agg(F.coalesce(F.col("site"), F.lit("")), LG_K).alias("sketch"), F.max(F.col("site").isNull()).alias("unknown"), F.min("id").alias("first"))
-    guess = saved(sketch.select("line", "first", (F.hll_sketch_estimate("sketch") - F.col("unknown").cast("int")).alias("n")).where(F.col("n") >= 0.8 * sites))
+    site = F.when(F.col("site").isNotNull(), F.xxhash64("site"))  # sketches leave nulls out, and would leave out empty texts
+    sketch = lines.groupBy("line").agg(F.hll_sketch_agg(site, LG_K).alias("sketch"), F.min("id").alias("first"))
+    guess = saved(sketch.select("line", "first", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).alias("n")).where(F.col("n") >= 0.8 * sites))
     near = guess.where(F.col("n") < 1.2 * sites).select("line")
     exact = lines.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("exact"))
     return guess.join(exact, "line", "left").where(F.coalesce("exact", "n") >= sites).select("line", "first")
@@ -37,19 +38,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     where whole documents were copied to many sites. Lines are split at \\n and compared
     without outer blanks; blank and short lines always stay. Returns all columns, with
     the text shortened, and n_lines and n_removed. Null text: kept, both counts 0; null
-    sites count for nothing; repeated rows are one document; a null id never is the first.
+    sites count for nothing, an empty one is a site; repeated rows are one document; a null
+    id never is the first. Columns n_lines and n_removed are replaced, others kept whatever
+    their names. Texts may be of any length. Equal lines are told by 64-bit hashes.
 
     Plan: a table of line hashes (no text), sketches by line hash, an exact count for the few lines near the threshold,
     then each document meets the list of its own removed lines by id."""
     keys = F.array_compact(F.transform(F.split(text_col, "\n"), lambda x: line_key(x, shortest)))
     own = saved(docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.explode(F.array_distinct(keys)).alias("line")))
     held = saved(spread_lines(own, sites))
-    gone = own.join(held, "line").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    key, gone, left = (unused(c, docs.columns) for c in ("key", "gone", "left"))
+    lost = own.join(held, "line").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy(F.col("id").alias(key)).agg(F.collect_set("line").alias(gone))
+    out = docs.join(lost, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key)
     lines = F.split(text_col, "\n")
-    left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__gone", line_key(x, shortest)), F.lit(False)))
-    out = out.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
-    count = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(count))
-    out = out.withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size("__left"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join("__left", "\n"))).drop("__left", "__gone")
+    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(gone, line_key(x, shortest)), F.lit(False)))
+    out = out.withColumn(left, F.when(F.col(gone).isNotNull(), stay))
+    count = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    out = out.withColumn("n_lines", count)
+    out = out.withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size(left), F.lit(0)).cast("long"))
+    return out.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop(left, gone)

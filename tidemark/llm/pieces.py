@@ -3,11 +3,13 @@
 Candidate merges wait in an agenda, best score first, then leftmost. When a candidate's
 turn comes, a keyed hash of the seed, the row's id, the word's place and the candidate's
 span decides whether it is skipped. Words are encoded many at a time: each round takes
-the top of every word's agenda at once, so the result is that of one heap per word.
+the top of every word's agenda at once, so the result is that of one heap per word. A
+word of more than LONG letters, for which rounds would be quadratic, has a heap of its own.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +25,7 @@ from . import text
 U64 = np.uint64
 SPACE, CHUNK = "▁", 1 << 19
 NONE = np.int64(1 << 62)
+LONG, MASK = 256, (1 << 64) - 1
 
 
 class Pieces:
@@ -59,6 +62,7 @@ class Pieces:
         self.pairs = np.array(sorted(pairs), np.int64)
         self.rank, self.result = (np.array([pairs[k][j] for k in self.pairs.tolist()], np.int64) for j in (0, 1))
         letters = sorted((ord(" " if c == SPACE else c), s) for c, s in symbols.items() if len(c) == 1)
+        self.agenda = pairs
         self.letters, self.letter_symbols = (np.array([x[j] for x in letters], np.int64) for j in (0, 1))
         self.spell = {s: c for c, s in symbols.items() if len(c) == 1 and s >= size}
 
@@ -79,6 +83,45 @@ def skipped(keys: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.nda
     return (mark >> U64(11)).astype(float) < dropout * float(1 << 53)
 
 
+def mixed(x: int) -> int:
+    """text.mix of one number."""
+    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & MASK
+    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & MASK
+    return x ^ x >> 32
+
+
+def agenda_heap(model: Pieces, symbols: list[int], key: int, dropout: float, merges: list) -> list[tuple[int, int]]:
+    """Starts and symbols of one word's final pieces; merges takes (start, middle, end)."""
+    limit = dropout * float(1 << 53)
+    end, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols)))
+    agenda: list[tuple[int, int, int, int, int]] = []
+
+    def offer(a: int) -> None:
+        m = end[a]
+        if m < len(symbols) and (hit := model.agenda.get(symbols[a] << 24 | symbols[m])):
+            b = end[m]
+            if limit <= 0 or (mixed(key ^ a << 42 & MASK ^ m << 21 & MASK ^ b) >> 11) >= limit:
+                heapq.heappush(agenda, (hit[0], a, m, b, hit[1]))
+
+    for a in range(len(symbols)):
+        offer(a)
+    while agenda:
+        _, a, m, b, piece = heapq.heappop(agenda)
+        if end[a] != m or end[m] != b:  # one of the two is gone or has grown
+            continue
+        merges.append((a, m, b))
+        symbols[a], end[a], end[m] = piece, b, -1
+        before[b] = a
+        offer(a)
+        if before[a] >= 0:
+            offer(before[a])
+    out, a = [], 0
+    while a < len(symbols):
+        out.append((a, symbols[a]))
+        a = end[a]
+    return out
+
+
 def agenda_rounds(model: Pieces, symbols: np.ndarray, first: np.ndarray, keys: np.ndarray, dropout: float, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Final symbols of all words, and each word's first. first: word bounds in symbols; keys: of words.
 
@@ -87,6 +130,15 @@ def agenda_rounds(model: Pieces, symbols: np.ndarray, first: np.ndarray, keys: n
     start = np.arange(len(symbols)) - first[word]
     end = start + 1
     done: list[tuple] = []
+    for w in np.flatnonzero(np.diff(first) > LONG).tolist():
+        made: list[tuple[int, int, int]] = []
+        left = np.array(agenda_heap(model, symbols[first[w] : first[w + 1]].tolist(), int(keys[w]), dropout, made), np.int64)
+        done.append((np.full(len(left), w), left[:, 0], left[:, 1]))
+        if merges is not None and made:
+            merges.append((np.full(len(made), w), *np.array(made, np.int64).T))
+    if done:
+        short = np.diff(first)[word] <= LONG
+        symbols, word, start, end = symbols[short], word[short], start[short], end[short]
     while len(symbols):
         same = word[1:] == word[:-1]
         pair = (symbols[:-1] << 24) | symbols[1:]

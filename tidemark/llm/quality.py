@@ -13,6 +13,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 WIDTH = 5
@@ -44,25 +46,27 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and the RATIOS (double).
 
     A null text counts as empty; all counts of an empty text are 0 and all ratios 0.
-    Columns of the same names are replaced. Work per document is n log n of its words at most."""
+    Columns of the same names are replaced. Work per document is n log n of its words at
+    most, whatever its length. Equal windows of five words are told by 64-bit hashes."""
+    w, ls, h, chars, n_lines, upper, digits, shout = (unused(x, docs.columns) for x in ("w", "ls", "h", "chars", "n_lines", "upper", "digits", "shout"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(F.translate(text, BLANKS[1:], " " * (len(BLANKS) - 1)), " "), lambda x: x != "")
     lines = F.filter(F.split(text, "\n"), lambda x: kept_length(x, BLANKS) > 0)
     windows = F.transform(
-        F.slice(F.col("__w"), F.lit(1), F.greatest(F.size("__w") - (WIDTH - 1), F.lit(0))),
-        lambda x, i: F.xxhash64(x, *(F.get(F.col("__w"), i + k) for k in range(1, WIDTH))),
+        F.slice(F.col(w), F.lit(1), F.greatest(F.size(w) - (WIDTH - 1), F.lit(0))),
+        lambda x, i: F.xxhash64(x, *(F.get(F.col(w), i + k) for k in range(1, WIDTH))),
     )
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    out = docs.withColumns({"__w": words, "__l": lines, "__chars": F.length(text), "word_chars": kept_length(text, BLANKS).cast("long")})
-    for name, without in (("n_symbols", SYMBOLS), ("__upper", UPPER), ("__digits", DIGITS), ("__shout", "!")):
-        out = out.withColumn(name, (F.col("__chars") - kept_length(text, without)).cast("long"))
-    out = out.withColumns({"n_words": F.size("__w").cast("long"), "__n_lines": F.size("__l"), "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"), "__h": windows}).drop("__l", "__w")
-    out = out.withColumn("n_repeat_words", repeated(F.col("__h")).cast("long")).drop("__h")
+    out = docs.withColumns({w: words, ls: lines, chars: F.length(text), "word_chars": kept_length(text, BLANKS).cast("long")})
+    for name, without in (("n_symbols", SYMBOLS), (upper, UPPER), (digits, DIGITS), (shout, "!")):
+        out = out.withColumn(name, (F.col(chars) - kept_length(text, without)).cast("long"))
+    out = out.withColumns({"n_words": F.size(w).cast("long"), n_lines: F.size(ls), "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"), h: windows}).drop(ls, w)
+    out = out.withColumn("n_repeat_words", repeated(F.col(h)).cast("long")).drop(h)
     c = F.col
     out = out.withColumns({
         "words": c("n_words").cast("double"), "word_length": share(c("word_chars"), c("n_words")), "symbol_share": share(c("n_symbols"), c("word_chars")),
-        "dup_line_share": share(c("n_dup_lines"), c("__n_lines")), "repeat_share": share(c("n_repeat_words"), c("n_words")),
-        "upper_share": share(c("__upper"), c("word_chars")), "digit_share": share(c("__digits"), c("word_chars")), "shout_share": share(c("__shout"), c("word_chars")),
+        "dup_line_share": share(c("n_dup_lines"), c(n_lines)), "repeat_share": share(c("n_repeat_words"), c("n_words")),
+        "upper_share": share(c(upper), c("word_chars")), "digit_share": share(c(digits), c("word_chars")), "shout_share": share(c(shout), c("word_chars")),
     })
     # One row in, one out; it keeps Spark from repeating the statistics inside a later filter on them.
     return out.select(*(c(x) for x in docs.columns if x not in STATISTICS), F.inline(F.array(F.struct(*STATISTICS))))
@@ -126,23 +130,24 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     Fitted on at most about `sample` labelled documents, chosen by a hash of the id; the
     driver sees counts by cell of the threshold grid only. A rule must reach `precision`
     on the labelled documents it covers, so that clean ones stay. No usable labels: no rule."""
-    labels = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).where("__id is not null and __label in (0, 1)").dropDuplicates(["__id"])
+    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id is not null and label in (0, 1)")
+    labels = labels.groupBy("id").agg(F.min("label").alias("label"))  # of two labels the bad one counts
     n = labels.count()
     if not n:
         return []
-    draw = F.pmod(F.xxhash64("__id", F.lit(17)), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20))
     labels = labels.where(draw < int(min(1.0, sample / n) * (1 << 20)))
-    part = docs.join(labels, docs[id_col] == labels["__id"]).select("__id", "__label", F.col(text_col).alias("text"))
-    part = statistics(part).select("__id", "__label", *RATIOS).persist()
+    part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(labels, "id")
+    part = statistics(part).select("id", "label", *RATIOS).persist()
     try:
         grid = part.agg(*(F.percentile_approx(f, [(k + 0.5) / cuts for k in range(cuts)], 1000).alias(f) for f in RATIOS)).first()
         edges = {f: (lambda v: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)])(sorted(set(grid[f] or []))) for f in RATIOS}
         cells = [cell(f, edges[f]) for f in RATIOS]
-        fold = (F.pmod(F.xxhash64("__id", F.lit(29)), F.lit(3)) == 0).alias("__fold")
-        counts = part.groupBy(fold, *cells).agg(F.sum(1 - F.col("__label")).alias("__bad"), F.sum("__label").alias("__good")).collect()
+        fold = (F.pmod(F.xxhash64("id", F.lit(29)), F.lit(3)) == 0).alias("fold")
+        counts = part.groupBy(fold, *cells).agg(F.sum(1 - F.col("label")).alias("bad"), F.sum("label").alias("good")).collect()
     finally:
         part.unpersist()
-    rows = {fold: [(tuple(r[f] for f in RATIOS), r["__bad"], r["__good"]) for r in counts if r["__fold"] == fold] for fold in (False, True)}
+    rows = {fold: [(tuple(r[f] for f in RATIOS), r["bad"], r["good"]) for r in counts if r["fold"] == fold] for fold in (False, True)}
 
     def worth(rule: list[Test], part: list) -> float:
         bad, good = covered(rule, part, edges)
@@ -182,7 +187,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Adds the statistics, base_failed, rule (number of the learned rule that rejects, or null) and kept.
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows.
-    Every input row gives one row; nulls, repeated rows and an empty table are allowed."""
+    Every input row gives one row; nulls in any column (a null label is no label, a null id
+    has none), repeated rows and an empty table are allowed. Of two labels of one id the bad
+    one counts. Columns rule, base_failed, kept and the statistics are replaced, others kept
+    whatever their names."""
     found = learn(docs, labels, id_col, text_col, label_col)
     out = statistics(docs, text_col).withColumn("rule", verdict(found))
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))

@@ -124,7 +124,7 @@ ORACLE_SQL: dict[str, str] = {
             FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.start) GROUP BY page_id
         )
         SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, CASE WHEN
-            regexp_matches(p.host, '^(.*\.)?(cheap-pills|spam-farm|adult-[a-z0-9]+|(online-)?casino(-[a-z0-9]+)*)\.')
+            regexp_matches(p.host, '(?s)^(.*\.)?(cheap-pills|spam-farm|adult-[a-z0-9]+|(online-)?casino(-[a-z0-9]+)*)\.')
             OR regexp_matches(p.path, '/(viagra|cialis)([/._-]|$)') OR regexp_matches(p.path, '/wp-login\.php$') THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts p LEFT JOIN best b USING (page_id)""",
     "op2_jaccard_join": r"""

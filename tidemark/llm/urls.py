@@ -2,25 +2,27 @@
 
 A rule names the literal tokens that any matching URL contains. Token counts over all
 URLs pick the rarest one as the rule's index entry. A URL's tokens fetch candidate
-rules by a join, and only those run their regular expressions.
+rules from the index, and only those run their regular expressions.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import unused
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: run on host + newline + path. tokens: lower-case literals ([a-z0-9]+) of every match.
+    """pattern: run on host + path; a host has no slash and a path starts with one. tokens: lower-case literals ([a-z0-9]+) of every match.
 
     Rules with a name (host and path rules) go before patterns; longer names go first."""
 
@@ -36,18 +38,18 @@ def host_rule(verdict: str, name: str) -> Rule:
     literal = lambda s: re.sub(r"([^A-Za-z0-9/])", r"\\\1", s)
     tokens = [t for t in re.split("[^a-z0-9]+", host) if t]
     inner = [t.lower() for t in re.findall(r"(?<![A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])", f"/{path}")]
-    return Rule(verdict, rf"^(?:[^\n]*\.)?{literal(host)}\n/{literal(path)}", (*tokens, *inner), name)
+    return Rule(verdict, rf"^(?:[^/]*\.)?{literal(host)}/{literal(path)}", (*tokens, *inner), name)
 
 
 #: The method's own patterns: hosts that sell, spam or are for adults.
 PATTERNS = (
-    Rule("block", r"^(?:[^\n]*\.)?cheap-pills\.", ("cheap", "pills")),
-    Rule("block", r"^(?:[^\n]*\.)?spam-farm\.", ("spam", "farm")),
-    Rule("block", r"^(?:[^\n]*\.)?adult-[a-z0-9]+\.", ("adult",)),
-    Rule("block", r"^(?:[^\n]*\.)?(?:online-)?casino(?:-[a-z0-9]+)*\.", ("casino",)),
-    Rule("block", r"\n.*/viagra(?:[/.\-_]|\z)", ("viagra",)),
-    Rule("block", r"\n.*/cialis(?:[/.\-_]|\z)", ("cialis",)),
-    Rule("block", r"\n.*/wp-login\.php\z", ("wp", "login", "php")),
+    Rule("block", r"^(?:[^/]*\.)?cheap-pills\.", ("cheap", "pills")),
+    Rule("block", r"^(?:[^/]*\.)?spam-farm\.", ("spam", "farm")),
+    Rule("block", r"^(?:[^/]*\.)?adult-[a-z0-9]+\.", ("adult",)),
+    Rule("block", r"^(?:[^/]*\.)?(?:online-)?casino(?:-[a-z0-9]+)*\.", ("casino",)),
+    Rule("block", r"/viagra(?:[/.\-_]|\z)", ("viagra",)),
+    Rule("block", r"/cialis(?:[/.\-_]|\z)", ("cialis",)),
+    Rule("block", r"/wp-login\.php\z", ("wp", "login", "php")),
 )
 
 
@@ -66,25 +68,34 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = PATTERNS, url_col: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule (the name of the deciding host rule, or null) and verdict to every row.
 
-    Each distinct URL is judged once, so a common URL or host is no hot key. Of the
-    matching rules the longest name wins, then the first in the list; without a match
-    the verdict is default. Null and malformed URLs match no rule. Columns called host,
-    path, rule or verdict are replaced. The rule list is a parameter on the driver; its
-    index is broadcast, at most one row per rule."""
-    spark = pages.sparkSession
-    host, path = url_parts(F.col("url"))
-    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().select("url", F.concat(host, F.lit("\n"), path).alias("subject"))
-    tokens = urls.select("url", "subject", F.explode(F.array_distinct(F.split(ascii_lower(F.col("subject")), "[^a-z0-9]+"))).alias("token"))
+    Of the matching rules the longest name wins, then the first in the list; without a
+    match the verdict is default. Null and malformed URLs match no rule; line breaks are
+    characters like others; repeated rows and null ids are judged like any. Columns called
+    host, path, rule or verdict are replaced.
+
+    Narrow: the index is a literal of one row per rule, in as many hash cells as rules, so
+    a token meets about one entry; nothing is shuffled and nothing grows with the pages. One
+    aggregate before counts the rules' tokens."""
     if any(not r.tokens for r in rules):
         raise ValueError("every rule needs a literal token")
+    subject, own = unused("subject", pages.columns), unused("tokens", pages.columns)
+    host, path = url_parts(F.col(url_col))
+    rows = pages.withColumn(subject, F.concat(host, path))
+    words = lambda c: F.array_distinct(F.split(ascii_lower(c), "[^a-z0-9]+"))
     known = sorted({t for r in rules for t in r.tokens})
+    tokens = rows.select(F.explode(words(F.col(subject))).alias("token"))
     counts = {r["token"]: r["count"] for r in tokens.where(F.col("token").isin(known)).groupBy("token").count().collect()}
-    index = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r.pattern, r.verdict, r.name, len(r.name or ""), -k) for k, r in enumerate(rules)]
-    table = F.broadcast(spark.createDataFrame(index, "token string, pattern string, verdict string, name string, size int, place int"))
-    rank = F.max_by(F.struct("verdict", "name"), F.struct(F.col("name").isNotNull().alias("named"), "size", "place")).alias("hit")
-    matched = tokens.join(table, "token").where("subject rlike pattern")
-    host, path = url_parts(F.col(url_col))
-    out = pages.withColumns({"host": host, "path": path})
-    hits = saved(matched.groupBy("url").agg(rank).select(F.col("url").alias("__url"), F.col("hit.name").alias("__rule"), F.col("hit.verdict").alias("__verdict")))
-    out = out.join(hits, F.col(url_col) == F.col("__url"), "left")
-    return out.withColumns({"rule": F.col("__rule"), "verdict": F.coalesce("__verdict", F.lit(default))}).drop("__url", "__rule", "__verdict")
+    cells: list[list] = [[] for _ in range(max(1, len(rules)))]
+    for k, r in enumerate(rules):
+        token = min(r.tokens, key=lambda t: (counts.get(t, 0), t))
+        entry = {"named": r.name is not None, "size": len(r.name or ""), "place": -k, "name": r.name, "verdict": r.verdict, "token": token, "pattern": r.pattern}
+        cells[zlib.crc32(token.encode()) % len(cells)].append(entry)
+    kind = "array<array<struct<named:boolean,size:int,place:int,name:string,verdict:string,token:string,pattern:string>>>"
+    index = F.from_json(F.lit(json.dumps(cells)), kind)
+    cell = lambda t: F.get(index, F.crc32(t.cast("binary")) % len(cells))
+    candidates = F.flatten(F.transform(F.col(own), lambda t: F.filter(cell(t), lambda c: c["token"] == t)))
+    hit = F.array_max(F.filter(candidates, lambda c: F.rlike(F.col(subject), c["pattern"])))
+    out = pages.withColumns({"host": host, "path": path, subject: F.concat(host, path)})
+    out = out.withColumn(own, words(F.col(subject)))
+    out = out.withColumn(own, hit)
+    return out.withColumns({"rule": F.col(own)["name"], "verdict": F.coalesce(F.col(own)["verdict"], F.lit(default))}).drop(subject, own)

@@ -60,7 +60,9 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     Links are pairs with cosine >= threshold; components follow links; the smallest id
     of a component is kept. Vectors that are null, zero or have null or non-finite parts,
     and vectors of different lengths, link with nothing. Equal vectors are one class
-    (they link with each other); repeated ids are separate vectors. An empty table is fine.
+    (they link with each other), told by a 64-bit hash; repeated ids are separate vectors.
+    A null id is linked like any other: its component is the smallest id that is no null,
+    and it is kept only if no row of its component has an id. An empty table is fine.
 
     k-means is fitted on a bounded sample; every vector is indexed in its nearest cell and
     looked up in all cells whose cosine is within `margin` of the best, so pairs across a
@@ -69,8 +71,9 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     returns link counts and a spanning forest of its links.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    good = rows.where(usable(F.col("vec")))
-    classes = saved(good.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    rows = rows.withColumn("rep", F.when(usable(F.col("vec")), F.xxhash64("vec")))
+    good = rows.where("rep is not null")
+    classes = saved(good.groupBy("rep").agg(F.first("vec").alias("vec"), F.min("id").alias("id"), F.count("*").alias("copies")))
     count = classes.count()
     centres = fit(classes, count, sample)
 
@@ -87,10 +90,14 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                     probes[row] = [int(c) for c in np.flatnonzero(at) if c != home[row]]
             yield pa.RecordBatch.from_arrays([batch["rep"], batch["copies"], batch["vec"], pa.array(home), pa.array(probes, pa.list_(pa.int64()))], ["rep", "copies", "vec", "home", "probes"])
 
+    def result(n_links, component) -> list[Column]:
+        kept = F.coalesce(F.col("id") == component, component.isNull())
+        return [F.col("id").alias(id_col), n_links.cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept")]
+
     if centres is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select(*result(F.lit(0), F.col("id")))
     kinds = dict(classes.dtypes)
-    placed = saved(classes.select("rep", "copies", "vec").mapInArrow(place, f"rep {kinds['rep']}, copies long, vec {kinds['vec']}, home long, probes array<long>"))
+    placed = saved(classes.select("rep", "copies", "vec").mapInArrow(place, f"rep long, copies long, vec {kinds['vec']}, home long, probes array<long>"))
     sizes = placed.groupBy(F.col("home").alias("cell")).count()
     visits = placed.select(F.explode("probes").alias("cell")).groupBy("cell").count()
     cells = sizes.select("cell", F.ceil(F.col("count") / BLOCK_ROWS).alias("blocks")).join(visits.select("cell", F.ceil(F.col("count") / BLOCK_ROWS).alias("guests")), "cell", "left")
@@ -138,9 +145,9 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     found = saved(residents.unionByName(guest).groupBy("cell", "a", "b").applyInArrow(compare, "rep long, n long, root long"))
     groups = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    known = classes.join(counts, "rep", "left").join(groups, classes["rep"] == groups["id"], "left")
-    known = saved(known.select("vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", classes["rep"]).alias("component_id")))
-    key = F.when(usable(F.col("vec")), F.col("vec"))
-    out = rows.withColumn("key", key).join(known.withColumnRenamed("vec", "key"), "key", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    known = saved(classes.select("rep", "id", "copies").join(counts, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left"))
+    firsts = known.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    known = known.join(firsts, "component", "left").select("rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "id").alias("component_id"))
+    known = saved(known)
+    linked = rows.where("rep is not null").select("id", "rep").join(known, "rep").select(*result(F.col("n_links"), F.col("component_id")))
+    return linked.unionByName(rows.where("rep is null").select(*result(F.lit(0), F.col("id"))))
