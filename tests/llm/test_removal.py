@@ -58,6 +58,28 @@ def test_substrings_of_odd_rows(table):
     assert {r["doc_id"]: r["text"] for r in last} == {None: "d", 3: "x a b c"}
 
 
+def test_blocks_of_one_id_and_of_none(table, monkeypatch):
+    """Rows of one id, and rows without one, are cut into many blocks and still are no copies of each other."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 300)
+    rows = [(7, f"a b c d e {k % 3} f g h") for k in range(60)] + [(k, f"{k} a b c d") for k in range(30)] + [(None, "g h i j 5") for _ in range(40)] + [(None, "a b c d")]
+    out = substrings.substring_dedup(table(rows), width=3).collect()
+    key = lambda i: 1 << 40 if i is None else i
+    want = Counter((i if i < 1 << 40 else None, t, n, m) for i, t, n, m in brute_substrings([(key(i), t) for i, t in rows], 3))
+    assert Counter((r["doc_id"], r["text"], r["n_words"], r["n_removed"]) for r in out) == want
+
+
+def test_long_texts(table):
+    """Texts of over a MB, and rows that repeat, against brute force or by what is left."""
+    body = " ".join(f"w{k}" for k in range(180_000))
+    rows = [(1, body), (2, "x " + body), (3, "y " * 20 + " ".join(body.split()[:900]))]
+    got = {r["doc_id"]: r for r in substrings.substring_dedup(table(rows)).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"] == "x" and got[3]["n_removed"] == 900
+    left = {r["doc_id"]: r for r in suffixes.suffix_dedup(table([*rows[:2], (4, "z" * 300)])).collect()}
+    assert [bytes(left[k]["kept"]) for k in (1, 2, 4)] == [b"", b"x ", b""]
+    twice = suffixes.suffix_dedup(table([(None, body[:900])] * 40)).collect()
+    assert all(r["n_removed"] == 900 for r in twice)
+
+
 def test_suffixes(table, documents):
     rows = documents[:120] + [(100_000 + k, t[7 : 7 + len(t) // 2] + t[:300]) for k, (_, t) in enumerate(documents[:40])]
     got = sorted(((r["doc_id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], len(r["spans"])) for r in suffixes.suffix_dedup(table(rows)).collect()), key=repr)

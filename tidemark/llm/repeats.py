@@ -1,160 +1,76 @@
-"""Which 64-bit keys occur again elsewhere in a corpus, in bounded memory.
+"""Which 64-bit keys occur again elsewhere in a corpus, counted in Spark.
 
-Documents are dealt into blocks of a few megabytes. A block sends its sorted
-distinct keys, cut into hash ranges (buckets), each as one compact binary row.
-A bucket compares the keys of all blocks and answers each of them with one bit
-per key. A key that fills a third of the corpus is one entry per block, so no
-bucket is larger than another. The blocks then meet their answers again.
+Documents are dealt into blocks of a few megabytes. A block sends its sorted distinct
+keys, those it has twice two times, as one array for each hash range (bucket) in which
+it has any, so there are never more rows than keys. Spark deals the arrays by bucket,
+takes them apart and counts every key; what occurs again goes back to its blocks. A key
+that fills a third of the corpus is two rows of a block at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-KEYS = "block int, bucket int, level int, n int, keys binary, twice binary"
-ANSWERS = "block int, bucket int, level int, bits binary, before binary"
+KEYS = "bucket int, block long, place long, keys array<long>"
+BUCKETS = 8
 
 
-@dataclass(frozen=True)
-class Layout:
-    """blocks: parts of the corpus; buckets: hash ranges of the keys."""
+def buckets_of(df: DataFrame) -> int:
+    """Hash ranges: some for each shuffle partition, so that partitions come out even."""
+    return BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    blocks: int
-    buckets: int
 
-
-def layout(df: DataFrame, text: str, block_bytes: int, bucket_bytes: int, *more) -> tuple[Layout, list]:
-    """Sizes from the total text length, at least what the session's shuffle width can use.
-
-    Every block sends a row to every bucket, so buckets, which are cheap to compare, are
-    a quarter of the width at least. more: further aggregates that the same pass shall compute."""
-    row = df.agg(F.sum(F.octet_length(F.col(text))).alias("bytes"), *more).first()
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = row["bytes"] or 0
-    return Layout(max(parts, -(-total // block_bytes)), max(-(-parts // 4), -(-total // bucket_bytes))), list(row)[1:]
-
-
-def bounds(buckets: int) -> np.ndarray:
-    return np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=U64)
-
-
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and which of them occur more than once."""
+def key_rows(block: int, place: int, keys: np.ndarray, buckets: int) -> pa.Table:
+    """One row for each bucket with keys; a key that occurs more than once stands there twice."""
     keys = np.sort(keys)
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(first)
-    return keys[at], np.diff(np.append(at, len(keys))) > 1
-
+    keep = np.ones(len(keys), bool)
+    keep[2:] = keys[2:] != keys[:-2]
+    keys = keys[keep]
+    bucket = (keys >> U64(32)) * U64(buckets) >> U64(32)
+    heads = np.flatnonzero(np.diff(bucket, prepend=np.array([buckets], U64)))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(keys)), pa.int32()), pa.array(keys.view(np.int64)))
+    same = [pa.array(np.full(len(heads), x, np.int64)) for x in (block, place)]
+    return pa.table([pa.array(bucket[heads].astype(np.int32)), *same, lists], ["bucket", "block", "place", "keys"])
 
-def pack(keys: np.ndarray) -> bytes:
-    """Differences of sorted keys as byte planes; the high planes are zeros, which shuffles compress."""
-    gaps = keys.copy()
-    gaps[1:] -= keys[:-1]
-    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
 
+def answers(keys: DataFrame, earlier: bool = False) -> DataFrame:
+    """For each block, by bucket, its keys that occur again: in array before those that a smaller
+    place has too, in array here the others. earlier: only the former are wanted."""
+    same = Window.partitionBy("bucket", "key")
+    rows = keys.repartition("bucket").select("bucket", "block", "place", F.explode("keys").alias("key"))
+    rows = rows.select("bucket", "block", "key", F.count("*").over(same).alias("n"), (F.col("place") > F.min("place").over(same)).alias("before"))
+    rows = rows.where("before" if earlier else "n > 1")
+    before, here = (F.collect_list(F.when(c, F.col("key"))) for c in (F.col("before"), ~F.col("before")))
+    return rows.groupBy("bucket", "block").agg(before.alias("before"), here.alias("here")).drop("bucket")
 
-def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel(), dtype=U64)
 
+def flags(keys: np.ndarray, replies: pa.Table, *columns: str) -> np.ndarray:
+    """Which of a block's keys are in the arrays that came back."""
+    found = np.unique(np.concatenate([np.zeros(0, np.int64), *(replies[c].combine_chunks().flatten().to_numpy() for c in columns)]).view(U64))
+    if not len(found):
+        return np.zeros(len(keys), bool)
+    return found[np.minimum(np.searchsorted(found, keys), len(found) - 1)] == keys
 
-def key_table(block: int, buckets: int, levels: dict[int, np.ndarray]) -> pa.Table:
-    """One row per bucket and level with keys. levels: level number to its keys, repeats included."""
-    cols: dict[str, list] = {k: [] for k in ("block", "bucket", "level", "n", "keys", "twice")}
-    for level, keys in levels.items():
-        keys, twice = distinct(keys)
-        cuts = [0, *np.searchsorted(keys, bounds(buckets)).tolist(), len(keys)]
-        for b in range(buckets):
-            lo, hi = cuts[b], cuts[b + 1]
-            if hi > lo:
-                for k, v in zip(cols, (block, b, level, hi - lo, pack(keys[lo:hi]), np.packbits(twice[lo:hi]).tobytes()), strict=True):
-                    cols[k].append(v)
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(cols.items(), kinds, strict=True)})
 
+def send(blocks: DataFrame, make: Callable[[pa.Table], np.ndarray], buckets: int) -> DataFrame:
+    """The keys of every block. make: documents of a block (with columns block and place) to its keys."""
 
-def answers(keys: DataFrame, earlier: bool = False) -> DataFrame:
-    """One bit for each key: does another block have it, or its own block twice?
-
-    earlier: only blocks with a smaller number count, and repeats inside the block don't.
-    Column bits has the answer; column before tells in either case whether a block with
-    a smaller number has the key. Rows without a set bit are left out."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("block", "bucket", "level", "bits", "before")}
-        order = np.argsort(table["block"].to_numpy(), kind="stable")
-        levels, blocks, sizes = (table[c].to_numpy() for c in ("level", "block", "n"))
-        bucket = table["bucket"][0].as_py() if len(table) else 0
-        for level in np.unique(levels):
-            rows = [int(i) for i in order if levels[i] == level]
-            own = np.concatenate([unpack(table["keys"][i].as_py()) for i in rows])
-            at = np.argsort(own, kind="stable")
-            same = own[at[1:]] == own[at[:-1]]
-            before = np.zeros(len(own), bool)
-            before[at[1:][same]] = True
-            found = before
-            if not earlier:
-                found = before.copy()
-                found[at[:-1][same]] = True
-            del own, at, same
-            pos = 0
-            for i in rows:
-                bits, sooner = found[pos : pos + sizes[i]], before[pos : pos + sizes[i]]
-                pos += sizes[i]
-                if not earlier:
-                    bits = bits | np.unpackbits(np.frombuffer(table["twice"][i].as_py(), np.uint8), count=sizes[i]).astype(bool)
-                if bits.any():
-                    for k, v in zip(out, (int(blocks[i]), bucket, int(level), np.packbits(bits).tobytes(), np.packbits(sooner).tobytes()), strict=True):
-                        out[k].append(v)
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
-
-    return keys.groupBy("bucket").applyInArrow(compare, ANSWERS)
-
-
-def flags(keys: np.ndarray, table: pa.Table, level: int, buckets: int, column: str = "bits") -> np.ndarray:
-    """For each of the block's keys of a level, in the order given, the bit that came back."""
-    if not len(keys):
-        return np.zeros(0, bool)
-    order = np.argsort(keys)
-    ordered = keys[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = ordered[1:] != ordered[:-1]
-    rank = np.cumsum(first) - 1
-    own = ordered[first]
-    cuts = [0, *np.searchsorted(own, bounds(buckets)).tolist(), len(own)]
-    bits = np.zeros(len(own), bool)
-    for b, at, blob in zip(table["bucket"].to_pylist(), table["level"].to_pylist(), table[column].to_pylist(), strict=True):
-        if at == level:
-            bits[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=cuts[b + 1] - cuts[b])
-    out = np.empty(len(keys), bool)
-    out[order] = bits[rank]
-    return out
-
-
-def send(blocks: DataFrame, make: Callable[[pa.Table], dict[int, np.ndarray]], size: Layout) -> DataFrame:
-    """The keys of every block. make: documents of a block to its keys by level."""
-    buckets = size.buckets
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return key_table(key[0].as_py(), buckets, make(table))
+    def run(table: pa.Table) -> pa.Table:
+        return key_rows(table["block"][0].as_py(), table["place"][0].as_py(), make(table), buckets)
 
     return blocks.groupBy("block").applyInArrow(run, KEYS)
 
 
-def send_again(blocks: DataFrame, replies: DataFrame, make: Callable[[pa.Table, pa.Table], dict[int, np.ndarray]], size: Layout) -> DataFrame:
+def send_again(blocks: DataFrame, replies: DataFrame, make: Callable[[pa.Table, pa.Table], np.ndarray], buckets: int) -> DataFrame:
     """Keys of a further level, which depend on the answers so far."""
-    buckets = size.buckets
 
-    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, bits: pa.Table) -> pa.Table:
-        return key_table(key[0].as_py(), buckets, make(docs, bits))
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        return key_rows(docs["block"][0].as_py(), docs["place"][0].as_py(), make(docs, found), buckets)
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, KEYS)

@@ -12,28 +12,38 @@ from pyspark.sql import types as T
 
 from . import repeats, text
 
-BLOCK_BYTES, BUCKET_BYTES, KNOTS = 8 << 20, 16 << 20, 1000
+BLOCK_BYTES, KNOTS = 8 << 20, 1000
 LAST = np.iinfo(np.int64).max
 
 
-def in_order(docs: DataFrame, id_col: str, blocks: int, knots: list) -> DataFrame:
-    """Adds column block: ranges of the id, in order, of about equal row counts.
+def in_order(docs: DataFrame) -> DataFrame:
+    """Adds place, a number that grows with the id, and block, which is one place or, where all
+    rows have the same id or none, a part of one. Blocks have about BLOCK_BYTES of text.
 
-    knots: quantiles of the id. A range between two knots is cut evenly when more
-    blocks than knots are needed. Null ids come last."""
-    knots = sorted({float(k) for k in knots or []})
-    step = max(1, len(knots) // blocks)
-    knots, sub = knots[::step] or [0.0], max(1, blocks // max(1, len(knots[::step])))
-    splits = [-float("inf"), *knots, float("inf")]
-    place = Bucketizer(splits=splits, inputCol="__id", outputCol="__range", handleInvalid="keep")
-    out = place.transform(docs.withColumn("__id", F.col(id_col).cast("double")))
-    block = F.col("__range").cast("int")
-    if sub > 1:
-        at = F.array(*(F.lit(k) for k in [knots[0], *knots, knots[-1] + 1]))
-        low, high = F.try_element_at(at, block + 1), F.try_element_at(at, block + 2)
-        part = F.floor((F.col("__id") - low) / (high - low) * sub)
-        block = block * sub + F.coalesce(F.greatest(F.lit(0), F.least(F.lit(sub - 1), part)), F.lit(0))
-    return out.withColumn("block", F.coalesce(block.cast("int"), F.lit(2**31 - 1))).drop("__id", "__range")
+    Up to 1,000 quantiles of the id cut ranges; an id that is several quantiles has a range of
+    its own. Bytes of a range, some thousand numbers, tell into how many even parts of its ids
+    it is cut. Null ids come last."""
+    quantiles = docs.agg(F.percentile_approx("id", [i / KNOTS for i in range(KNOTS)], 10 * KNOTS)).first()[0] or [0]
+    often = {a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b}
+    knots = sorted({float(k) for k in quantiles} | {float(k) + 1 for k in often})
+    bucket = Bucketizer(splits=[-float("inf"), *knots, float("inf")], inputCol="number", outputCol="range", handleInvalid="keep")
+    ranged = bucket.transform(docs.withColumn("number", F.col("id").cast("double"))).withColumn("range", F.coalesce(F.col("range").cast("int"), F.lit(len(knots) + 1)))
+    sizes = {r["range"]: r for r in ranged.groupBy("range").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("number").alias("lo"), F.max("number").alias("hi")).collect()}
+    total = sum(r["bytes"] or 0 for r in sizes.values())
+    each = max(1, min(BLOCK_BYTES, total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    base, columns = 0, []
+    for k in range(len(knots) + 2):
+        r = sizes.get(k)
+        parts = max(1, -(-(r["bytes"] or 0) // each)) if r else 1
+        low, high = (r["lo"], r["hi"]) if r and r["lo"] is not None else (0.0, 0.0)
+        columns.append((base, parts, low, high))
+        base += parts
+    at = lambda k, kind: F.get(F.array(*(F.lit(c[k]) for c in columns)).cast(f"array<{kind}>"), F.col("range"))
+    ranged = ranged.withColumns({"base": at(0, "bigint"), "parts": at(1, "bigint"), "lo": at(2, "double"), "hi": at(3, "double")})
+    same = F.col("hi") <= F.col("lo")
+    part = F.when(same, F.pmod(F.monotonically_increasing_id(), "parts")).otherwise(F.least(F.col("parts") - 1, F.floor((F.col("number") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("parts"))))
+    out = ranged.withColumn("block", F.col("base") + part)
+    return out.select(*docs.columns, "block", F.when(same, F.col("base")).otherwise(F.col("block")).alias("place"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
@@ -51,20 +61,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of each range (about 6 bytes each), one of the answers (a bit each).
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    size, (knots,) = repeats.layout(docs, "text", BLOCK_BYTES, BUCKET_BYTES, F.percentile_approx("id", [i / KNOTS for i in range(KNOTS)], 10 * KNOTS))
-    blocks = in_order(docs, "id", size.blocks, knots)
-    buckets = size.buckets
+    blocks, buckets = in_order(docs), repeats.buckets_of(docs)
 
     def hashes(table: pa.Table):
         data, offsets = text.utf8(table["text"])
         starts, ends, first, own = text.words(data, offsets)
         return data, offsets, starts, ends, first, *text.window_hashes(own, first, width)
 
-    def remove(key: tuple[pa.Scalar, ...], table: pa.Table, bits: pa.Table) -> pa.Table:
+    def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending")]))
         data, offsets, starts, ends, first, at, windows = hashes(table)
         ids = pc.fill_null(table["id"].cast(pa.int64()), LAST).to_numpy()
-        found = repeats.flags(windows, bits, 0, buckets)
+        found = repeats.flags(windows, replies, "before")
         owner = ids[np.searchsorted(first, at, "right") - 1]
         order = np.argsort(windows, kind="stable")  # windows stand in id order
         ordered = windows[order]
@@ -93,7 +101,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         base = np.repeat(first[:-1], np.diff(rows))
         return starts - base, ends - base, rows
 
-    keys = repeats.send(blocks, lambda table: {0: hashes(table)[-1]}, size)
+    keys = repeats.send(blocks, lambda table: np.unique(hashes(table)[-1]), buckets)
     replies = repeats.answers(keys, earlier=True)
     schema = T.StructType([
         T.StructField("id", docs.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()),

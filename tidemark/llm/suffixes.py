@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from . import repeats, text
 
 U64 = np.uint64
-BLOCK_BYTES, BUCKET_BYTES, CELL = 4 << 20, 32 << 20, 13
+BLOCK_BYTES, CELL = 4 << 20, 13
 BUCKET, RUN, CORE, SPAN, WINDOW = range(5)
 SALT = [U64(0x632BE59BD9B4E019 * k & (1 << 64) - 1) for k in (1, 3, 5, 7, 9)]
 
@@ -90,12 +90,12 @@ class Block:
     def split(self, flags: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
         return np.split(flags, np.cumsum(sizes)[:-1]) if sizes else []
 
-    def runs(self) -> dict[int, np.ndarray]:
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of all anchors (the initial buckets) and of their whole runs."""
-        return {
-            BUCKET: self.hashes([(p.anchor, p.anchor + self.gram) for p in self.parts], BUCKET),
-            RUN: self.hashes([(p.first, p.last + self.length) for p in self.parts], RUN, [p.anchor - p.first for p in self.parts]),
-        }
+        return (
+            self.hashes([(p.anchor, p.anchor + self.gram) for p in self.parts], BUCKET),
+            self.hashes([(p.first, p.last + self.length) for p in self.parts], RUN, [p.anchor - p.first for p in self.parts]),
+        )
 
     def cells(self, open_: np.ndarray):
         """Cells of the open runs: part by part their anchors, first and last starts, and the core all windows of a full cell share."""
@@ -111,11 +111,11 @@ class Block:
             out.append((at[own], np.maximum(a[own], far), np.minimum(b[own], near), near, far + self.length))
         return out
 
-    def cell_keys(self, cells) -> dict[int, np.ndarray]:
-        return {
-            CORE: self.hashes([(near, end) for _, _, _, near, end in cells], CORE, [at - near for at, _, _, near, _ in cells]),
-            SPAN: self.hashes([(a, b + self.length) for _, a, b, _, _ in cells], SPAN, [at - a for at, a, *_ in cells]),
-        }
+    def cell_keys(self, cells) -> tuple[np.ndarray, np.ndarray]:
+        return (
+            self.hashes([(near, end) for _, _, _, near, end in cells], CORE, [at - near for at, _, _, near, _ in cells]),
+            self.hashes([(a, b + self.length) for _, a, b, _, _ in cells], SPAN, [at - a for at, a, *_ in cells]),
+        )
 
     def starts(self, cells, open_: np.ndarray) -> list[np.ndarray]:
         """All window starts of the open cells."""
@@ -125,25 +125,23 @@ class Block:
             out.append(np.repeat(a - (np.cumsum(count) - count), count) + np.arange(count.sum()))
         return out
 
-    def window_keys(self, starts: list[np.ndarray]) -> dict[int, np.ndarray]:
-        return {WINDOW: self.hashes([(s, s + self.length) for s in starts], WINDOW)}
+    def window_keys(self, starts: list[np.ndarray]) -> np.ndarray:
+        return self.hashes([(s, s + self.length) for s in starts], WINDOW)
 
 
-def narrow(block: Block, bits: pa.Table, buckets: int):
+def narrow(block: Block, replies: pa.Table):
     """What the first answers settle: runs found repeated, and those to look into.
 
     Of the members of a settled bucket, those of its first block go on for the others."""
-    keys = block.runs()
-    bucket, whole = (repeats.flags(keys[k], bits, k, buckets) for k in (BUCKET, RUN))
-    before = repeats.flags(keys[RUN], bits, RUN, buckets, "before")
-    return whole, bucket & ~(whole & before)
+    anchor, run = block.runs()
+    whole = repeats.flags(run, replies, "before", "here")
+    return whole, repeats.flags(anchor, replies, "before", "here") & ~(whole & repeats.flags(run, replies, "before"))
 
 
-def narrow_again(block: Block, cells, bits: pa.Table, buckets: int):
-    keys = block.cell_keys(cells)
-    core, span = (repeats.flags(keys[k], bits, k, buckets) for k in (CORE, SPAN))
-    before = repeats.flags(keys[SPAN], bits, SPAN, buckets, "before")
-    return span, core & ~(span & before)
+def narrow_again(block: Block, cells, replies: pa.Table):
+    core, span = block.cell_keys(cells)
+    whole = repeats.flags(span, replies, "before", "here")
+    return whole, repeats.flags(core, replies, "before", "here") & ~(whole & repeats.flags(span, replies, "before"))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 48, whole_characters: bool = False) -> DataFrame:
@@ -163,32 +161,31 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bytes or so, runs and cells of repeated passages are settled by one key for all.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    size, _ = repeats.layout(docs, "text", BLOCK_BYTES, BUCKET_BYTES)
-    buckets, count = size.buckets, size.blocks
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(count)).cast("int"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
+    row = F.xxhash64("id", F.monotonically_increasing_id())  # rows that repeat, or have no id, are spread too
+    blocks = docs.withColumn("block", F.pmod(row, F.lit(count))).withColumn("place", F.col("block"))
+    buckets = repeats.buckets_of(docs)
 
-    def first(table: pa.Table) -> dict[int, np.ndarray]:
-        return Block(table["text"], length, gram).runs()
+    def first(table: pa.Table) -> np.ndarray:
+        return np.concatenate(Block(table["text"], length, gram).runs())
 
-    def second(table: pa.Table, bits: pa.Table) -> dict[int, np.ndarray]:
+    def second(table: pa.Table, replies: pa.Table) -> np.ndarray:
         block = Block(table["text"], length, gram)
-        _, open_ = narrow(block, bits, buckets)
-        return block.cell_keys(block.cells(open_))
+        return np.concatenate(block.cell_keys(block.cells(narrow(block, replies)[1])))
 
-    def third(table: pa.Table, bits: pa.Table) -> dict[int, np.ndarray]:
+    def third(table: pa.Table, replies: pa.Table) -> np.ndarray:
         block = Block(table["text"], length, gram)
-        _, open_ = narrow(block, bits, buckets)
-        cells = block.cells(open_)
-        _, open_cells = narrow_again(block, cells, bits, buckets)
-        return block.window_keys(block.starts(cells, open_cells))
+        cells = block.cells(narrow(block, replies)[1])
+        return block.window_keys(block.starts(cells, narrow_again(block, cells, replies)[1]))
 
-    def remove(table: pa.Table, bits: pa.Table) -> pa.Table:
+    def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = Block(table["text"], length, gram)
-        whole, open_ = narrow(block, bits, buckets)
+        whole, open_ = narrow(block, replies)
         cells = block.cells(open_)
-        span, open_cells = narrow_again(block, cells, bits, buckets)
+        span, open_cells = narrow_again(block, cells, replies)
         starts = block.starts(cells, open_cells)
-        window = repeats.flags(block.window_keys(starts)[WINDOW], bits, WINDOW, buckets)
+        window = repeats.flags(block.window_keys(starts), replies, "before", "here")
         edge = np.zeros(len(block.data) + 1, np.int64)
         groups = zip(block.parts, block.split(whole, block.sizes), cells, block.split(span, [len(c[0]) for c in cells]), starts, block.split(window, [len(s) for s in starts]), strict=True)
         for p, w, (_, a, b, _, _), s, at, found in groups:
@@ -206,11 +203,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "n_removed": pa.array(np.diff(removed[block.offsets]), pa.int64()), "spans": text.span_lists(at - base, to - base, rows),
         })
 
-    bits = repeats.answers(repeats.send(blocks, first, size))
+    replies = repeats.answers(repeats.send(blocks, first, buckets))
     for level in (second, third):
-        bits = bits.unionByName(repeats.answers(repeats.send_again(blocks, bits, level, size)))
+        replies = replies.unionByName(repeats.answers(repeats.send_again(blocks, replies, level, buckets)))
     schema = T.StructType([
         T.StructField("id", docs.schema["id"].dataType), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     ])
-    return blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(remove, schema).withColumnRenamed("id", id_col)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(remove, schema).withColumnRenamed("id", id_col)
