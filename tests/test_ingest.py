@@ -10,7 +10,7 @@ from tidemark.operators import normalize, validate
 from tidemark.plans import ingest
 from tidemark.schemas import EQUITY, INDEX, WEIGHTS, MissingColumns
 from tidemark.sources import landed
-from tidemark.sources.catalogs import INDUSTRIES, names
+from tidemark.sources.catalogs import INDUSTRIES
 from tidemark.sources.days import read_days, write_days
 
 
@@ -74,7 +74,7 @@ def test_index_versions(spark, tmp_path):
 
 
 def snapshot(day, version="SW2021", weight="1.0"):
-    return [{"secID": f"I{t}", "ticker": t, "consID": f"C{t}", "consTickerSymbol": t, "consExchangeCD": "XSHE", "effDate": day, "weight": weight} for t in names(INDUSTRIES[version])]
+    return [{"secID": f"I{t}", "ticker": t, "consID": f"C{t}", "consTickerSymbol": t, "consExchangeCD": "XSHE", "effDate": day, "weight": weight} for t in INDUSTRIES[version]]
 
 
 def run(spark, tmp_path, rows, start="20220101", end="20231231", **more):
@@ -137,6 +137,49 @@ def test_a_landed_request_keeps_its_window(spark, tmp_path):
         ingest.run_weights(rows, f"{tmp_path}/w", "20220101", "20221231")
 
 
+def test_requests_of_runs(spark, tmp_path):
+    """Equity days in chunks of twenty; index runs cut at stored days, at the change of version and after twenty."""
+    days = [date.fromordinal(date(2021, 11, 22).toordinal() + k).isoformat() for k in range(50)]
+    report = ingest.run_equity(raw(spark, EQUITY, [bar(d) for d in days]), cal(spark, days), f"{tmp_path}/e", "20211101", "20220131")
+    assert report.requests == [(days[0], days[19], 20), (days[20], days[39], 20), (days[40], days[49], 10)] and len(report.days) == 50
+    index = raw(spark, INDEX, [{"indexID": "i", "ticker": "000300", "tradeDate": d.replace("-", ""), "closeIndex": "1"} for d in days])
+    ingest.run_index(index, cal(spark, [days[4]]), f"{tmp_path}/i", "20211101", "20220131")
+    report = ingest.run_index(index, cal(spark, days), f"{tmp_path}/i", "20211101", "20220131")
+    assert report.requests == [(days[0], days[3], 4), (days[5], days[20], 16), (days[21], days[40], 20), (days[41], days[49], 9)] and len(report.days) == 49
+
+
+def test_typed_dates_and_long_lists(spark, monkeypatch):
+    """Dates and timestamps keep their day; many days are a range and a semi-join with the same rows."""
+    from pyspark.sql import functions as F
+
+    rows = raw(spark, EQUITY, [bar("2024-01-02"), bar("20240103"), bar("2024-01-05"), bar("bad"), bar(None)])
+    spans = [(date(2024, 1, 2), date(2024, 1, 3)), (date(2024, 1, 9), date(2024, 1, 9))]
+    for most in (200, 0):
+        monkeypatch.setattr(landed, "MOST_LITERALS", most)
+        assert sorted(str(r["tradeDate"]) for r in landed.of_days(rows, "tradeDate", spans).collect()) == ["2024-01-02", "20240103", "None", "bad"]
+        for kind in ("date", "timestamp"):
+            typed = rows.where("tradeDate like '2024-%'").withColumn("tradeDate", F.col("tradeDate").cast(kind))
+            assert landed.of_days(typed, "tradeDate", spans).count() == 1
+            assert {str(r["trade_date"]) for r in normalize.equity(typed).collect()} == {"2024-01-02", "2024-01-05"}
+    assert landed.of_days(rows, "tradeDate", []).count() == 0
+
+
+def test_rows_outside_of_the_run_are_counted(spark, tmp_path):
+    found = head(run(spark, tmp_path, snapshot("2022-01-31") + snapshot("2024-01-31"), end="20221231"))
+    assert found["summary"]["rows_outside"] == 31 and found["summary"]["rows_downloaded"] == 31
+
+
+def test_a_large_day_is_dealt_to_files(spark, tmp_path):
+    rows = normalize.equity(raw(spark, EQUITY, [bar(DAYS[0], f"{k:06}") for k in range(90)] + [bar(DAYS[1])]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # would put small parts together again
+    try:
+        write_days(rows, str(tmp_path / "d"), EQUITY, rows_per_file=30)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 1 < len(list((tmp_path / "d").rglob(f"*{DAYS[0]}/*.parquet"))) <= 3 and len(list((tmp_path / "d").rglob(f"*{DAYS[1]}/*.parquet"))) == 1
+    assert read_days(spark, str(tmp_path / "d"), EQUITY).count() == 91
+
+
 def test_replacing_a_day_leaves_others(spark, tmp_path):
     rows = normalize.equity(raw(spark, EQUITY, [bar(d) for d in DAYS]))
     write_days(rows, str(tmp_path / "d"), EQUITY)

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+FINITE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
 
 def number_or_null(c: Column) -> Column:
-    """DOUBLE; anything that is not a plain number is null, NaN too, and so is a number too large."""
+    """DOUBLE; anything that is not a plain number is null, NaN too, and so is a number too large.
+
+    Where a value has several uses, name it in a projection first, so that it is parsed once."""
     text = c.cast("string")
-    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.isnan(value) | ((F.abs(value) == float("inf")) & ~text.rlike("(?i)inf")), None).otherwise(value)
+    value = text.try_cast("double")
+    return F.when(text.rlike(FINITE), F.when(F.abs(value) < float("inf"), value)).when(text.rlike(INFINITE), value)
 
 
 def date_or_null(c: Column) -> Column:
-    """DATE of yyyy-MM-dd or yyyyMMdd; a column that is a date already, or a timestamp's text, keeps its day."""
+    """DATE of yyyy-MM-dd or yyyyMMdd text; a column of dates or of timestamps keeps its day. Text of a timestamp is null."""
     text = c.cast("string")
+    text = F.when(F.typeof(c).startswith("timestamp"), F.left(text, F.lit(10))).otherwise(text)  # the type is known before any row
     return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.when(text.rlike("^[0-9]{8}$"), F.try_to_date(text, "yyyyMMdd")))
 
 
@@ -31,26 +35,27 @@ def bad_date(c: Column) -> Column:
     return c.isNotNull() & date_or_null(c).isNull()
 
 
-def exact_long(c: Column) -> Column:
-    """BIGINT; text of an integer goes straight, other numbers by DOUBLE when they are whole; else null."""
-    text, value = F.trim(c.cast("string")), number_or_null(c)
+def exact_long(c: Column, value: Column | None = None) -> Column:
+    """BIGINT; text of an integer goes straight, other numbers by DOUBLE when they are whole; else null.
+
+    value: number_or_null of c, where it is known already."""
+    text, value = F.trim(c.cast("string")), number_or_null(c) if value is None else value
     whole = (F.abs(value) < 9.2e18) & (F.floor(value) == value)
     return F.coalesce(F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")), F.when(whole, value.try_cast("bigint")))
 
 
-def inexact_long(c: Column) -> Column:
+def inexact_long(c: Column, value: Column | None = None) -> Column:
     """True for numbers that are no BIGINT: fractions, infinities, out of range."""
-    return number_or_null(c).isNotNull() & exact_long(c).isNull()
+    return (number_or_null(c) if value is None else value).isNotNull() & exact_long(c, value).isNull()
 
 
-def exact_tiny(c: Column) -> Column:
-    value = exact_long(c)
-    return F.when(value.between(-128, 127), value.cast("tinyint"))
+def exact_tiny(c: Column, value: Column | None = None) -> Column:
+    return exact_long(c, value).try_cast("tinyint")
 
 
-def inexact_tiny(c: Column) -> Column:
+def inexact_tiny(c: Column, value: Column | None = None) -> Column:
     """True for numbers that are no TINYINT."""
-    return number_or_null(c).isNotNull() & exact_tiny(c).isNull()
+    return (number_or_null(c) if value is None else value).isNotNull() & exact_tiny(c, value).isNull()
 
 
 def symbol(ticker: Column, suffix: Column, sec_id: Column) -> Column:

@@ -17,17 +17,31 @@ def project(raw: DataFrame, table: Table, *extra: str) -> DataFrame:
     return raw.select(*(F.col(a).alias(b) for a, b in table.rename.items()), *extra)
 
 
-def typed(df: DataFrame, table: Table) -> DataFrame:
+def typed(df: DataFrame, table: Table, *extra: str) -> DataFrame:
     """The processed columns in order, each coerced to its type; bad dates and numbers become null."""
-    casts = {"double": coerce.number_or_null, "date": coerce.date_or_null, "bigint": coerce.exact_long, "tinyint": coerce.exact_tiny}
-    return df.select(*(casts.get(f.dataType.simpleString(), lambda c: c.cast("string"))(F.col(f.name)).alias(f.name) for f in table.schema))
+    simple = {"double": coerce.number_or_null, "date": coerce.date_or_null}
+    exact = {"bigint": coerce.exact_long, "tinyint": coerce.exact_tiny}
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+    names = {c: unused(f"number of {c}", df.columns) for c, kind in kinds.items() if kind in exact}
+    df = df.withColumns({name: coerce.number_or_null(F.col(c)) for c, name in names.items()})  # parsed once, used often
+    value = lambda c, kind: exact[kind](F.col(c), F.col(names[c])) if kind in exact else simple.get(kind, lambda x: x.cast("string"))(F.col(c))
+    return df.select(*(value(c, kind).alias(c) for c, kind in kinds.items()), *extra)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def with_symbol(df: DataFrame, ticker: str, exchange: str, sec_id: str, out: str) -> DataFrame:
     """Exchange-suffixed symbol by a broadcast lookup; an unknown or null exchange, or a null ticker, falls back to sec_id."""
-    known = exchange_suffixes(df.sparkSession).withColumnsRenamed({"exchange_cd": "__exchange", "suffix": "__suffix"})
-    joined = df.join(known, F.col(exchange) == F.col("__exchange"), "left")
-    return joined.withColumn(out, coerce.symbol(F.col(ticker), F.col("__suffix"), F.col(sec_id))).drop("__exchange", "__suffix")
+    code, suffix = unused("code", df.columns), unused("suffix", df.columns)
+    known = F.broadcast(exchange_suffixes(df.sparkSession).withColumnsRenamed({"exchange_cd": code, "suffix": suffix}))
+    joined = df.join(known, F.col(exchange) == F.col(code), "left")
+    return joined.withColumn(out, coerce.symbol(F.col(ticker), F.col(suffix), F.col(sec_id))).drop(code, suffix)
 
 
 def dated(df: DataFrame, table: Table) -> DataFrame:
@@ -62,11 +76,4 @@ def weights(raw: DataFrame, version: str = "version", *extra: str) -> DataFrame:
     df = df.join(known, (F.col("index_ticker").cast("string") == F.col("catalog_ticker")) & (F.col(version) == F.col("__v")), "left")
     df = df.withColumns({"classification_name": F.col("catalog_name"), "classification_version": F.col(version)})
     df = with_symbol(df, "constituent_ticker", "constituent_exchange_cd", "constituent_sec_id", "constituent_symbol")
-    return df.select(*(coerced.alias(f.name) for f, coerced in zip(WEIGHTS.schema, _weights_columns(), strict=True)), *extra, *([version] if version not in extra else []))
-
-
-def _weights_columns():
-    casts = {"double": coerce.number_or_null, "date": coerce.date_or_null}
-    return [casts.get(f.dataType.simpleString(), lambda c: c.cast("string"))(F.col(f.name)) for f in WEIGHTS.schema]
-
-
+    return typed(df, WEIGHTS, *extra, *([version] if version not in extra else []))

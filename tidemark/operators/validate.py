@@ -65,13 +65,18 @@ def snapshot_gaps(df: DataFrame, expected: DataFrame, by: list[str], member: str
     return gaps.where((F.size("missing") > 0) | (F.size("extra") > 0)).select(*by, "missing", "extra")
 
 
+def equity_rules(raw: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The columns that the rules of raw bars need, numbers parsed once, and the rules."""
+    c = F.col
+    rows = raw.select("tradeDate", "dealAmount", "isOpen", "closePrice", coerce.number_or_null(c("dealAmount")).alias("deals"), coerce.number_or_null(c("isOpen")).alias("open"))
+    return rows, {"bad_date": coerce.bad_date(c("tradeDate")), "inexact_count": coerce.inexact_long(c("dealAmount"), c("deals")), "inexact_flag": coerce.inexact_tiny(c("isOpen"), c("open"))}
+
+
 def check_equity(raw: DataFrame) -> dict[str, int]:
     """Raises on dates and integers that are no such thing; returns row counts, null dates too."""
     c = F.col
-    found = rule_counts(
-        raw.select(c("tradeDate").alias("d"), c("dealAmount").alias("deals"), c("isOpen").alias("open")),
-        {"bad_date": coerce.bad_date(c("d")), "inexact_count": coerce.inexact_long(c("deals")), "inexact_flag": coerce.inexact_tiny(c("open")), "null_date": c("d").isNull(), "rows": F.lit(True)},
-    ).first()
+    rows, rules = equity_rules(raw)
+    found = rule_counts(rows, rules | {"null_date": c("tradeDate").isNull(), "rows": F.lit(True)}).first()
     for rule in ("bad_date", "inexact_count", "inexact_flag"):
         if found[rule]:
             raise ValidationError(rule, detail=f"{found[rule]} rows of {EQUITY.name}")

@@ -3,60 +3,74 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import compact_date, date_or_null, day_text
+from ..functions.coerce import compact_date, date_or_null
 from ..operators import calendars, normalize, quality, validate
 from ..schemas import EQUITY, INDEX, WEIGHTS, Table, require
 from ..sources.catalogs import index_catalog
 from ..sources.days import stored_days, write_days
-from ..sources.landed import empty, of_tickers
+from ..sources.landed import empty, of_days, of_tickers
 from ..sources.manifest import manifest, write_manifest
 
 
 @dataclass(frozen=True)
 class Report:
-    """days: (day, rows, written) of each day; rows and null_date of the raw input."""
+    """days: (day, rows, written) of each day; rows and null_date of the raw input; requests:
+    (first day, last day, days) of each chunk of missing days that was asked for."""
 
     days: list[tuple[str, int, bool]]
+    requests: list[tuple[str, str, int]]
     rows: int
     null_date: int
 
 
-def _backfill(raw: DataFrame, calendar: DataFrame, root: str, table: Table, start: str, end: str) -> DataFrame:
-    """Raw rows of open days that are not stored yet, and rows whose date can't be read, for validation.
-
-    Few missing days are literals in the scan's filter; the list has a row per day."""
-    spark = raw.sparkSession
-    first, last = spark.range(1).select(compact_date(F.lit(start)), compact_date(F.lit(end))).first()
+def _open_days(calendar: DataFrame, start: str, end: str) -> DataFrame:
+    first, last = calendar.sparkSession.range(1).select(compact_date(F.lit(start)), compact_date(F.lit(end))).first()
     if first is None or last is None or first > last:
         raise ValueError(f"bad range {start} to {end}")
-    days = calendars.open_days(calendar, first, last)
-    missing = calendars.missing_days(days, stored_days(spark, root, table))
-    listed = [r["d"] for r in missing.select(day_text(F.col("trade_date")).alias("d")).orderBy("d").collect()]
-    require(raw, table)
-    source = next(a for a, b in table.rename.items() if b == table.date)
-    forms = [*listed, *(f"{d[:4]}-{d[4:6]}-{d[6:]}" for d in listed)]
-    unread = date_or_null(F.col(source)).isNull()
-    return raw.where(F.col(source).cast("string").isin(forms) | unread if forms else F.lit(False))
+    return calendars.open_days(calendar, first, last)
+
+
+def _requests(plan: DataFrame, *by: str) -> list[tuple[date, date, int]]:
+    """First day, last day and number of days of each chunk, in order."""
+    chunks = plan.groupBy(*by).agg(F.min("trade_date").alias("first"), F.max("trade_date").alias("last"), F.count("*").alias("n"))
+    return [tuple(r) for r in chunks.select("first", "last", "n").orderBy("first").collect()]  # a row for every twenty days at most
+
+
+def _source(table: Table) -> str:
+    return next(a for a, b in table.rename.items() if b == table.date)
 
 
 def run_equity(raw: DataFrame, calendar: DataFrame, root: str, start: str, end: str) -> Report:
-    """Stores the missing days of equity bars. Bad dates, and integers that are none, stop the run before a write."""
-    part = _backfill(raw, calendar, root, EQUITY, start, end)
+    """Stores the missing days of equity bars, asked for in chunks of twenty days.
+
+    Bad dates, and integers that are none, stop the run before a write."""
+    require(raw, EQUITY)
+    missing = calendars.missing_days(_open_days(calendar, start, end), stored_days(raw.sparkSession, root, EQUITY))
+    requests = _requests(calendars.chunk_days(missing), "chunk")
+    days = [r[0] for r in missing.orderBy("trade_date").collect()]
+    part = of_days(raw, _source(EQUITY), [(d, d) for d in days])
     found = validate.check_equity(part)
-    return Report(write_days(normalize.equity(part), root, EQUITY), **found)
+    return Report(write_days(normalize.equity(part), root, EQUITY), [(str(a), str(b), n) for a, b, n in requests], **found)
 
 
 def run_index(raw: DataFrame, calendar: DataFrame, root: str, start: str, end: str) -> Report:
-    """Stores the missing days of index bars. Only catalog tickers are fetched; one unknown to the day's version stops the run."""
-    part = of_tickers(_backfill(raw, calendar, root, INDEX, start, end), index_catalog(raw.sparkSession))
+    """Stores the missing days of index bars: runs of missing days, cut at the change of the
+    classification and after twenty days, are asked for from their first to their last day.
+
+    Only catalog tickers are fetched; one unknown to the day's version stops the run."""
+    require(raw, INDEX)
+    plan = calendars.plan_backfill(_open_days(calendar, start, end), stored_days(raw.sparkSession, root, INDEX))
+    requests = _requests(plan, "island", "version", "chunk")
+    part = of_tickers(of_days(raw, _source(INDEX), [(a, b) for a, b, _ in requests]), index_catalog(raw.sparkSession))
     processed = normalize.index(part)
     found = validate.check_index(part, processed)
-    return Report(write_days(processed, root, INDEX), **found)
+    return Report(write_days(processed, root, INDEX), [(str(a), str(b), n) for a, b, n in requests], **found)
 
 
 def run_weights(raw: DataFrame, root: str, start: str, end: str, overwrite: bool = False, source_api: str = "landed") -> str:
@@ -64,7 +78,8 @@ def run_weights(raw: DataFrame, root: str, start: str, end: str, overwrite: bool
 
     Rows belong to the window of their date, or of their window_id column where raw has
     one (a landed request); rows without a readable date go to the first window, where
-    they fail. All windows are judged in a fixed number of jobs. On a failure the windows
+    they fail. Without window_id, rows dated outside the run were not asked for: they are
+    counted in the manifest (rows_outside) and left alone. All windows are judged in a fixed number of jobs. On a failure the windows
     before it are written, the others are not, a failed manifest is tried, and the error
     is raised."""
     spark = raw.sparkSession
@@ -72,12 +87,16 @@ def run_weights(raw: DataFrame, root: str, start: str, end: str, overwrite: bool
     plan = [r.asDict() for r in windows.orderBy("window_id").collect()]
     windows = F.broadcast(spark.createDataFrame([tuple(w.values()) for w in plan], windows.schema))
     require(raw, WEIGHTS)
+    outside = 0
     if "window_id" in raw.columns:
         tagged = raw.join(windows, "window_id")
     else:
         day = date_or_null(F.col("effDate"))
-        home = F.col("__d").between(F.col("start_date"), F.col("end_date")) | (F.col("__d").isNull() & (F.col("window_id") == plan[0]["window_id"]))
-        tagged = raw.withColumn("__d", day).join(windows, home).drop("__d")
+        own = normalize.unused("day", raw.columns)
+        home = F.col(own).between(F.col("start_date"), F.col("end_date")) | (F.col(own).isNull() & (F.col("window_id") == plan[0]["window_id"]))
+        dated = raw.withColumn(own, day)
+        outside = dated.where(~F.col(own).between(F.lit(plan[0]["start_date"]), F.lit(plan[-1]["end_date"]))).count()
+        tagged = dated.join(windows, home).drop(own)
     tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         prepared = normalize.weights(tagged, "version", "window_id")
@@ -102,6 +121,7 @@ def run_weights(raw: DataFrame, root: str, start: str, end: str, overwrite: bool
             "summary": {
                 "api_calls": len(tried), "rows_downloaded": sum(counts.get(w["window_id"], 0) for w in tried), "files_written": sum(f["new"] for f in files),
                 "files_skipped": sum(not f["new"] for f in files), "unique_index_tickers": sums["n_tickers"], "unique_effective_dates": sums["n_dates"],
+                "rows_outside": outside,
             },
             "failure": {"error_type": "ValidationError", "window": span(broken)} if broken else None,
         }

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from .functions import coerce
 from .operators import calendars, normalize, quality, validate
-from .schemas import EQUITY, INDEX, WEIGHTS, Table
-from .sources.catalogs import MARKET, NEW, OLD, SECTOR
+from .plans import ingest
+from .schemas import EQUITY, INDEX, WEIGHTS, MissingColumns, Table, require
+from .sources import landed
+from .sources.catalogs import INDUSTRIES, MARKET, NEW, OLD, SECTOR, index_catalog
 from .sources.days import read_days, stored_days, write_days
 from .sources.folders import working_folder
 from .sources.landed import on_days, union
+from .sources.manifest import read_manifests
 
 CUT = date(1998, 1, 1)
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 c = F.col
 
 
@@ -69,11 +73,12 @@ def version_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def month_end_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows with the last day of a month, and their rows of one rare status: none would be an error."""
-    orders = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(c("o_orderdate").cast("date").alias("day"))
+    """Windows with the last day of a month, their rows, and those of one status: none would be an error."""
+    orders = load(spark, sf_dir, "orders").select(c("o_orderdate").cast("date").alias("day"), (c("o_orderstatus") == "P").alias("pending"))
     windows = _windows(spark, sf_dir)
-    counts = orders.join(F.broadcast(windows), c("day").between(c("start_date"), c("end_date"))).groupBy("window_id").agg(F.count("*").alias("n"))
-    return windows.join(counts, "window_id", "left").select("window_id", calendars.covers_month_end(c("start_date"), c("end_date")).alias("covers"), F.coalesce("n", F.lit(0)).alias("n_rows"))
+    counts = orders.join(F.broadcast(windows), c("day").between(c("start_date"), c("end_date"))).groupBy("window_id").agg(F.count("*").alias("n"), F.count_if("pending").alias("p"))
+    found = (F.coalesce("n", F.lit(0)).alias("n_rows"), F.coalesce("p", F.lit(0)).alias("n_pending"))
+    return windows.join(counts, "window_id", "left").select("window_id", calendars.covers_month_end(c("start_date"), c("end_date")).alias("covers"), *found)
 
 
 def symbol_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +203,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch for each priority, put together again."""
     orders = load(spark, sf_dir, "orders")
-    batches = [orders.where(on_days("o_orderpriority", [p])).select("o_orderkey", F.lit(p).alias("batch")) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM")]
+    batches = [orders.where(on_days("o_orderpriority", [p])).select("o_orderkey", F.lit(p).alias("batch")) for p in PRIORITIES]
     return union(batches, spark, EQUITY).groupBy("batch").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
@@ -242,9 +247,15 @@ def equity_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def equity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with planted faults: words for dates, halves for counts, 300 for flags."""
     raw = _raw_equity(spark, sf_dir)
-    rules = {"bad_date": coerce.bad_date(c("tradeDate")), "inexact_count": coerce.inexact_long(c("dealAmount")), "inexact_flag": coerce.inexact_tiny(c("isOpen")), "bad_close": coerce.number_or_null(c("closePrice")).isNull(), "n_rows": F.lit(True)}
-    return validate.rule_counts(raw, rules)
+    raw = raw.withColumns({
+        "tradeDate": F.when(c("turnoverRate") == "0.03", F.concat(F.lit("day "), "tradeDate")).when(c("turnoverRate") == "0.04", F.regexp_replace("tradeDate", "-", "")).otherwise(c("tradeDate")),
+        "dealAmount": F.when(c("secShortName") == "O", F.concat(F.lit("1"), F.regexp_replace("dealAmount", "00$", "50"))).otherwise(c("dealAmount")),
+        "isOpen": F.when(c("exchangeCD") == "XSHG", "300").otherwise(c("isOpen")),
+    })
+    rows, rules = validate.equity_rules(raw)
+    return validate.rule_counts(rows, rules | {"bad_close": coerce.number_or_null(c("closePrice")).isNull(), "n_rows": F.lit(True)})
 
 
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,10 +283,166 @@ def industry_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("index_ticker", "classification_version", "classification_name", "constituent_symbol").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
+def _land(spark: SparkSession, raw: DataFrame, fmt: str = "parquet") -> str:
+    """The raw rows in a working folder, with a field that no pipeline knows."""
+    path = working_folder(spark)
+    raw.withColumn("unknownField", F.lit("x")).write.format(fmt).option("header", True).save(path)
+    return path
+
+
+def equity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A landed table of text bars, read with known fields only and a range of days next to the scan."""
+    path = _land(spark, _raw_equity(spark, sf_dir))
+    return landed.scan(spark, path, EQUITY, where=landed.in_range("tradeDate", "1997-01-01", "1998-12-31")).groupBy("exchangeCD", "tradeDate").agg(F.count("*").alias("n"), F.min("ticker").alias("first_ticker"))
+
+
+def _raw_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.when(c("o_orderstatus") == "F", "801010").when(c("o_orderstatus") == "O", "000300").otherwise("899999")
+    price = c("o_totalprice").cast("decimal(18,2)").cast("string")
+    return load(spark, sf_dir, "orders").select(
+        c("o_orderkey").cast("string").alias("indexID"), code.alias("ticker"), c("o_orderpriority").alias("secShortName"), F.lit("XSHG").alias("exchangeCD"), coerce.day_text(F.date_add(c("o_orderdate").cast("date"), 8400)).alias("tradeDate"),
+        *(price.alias(x) for x in ("preCloseIndex", "openIndex", "lowestIndex", "highestIndex", "closeIndex", "turnoverVol", "turnoverValue", "CHG", "CHGPct")),
+    )
+
+
+def index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index bars landed as CSV; only the catalog's tickers are kept."""
+    rows = landed.scan(spark, _land(spark, _raw_index(spark, sf_dir), "csv"), INDEX, "csv")
+    return landed.of_tickers(rows, index_catalog(spark)).select("indexID", "ticker", "tradeDate", "closeIndex")
+
+
+def _raw_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every month of orders a full snapshot of its version: a third of each ticker's weight in three constituents."""
+    months = load(spark, sf_dir, "orders").select(F.last_day(F.date_add(c("o_orderdate").cast("date"), 8400)).alias("day")).distinct()
+    codes = index_catalog(spark, broad=False).select("version", "catalog_ticker")
+    rows = months.withColumn("version", calendars.version_of(c("day"))).join(codes, "version").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    weight = F.when(c("k") == 3, 0.5).otherwise(0.25) * F.when(F.month("day") <= 6, 100).otherwise(1)
+    return rows.select(
+        F.concat(F.lit("I"), "catalog_ticker").alias("secID"), c("catalog_ticker").alias("ticker"), F.lit("x").alias("secShortName"), F.concat(F.lit("C"), "k").alias("consID"), F.lit("y").alias("consShortName"),
+        F.concat(F.lit("00000"), "k").alias("consTickerSymbol"), F.lit("XSHE").alias("consExchangeCD"), c("day").cast("string").alias("effDate"), weight.cast("string").alias("weight"),
+    )
+
+
+def weights_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights landed as JSON, read as text; a filter on days and tickers."""
+    rows = landed.scan(spark, _land(spark, _raw_weights(spark, sf_dir), "json"), WEIGHTS, "json", landed.in_range("effDate", "2020-01-01", "2022-12-31") & c("ticker").isin("801010", "801950"))
+    return rows.groupBy("ticker", "effDate").agg(F.count("*").alias("n"), F.sum(coerce.number_or_null(c("weight"))).alias("weight"))
+
+
+def landed_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A landed calendar in text: every day of the orders, open if it has one."""
+    days = order_calendar(spark, sf_dir).select(coerce.day_text(c("calendar_date")).alias("calendarDate"), c("is_open").alias("isOpen"))
+    return landed.calendar(spark, _land(spark, days))
+
+
+def typed_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No batch gives the typed columns: what a scan of no day unions with, and the fields of each type."""
+    rows = landed.of_days(_raw_equity(spark, sf_dir), "tradeDate", [])
+    whole = union([landed.empty(spark, EQUITY), normalize.equity(rows)], spark, EQUITY)
+    kinds = [(f.dataType.simpleString(), f.name) for f in whole.schema]
+    counted = spark.createDataFrame(kinds, "kind string, name string").groupBy("kind").agg(F.count("*").alias("n_fields"))
+    return counted.join(whole.agg(F.count("*").alias("n_rows")), F.lit(True)).select("kind", "n_fields", "n_rows")
+
+
+def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that each given table lacks to be raw bars: what the error names."""
+    wanted = Table("bars", {"o_orderkey": "sec_id", "o_orderdate": "trade_date", "closePrice": "close", "isOpen": "is_open"}, "sec_id string, trade_date date, close double, is_open tinyint", "trade_date")
+    try:
+        require(load(spark, sf_dir, "orders"), wanted)
+    except MissingColumns as error:
+        return load(spark, sf_dir, "orders").groupBy().agg(F.count("*").alias("n_rows")).withColumn("message", F.lit(str(error)))
+    raise AssertionError("nothing is missing")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
+    """Raw bars, a calendar of their days, and a folder to store them in."""
+    raw = _raw_equity(spark, sf_dir)
+    days = raw.select(c("tradeDate").cast("date").alias("calendar_date")).distinct().withColumn("is_open", F.lit(1))
+    return raw, days, working_folder(spark)
+
+
+def equity_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of equity bars over a landed table: 1996 to 1997, then 1996 to 1998; days, rows and what the second wrote."""
+    raw, days, root = _stored(spark, sf_dir)
+    raw = landed.scan(spark, _land(spark, raw.withColumn("isOpen", F.lit("1"))), EQUITY)
+    first = ingest.run_equity(raw, days, root, "19960101", "19971231")
+    second = ingest.run_equity(raw, days, root, "19960101", "19981231")
+    if ingest.run_equity(raw, days, root, "19960101", "19981231").days:
+        raise AssertionError("a stored day was asked for again")
+    runs = [(1, *d) for d in first.days] + [(2, *d) for d in second.days]
+    reported = spark.createDataFrame(runs, "run int, day string, reported bigint, written boolean")
+    stored = read_days(spark, root, EQUITY).groupBy("trade_date", "year", "month").agg(F.count("*").alias("n_rows"), F.round(F.sum("open"), 2).alias("total"))
+    return stored.join(F.broadcast(reported), c("day") == c("trade_date").cast("string"), "left").select("trade_date", "year", "month", "n_rows", "total", "run", "reported")
+
+
+def index_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index bars: days of urgent orders are stored before; a run plans the rest over the change of version."""
+    raw = _raw_index(spark, sf_dir).where("ticker <> '899999'")
+    day = coerce.date_or_null(c("tradeDate"))
+    planned = raw.where(day.between("2020-01-01", "2023-12-31"))
+    urgent = planned.where("secShortName = '1-URGENT'").select(day.alias("wanted")).distinct()
+    every = raw.select(day.alias("calendar_date")).distinct().withColumn("is_open", F.lit(1))
+    root = working_folder(spark)
+    first = write_days(normalize.index(planned.join(F.broadcast(urgent), day == c("wanted"), "left_semi")), root, INDEX)
+    second = ingest.run_index(raw, every, root, "20200101", "20231231").days
+    runs = [(1, *d) for d in first] + [(2, *d) for d in second]
+    reported = spark.createDataFrame(runs, "run int, day string, reported bigint, written boolean")
+    stored = read_days(spark, root, INDEX).groupBy("trade_date", "classification_version").agg(F.count("*").alias("n_rows"))
+    return stored.join(F.broadcast(reported), c("day") == c("trade_date").cast("string"), "left").select("trade_date", "classification_version", "n_rows", "run")
+
+
+def _weights_manifests(spark: SparkSession, sf_dir: str) -> str:
+    """The root of a table of weights after a run and its repetition."""
+    raw, root = landed.scan(spark, _land(spark, _raw_weights(spark, sf_dir)), WEIGHTS), working_folder(spark)
+    first, last = (x.replace("-", "") for x in raw.agg(F.min("effDate"), F.max("effDate")).first())
+    for _ in range(2):
+        ingest.run_weights(raw, root, first, last)
+    return root
+
+
+def weights_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Industry weights of all months, validated window by window and stored by day; read back."""
+    root = _weights_manifests(spark, sf_dir)
+    stored = read_days(spark, root, WEIGHTS)
+    return stored.groupBy("effective_date", "classification_version", "year", "month").agg(F.count("*").alias("n_rows"), F.count_distinct("index_ticker").alias("n_tickers"), F.round(F.sum("weight"), 6).alias("weight"), F.min("constituent_symbol").alias("first_symbol"))
+
+
+def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a run and of its repetition: windows, files, totals by scale."""
+    rows = read_manifests(spark, _weights_manifests(spark, sf_dir)).withColumn("run", F.row_number().over(Window.orderBy("created_at_utc")))
+    counts = (F.coalesce(F.try_element_at("quality.weight_scale_counts", F.lit(s)), F.lit(0)).alias(s) for s in ("ratio", "percent", "unrecognized"))
+    return rows.select("run", "status", F.size("completed_windows").cast("long").alias("n_windows"), "summary.rows_downloaded", "summary.files_written", "summary.files_skipped", "summary.unique_index_tickers", "summary.unique_effective_dates", *counts)
+
+
+def _in_order(spark: SparkSession, sf_dir: str, table: Table, rows: DataFrame) -> DataFrame:
+    """What each stored file looks like: rows by their place in it, and how many stand before a smaller one."""
+    root = working_folder(spark)
+    write_days(rows, root, table)
+    stored = read_days(spark, root, table).withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id()})
+    own = F.struct(*(x for k in table.order if k != table.date for x in (c(k).isNull(), c(k))))
+    before = F.lag(own).over(Window.partitionBy(table.date, "file").orderBy("at"))
+    placed = stored.select(c(table.date).alias("day"), "file", (before > own).alias("late"))
+    return placed.groupBy("day").agg(F.count("*").alias("n_rows"), F.count_distinct("file").alias("n_files"), F.count_if("late").alias("n_late"))
+
+
+def equity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_order(spark, sf_dir, EQUITY, normalize.equity(_raw_equity(spark, sf_dir)).withColumn("trade_date", F.trunc("trade_date", "month")))
+
+
+def index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_order(spark, sf_dir, INDEX, normalize.index(_raw_index(spark, sf_dir)).withColumn("trade_date", F.trunc("trade_date", "month")))
+
+
+def weights_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _raw_weights(spark, sf_dir)
+    return _in_order(spark, sf_dir, WEIGHTS, normalize.weights(raw.withColumn("version", calendars.version_of(c("effDate").cast("date")))).select(*WEIGHTS.schema.names))
+
+
 QUERIES = {f.__name__: f for f in (
     open_days, missing_days, chunk_days, island_batches, backfill_ranges, version_windows, month_end_cover, symbol_suffix, numeric_coerce, exact_int, date_parse_format,
     strict_dates, drop_undated, rename_project, classify_index, unknown_keys, weight_totals, scale_counts, bad_totals, duplicate_keys, snapshot_gaps, rule_counts, run_summary,
-    union_batches, days_roundtrip, stored_day_list, equity_bars, equity_checks, index_bars, industry_weights,
+    union_batches, days_roundtrip, stored_day_list, equity_bars, equity_checks, index_bars, industry_weights, equity_scan, index_scan, weights_scan, landed_calendar, typed_empty,
+    required_columns, equity_run, index_run, weights_run, run_manifest, equity_order, index_order, weights_order,
 )}
 
 _DAYS = "days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), urgent AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '1-URGENT')"
@@ -299,6 +466,12 @@ _PARSED = """texts AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN strft
 _CLASS = "CASE WHEN abs(t - CAST(1 AS DOUBLE)) <= CAST(0.01 AS DOUBLE) THEN 'ratio' WHEN abs(t - CAST(100 AS DOUBLE)) <= CAST(0.5 AS DOUBLE) THEN 'percent' ELSE 'unrecognized' END"
 _QUANTITIES = f"sums AS (SELECT l_orderkey, sum(l_quantity) AS t FROM lineitem GROUP BY l_orderkey), classed AS (SELECT l_orderkey, t, {_CLASS} AS scale FROM sums)"
 
+_CODES = "codes AS (" + " UNION ALL ".join(f"SELECT '{v}' AS version, unnest([{', '.join(repr(t) for t in known)}]) AS code" for v, known in INDUSTRIES.items()) + ")"
+_SNAPSHOTS = f"""{_CODES}, months AS (SELECT DISTINCT last_day(CAST(o_orderdate AS DATE) + 8400) AS day FROM orders), rows_ AS (
+    SELECT day, code, m.version, k, CASE WHEN k = 3 THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END * CASE WHEN month(day) <= 6 THEN 100 ELSE 1 END AS weight
+    FROM (SELECT day, CASE WHEN day >= DATE '2021-12-13' THEN 'SW2021' ELSE 'SW2014' END AS version FROM months) m JOIN codes USING (version), range(1, 4) r(k))"""
+_INDEX = "bars AS (SELECT o_orderkey::VARCHAR AS id, CASE o_orderstatus WHEN 'F' THEN '801010' WHEN 'O' THEN '000300' ELSE '899999' END AS code, CAST(o_orderdate AS DATE) + 8400 AS day, o_orderpriority AS priority, o_totalprice::DECIMAL(18,2) AS price FROM orders)"
+
 ORACLE_SQL = {
     "open_days": f"WITH {_DAYS} SELECT d AS trade_date FROM days WHERE d BETWEEN DATE '1995-06-01' AND DATE '2000-12-31'",
     "missing_days": f"WITH {_DAYS} SELECT d AS trade_date FROM days WHERE d NOT IN (SELECT d FROM urgent)",
@@ -306,7 +479,7 @@ ORACLE_SQL = {
     "island_batches": f"WITH {_PLAN} SELECT trade_date, island, version, chunk FROM plan",
     "backfill_ranges": f"WITH {_PLAN} SELECT island, version, chunk, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS n_days FROM plan GROUP BY ALL",
     "version_windows": f"WITH {_WINDOWS} SELECT window_id, version, start_date, end_date, count(*) AS n_rows FROM windows JOIN orders ON CAST(o_orderdate AS DATE) BETWEEN start_date AND end_date GROUP BY ALL",
-    "month_end_cover": f"WITH {_WINDOWS} SELECT window_id, last_day(start_date) <= end_date AS covers, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P' AND CAST(o_orderdate AS DATE) BETWEEN start_date AND end_date) AS n_rows FROM windows",
+    "month_end_cover": f"WITH {_WINDOWS} SELECT window_id, last_day(start_date) <= end_date AS covers, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN start_date AND end_date) AS n_rows, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P' AND CAST(o_orderdate AS DATE) BETWEEN start_date AND end_date) AS n_pending FROM windows",
     "symbol_suffix": """SELECT s_suppkey, coalesce(s_suppkey::VARCHAR || '.' || CASE r_name WHEN 'AFRICA' THEN 'AF' WHEN 'ASIA' THEN 'AS' WHEN 'EUROPE' THEN 'EU' END, s_name) AS symbol
         FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
     "numeric_coerce": """WITH texts AS (SELECT substr(o_orderpriority, 1, 1) AS text FROM orders UNION ALL SELECT p_type FROM part UNION ALL SELECT ' ' || CAST(p_retailprice AS DECIMAL(12,2))::VARCHAR || 'e1 ' FROM part)
@@ -334,14 +507,14 @@ ORACLE_SQL = {
     "rule_counts": """SELECT count(*) FILTER (CAST(l_shipdate AS DATE) NOT BETWEEN DATE '1995-01-01' AND DATE '1999-12-31') AS outside, count(*) FILTER (l_orderkey IS NULL OR l_partkey IS NULL) AS null_key,
         count(*) FILTER (try_cast(l_returnflag AS DOUBLE) IS NULL) AS not_numeric, count(*) FILTER (l_extendedprice < 0) AS negative, count(*) AS n_rows FROM lineitem""",
     "run_summary": "SELECT count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_tickers, count(DISTINCT CAST(l_shipdate AS DATE)) AS n_dates FROM lineitem",
-    "union_batches": "SELECT o_orderpriority AS batch, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1",
+    "union_batches": "SELECT o_orderpriority AS batch, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1",
     "days_roundtrip": "SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month, CAST(date_trunc('month', o_orderdate) AS DATE) AS day FROM orders",
     "stored_day_list": "SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS trade_date FROM orders",
     "equity_bars": """SELECT 'S' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS sec_id, lpad(l_partkey::VARCHAR, 6, '0') AS ticker,
         CASE l_returnflag WHEN 'A' THEN lpad(l_partkey::VARCHAR, 6, '0') || '.SH' WHEN 'N' THEN lpad(l_partkey::VARCHAR, 6, '0') || '.SZ' ELSE 'S' || l_orderkey || '-' || l_linenumber || '-' || l_partkey END AS symbol,
         CASE l_returnflag WHEN 'A' THEN 'XSHG' WHEN 'N' THEN 'XSHE' ELSE 'XNAS' END AS exchange_cd, CAST(l_shipdate AS DATE) AS trade_date, l_extendedprice::DECIMAL(18,2)::DOUBLE AS open,
         CASE WHEN l_tax > 0.04 THEN NULL ELSE l_extendedprice::DECIMAL(18,2)::DOUBLE END AS close, l_quantity::DECIMAL(18,2)::DOUBLE AS volume_hfq, l_quantity::BIGINT AS deal_count, l_linenumber AS is_open, NULL::DOUBLE AS vwap FROM lineitem""",
-    "equity_checks": "SELECT 0::BIGINT AS bad_date, 0::BIGINT AS inexact_count, 0::BIGINT AS inexact_flag, count(*) FILTER (l_tax > 0.04) AS bad_close, count(*) AS n_rows FROM lineitem",
+    "equity_checks": "SELECT count(*) FILTER (round(l_discount, 2) = 0.03) AS bad_date, count(*) FILTER (l_linestatus = 'O') AS inexact_count, count(*) FILTER (l_returnflag = 'A') AS inexact_flag, count(*) FILTER (l_tax > 0.04) AS bad_close, count(*) AS n_rows FROM lineitem",
     "index_bars": """WITH raw AS (SELECT o_orderkey::VARCHAR AS index_id, CASE o_orderstatus WHEN 'F' THEN '801010' WHEN 'O' THEN '000300' ELSE '801020' END AS ticker, CAST(o_orderdate AS DATE) + 8400 AS trade_date, o_totalprice::DECIMAL(18,2)::DOUBLE AS close FROM orders
         ), eras AS (SELECT *, CASE WHEN trade_date >= DATE '2021-12-13' THEN 'SW2021' ELSE 'SW2014' END AS version FROM raw)
         SELECT index_id, ticker, trade_date, CASE WHEN ticker = '000300' THEN 'broad_market' WHEN ticker = '801020' AND version = 'SW2021' THEN NULL ELSE 'sw_level1' END AS index_family,
@@ -351,4 +524,25 @@ ORACLE_SQL = {
         CASE WHEN l_linestatus = 'O' THEN l_partkey::VARCHAR || '.BJ' ELSE l_orderkey::VARCHAR END AS constituent_symbol, l_quantity AS weight FROM lineitem)
         SELECT index_ticker, classification_version, CASE WHEN index_ticker = '801150' THEN '医药生物' WHEN index_ticker = '801030' AND classification_version = 'SW2021' THEN '基础化工' WHEN index_ticker = '801030' THEN '化工' WHEN classification_version = 'SW2021' THEN '煤炭' END AS classification_name,
         constituent_symbol, count(*) AS n, round(sum(weight), 4) AS weight FROM raw GROUP BY ALL""",
+    "equity_scan": """SELECT CASE l_returnflag WHEN 'A' THEN 'XSHG' WHEN 'N' THEN 'XSHE' ELSE 'XNAS' END AS "exchangeCD", strftime(l_shipdate, '%Y-%m-%d') AS "tradeDate", count(*) AS n, min(lpad(l_partkey::VARCHAR, 6, '0')) AS first_ticker
+        FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY ALL""",
+    "index_scan": f"WITH {_INDEX} SELECT id AS \"indexID\", code AS ticker, strftime(day, '%Y%m%d') AS \"tradeDate\", price::VARCHAR AS \"closeIndex\" FROM bars WHERE code <> '899999'",
+    "weights_scan": f"WITH {_SNAPSHOTS} SELECT code AS ticker, strftime(day, '%Y-%m-%d') AS \"effDate\", count(*) AS n, sum(weight) AS weight FROM rows_ WHERE day BETWEEN DATE '2020-01-01' AND DATE '2022-12-31' AND code IN ('801010', '801950') GROUP BY ALL",
+    "landed_calendar": f"WITH {_DAYS}, every AS (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY))::DATE AS d FROM days) SELECT e.d AS calendar_date, (o.d IS NOT NULL)::INT AS is_open FROM every e LEFT JOIN days o ON e.d = o.d",
+    "typed_empty": "SELECT kind, n_fields::BIGINT AS n_fields, (SELECT count(*) FROM lineitem WHERE false) AS n_rows FROM (VALUES ('string', 5), ('date', 1), ('double', 13), ('bigint', 1), ('tinyint', 1)) k(kind, n_fields)",
+    "required_columns": "SELECT count(*) AS n_rows, 'bars: missing columns [''closePrice'', ''isOpen'']' AS message FROM orders",
+    "equity_run": """SELECT CAST(l_shipdate AS DATE) AS trade_date, strftime(l_shipdate, '%Y') AS year, strftime(l_shipdate, '%m') AS month, count(*) AS n_rows, round(sum(l_extendedprice::DECIMAL(18,2)::DOUBLE), 2) AS total,
+        CASE WHEN CAST(l_shipdate AS DATE) < DATE '1998-01-01' THEN 1 ELSE 2 END AS run, count(*) AS reported FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY ALL""",
+    "index_run": f"""WITH {_INDEX}, planned AS (SELECT * FROM bars WHERE code <> '899999' AND day BETWEEN DATE '2020-01-01' AND DATE '2023-12-31'), urgent AS (SELECT DISTINCT day FROM planned WHERE priority = '1-URGENT')
+        SELECT day AS trade_date, CASE WHEN code = '000300' THEN 'not_applicable' WHEN day >= DATE '2021-12-13' THEN 'SW2021' ELSE 'SW2014' END AS classification_version, count(*) AS n_rows, CASE WHEN day IN (SELECT day FROM urgent) THEN 1 ELSE 2 END AS run FROM planned GROUP BY ALL""",
+    "weights_run": f"""WITH {_SNAPSHOTS} SELECT day AS effective_date, version AS classification_version, strftime(day, '%Y') AS year, strftime(day, '%m') AS month, count(*) AS n_rows, count(DISTINCT code) AS n_tickers, round(sum(weight), 6) AS weight, min('00000' || k || '.SZ') AS first_symbol
+        FROM rows_ GROUP BY ALL""",
+    "run_manifest": f"""WITH {_SNAPSHOTS}, eras AS (SELECT version, year(day) AS y FROM rows_ GROUP BY ALL), totals AS (SELECT day, code, sum(weight) AS t FROM rows_ GROUP BY ALL)
+        SELECT run::INT AS run, 'success' AS status, (SELECT count(*) FROM eras) AS n_windows, (SELECT count(*) FROM rows_) AS rows_downloaded,
+        CASE run WHEN 1 THEN (SELECT count(DISTINCT day) FROM rows_) ELSE 0 END AS files_written, CASE run WHEN 2 THEN (SELECT count(DISTINCT day) FROM rows_) ELSE 0 END AS files_skipped,
+        (SELECT count(DISTINCT code) FROM rows_) AS unique_index_tickers, (SELECT count(DISTINCT day) FROM rows_) AS unique_effective_dates,
+        (SELECT count(*) FROM totals WHERE abs(t - 1) <= 0.01) AS ratio, (SELECT count(*) FROM totals WHERE abs(t - 100) <= 0.5) AS percent, (SELECT count(*) FROM totals WHERE abs(t - 1) > 0.01 AND abs(t - 100) > 0.5) AS unrecognized FROM range(1, 3) r(run)""",
+    "equity_order": "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS day, count(*) AS n_rows, 1::BIGINT AS n_files, 0::BIGINT AS n_late FROM lineitem GROUP BY 1",
+    "index_order": f"WITH {_INDEX} SELECT CAST(date_trunc('month', day) AS DATE) AS day, count(*) AS n_rows, 1::BIGINT AS n_files, 0::BIGINT AS n_late FROM bars GROUP BY 1",
+    "weights_order": f"WITH {_SNAPSHOTS} SELECT day, count(*) AS n_rows, 1::BIGINT AS n_files, 0::BIGINT AS n_late FROM rows_ GROUP BY 1",
 }

@@ -28,10 +28,6 @@ class Table:
         """Raw fields land as text."""
         return T.StructType([T.StructField(c, T.StringType()) for c in self.rename])
 
-    @property
-    def doubles(self) -> list[str]:
-        return [f.name for f in self.schema if f.dataType == T.DoubleType()]
-
 
 # Field names, their new names, and the processed columns in order.
 EQUITY = Table(

@@ -30,12 +30,12 @@ def stored_days(spark: SparkSession, root: str, table: Table) -> DataFrame:
     return read_days(spark, root, table).select(F.col(table.date).alias("trade_date")).distinct()
 
 
-def write_days(df: DataFrame, root: str, table: Table, mode: str = "replace", files_per_day: int = 1) -> list[tuple[str, int, bool]]:
+def write_days(df: DataFrame, root: str, table: Table, mode: str = "replace", rows_per_file: int = 5_000_000) -> list[tuple[str, int, bool]]:
     """Writes every day of df and returns (day, rows, written) of each.
 
     replace: a stored day is replaced, other days stay. skip: stored days are left alone.
-    Rows without a day are left out. Each day is files_per_day tasks, sorted by the table's
-    order (nulls last); raise it for days that are too large for one task."""
+    Rows without a day are left out. A day is one task and one file, sorted by the table's
+    order (nulls last); a day of more than rows_per_file rows is dealt to more."""
     spark = df.sparkSession
     df = df.where(F.col(table.date).isNotNull())
     counts = {r[0]: r[1] for r in df.groupBy(table.date).count().collect()}  # a row per day
@@ -48,7 +48,10 @@ def write_days(df: DataFrame, root: str, table: Table, mode: str = "replace", fi
     if set(counts) - done:
         year, month = path_parts(F.col(table.date))
         out = df.withColumns({"year": year, "month": month})
-        salt = F.pmod(F.xxhash64(*table.order), F.lit(files_per_day))
+        large = {n: -(-n // rows_per_file) for n in {n for d, n in counts.items() if d not in done and n > rows_per_file}}
+        salt = F.lit(0).cast("long")
+        for n, parts in large.items():  # one branch for each count of a large day
+            salt = F.when(F.col(table.date).isin([d for d, m in counts.items() if m == n]), F.pmod(F.xxhash64(*table.order), F.lit(parts))).otherwise(salt)
         out = out.repartition(*PARTS, table.date, salt)
         out = out.sortWithinPartitions(*PARTS, table.date, *(F.asc_nulls_last(c) for c in table.order))
         writer = out.write.partitionBy(*PARTS, table.date).option("compression", "zstd")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import date
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.coerce import date_or_null
 from ..schemas import Table
 
 CALENDAR = "calendarDate string, isOpen int"
+MOST_LITERALS = 200
 
 
 def scan(spark: SparkSession, path: str, table: Table, fmt: str = "parquet", where: Column | None = None) -> DataFrame:
@@ -29,20 +35,42 @@ def on_days(column: str, days: list[str]) -> Column:
     return F.col(column).isin(days)
 
 
+def of_days(df: DataFrame, column: str, spans: list[tuple[date, date]]) -> DataFrame:
+    """Rows of the days from first to last of any span, and rows whose date can't be read, for validation.
+
+    A few spans are literals in the scan's filter, on text in both of its forms; of many,
+    the whole range is, and a broadcast semi-join on the days (a row per day) does the rest."""
+    if not spans:
+        return df.where(F.lit(False))
+    day, text = date_or_null(F.col(column)), isinstance(df.schema[column].dataType, T.StringType)
+
+    def between(a: date, b: date) -> Column:
+        if not text:
+            return day.between(F.lit(a), F.lit(b))
+        forms = [(str(a), str(b)), (f"{a:%Y%m%d}", f"{b:%Y%m%d}")]
+        return reduce(Column.__or__, (F.col(column).between(x, y) if a < b else F.col(column) == x for x, y in forms))
+
+    unread = day.isNull()
+    if len(spans) <= MOST_LITERALS:
+        wanted = reduce(Column.__or__, (between(a, b) for a, b in spans))
+        return df.where(unread | (wanted & reduce(Column.__or__, (day.between(F.lit(a), F.lit(b)) for a, b in spans))) if text else unread | wanted)
+    rows = df.where(unread | between(min(a for a, _ in spans), max(b for _, b in spans)))
+    known = df.sparkSession.createDataFrame(spans, "a date, b date").select(F.explode(F.sequence("a", "b")).alias("wanted"))
+    return rows.where(unread).unionByName(rows.join(F.broadcast(known.distinct()), day == F.col("wanted"), "left_semi"))
+
+
 def in_range(column: str, start: str, end: str) -> Column:
     return F.col(column).between(start, end)
 
 
 def of_tickers(df: DataFrame, catalog: DataFrame, ticker: str = "ticker") -> DataFrame:
     """Rows of the catalog's tickers: a broadcast semi-join."""
-    wanted = F.broadcast(catalog.select(F.col("catalog_ticker").alias("__t")).distinct())
-    return df.join(wanted, F.col(ticker).cast("string") == F.col("__t"), "left_semi")
+    wanted = F.broadcast(catalog.select(F.col("catalog_ticker").alias("wanted")).distinct())
+    return df.alias("rows").join(wanted.alias("known"), F.col(f"rows.{ticker}").cast("string") == F.col("known.wanted"), "left_semi")
 
 
 def calendar(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """calendar_date DATE and is_open INT of a landed trading calendar."""
-    from ..functions.coerce import date_or_null
-
     return spark.read.schema(CALENDAR).format(fmt).load(path).select(date_or_null(F.col("calendarDate")).alias("calendar_date"), F.col("isOpen").alias("is_open"))
 
 

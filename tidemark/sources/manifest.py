@@ -8,14 +8,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The fields of the run's document.
 WINDOW = "struct<classification_version:string,start_date:string,end_date:string>"
 HEAD = (
     "status string, source_api string, created_at_utc timestamp, parameters struct<start_date:string,end_date:string,output_root:string,overwrite:boolean>, "
     "calls array<struct<classification_version:string,start_date:string,end_date:string,tickers:array<string>,status:string,rows:bigint,error_type:string>>, "
     f"completed_windows array<{WINDOW}>, files struct<written:array<struct<path:string,effective_date:string,rows:bigint>>,skipped:array<struct<path:string,effective_date:string,rows:bigint>>>, "
-    "summary struct<api_calls:bigint,rows_downloaded:bigint,files_written:bigint,files_skipped:bigint,unique_index_tickers:bigint,unique_effective_dates:bigint>, "
+    "summary struct<api_calls:bigint,rows_downloaded:bigint,files_written:bigint,files_skipped:bigint,unique_index_tickers:bigint,unique_effective_dates:bigint,rows_outside:bigint>, "
     f"failure struct<error_type:string,window:{WINDOW}>"
 )
+QUALITY = "quality struct<weight_scale_counts:map<string,bigint>,weight_totals:array<struct<classification_version:string,index_ticker:string,effective_date:date,weight_total:double,scale:string>>>"
 
 
 def manifest(spark: SparkSession, head: dict[str, Any], totals: DataFrame) -> DataFrame:
@@ -33,3 +35,8 @@ def write_manifest(row: DataFrame, root: str) -> str:
     path = f"{root}/_manifests/run={datetime.now(UTC):%Y%m%dT%H%M%S%fZ}"
     row.coalesce(1).write.option("ignoreNullFields", False).json(path)
     return path
+
+
+def read_manifests(spark: SparkSession, root: str) -> DataFrame:
+    """All documents under a table's root, one row per run."""
+    return spark.read.schema(f"{HEAD}, {QUALITY}").json(f"{root}/_manifests/*")
