@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 KEYS = "bucket int, block long, place long, keys array<long>"
-BUCKETS = 8
+BUCKETS = 4
 
 
 def buckets_of(df: DataFrame) -> int:
@@ -26,6 +26,11 @@ def buckets_of(df: DataFrame) -> int:
     return BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def block_bytes(total: int, most: int, df: DataFrame) -> int:
+    """Bytes of a block: as many blocks as shuffle partitions, but neither over `most` nor under a quarter of it."""
+    return max(1, min(most, max(most // 4, total // int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+
+
 def key_rows(block: int, place: int, keys: np.ndarray, buckets: int) -> pa.Table:
     """One row for each bucket with keys; a key that occurs more than once stands there twice."""
     keys = np.sort(keys)

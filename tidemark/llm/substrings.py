@@ -29,15 +29,18 @@ def in_order(docs: DataFrame) -> DataFrame:
     bucket = Bucketizer(splits=[-float("inf"), *knots, float("inf")], inputCol="number", outputCol="range", handleInvalid="keep")
     ranged = bucket.transform(docs.withColumn("number", F.col("id").cast("double"))).withColumn("range", F.coalesce(F.col("range").cast("int"), F.lit(len(knots) + 1)))
     sizes = {r["range"]: r for r in ranged.groupBy("range").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("number").alias("lo"), F.max("number").alias("hi")).collect()}
-    total = sum(r["bytes"] or 0 for r in sizes.values())
-    each = max(1, min(BLOCK_BYTES, total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    base, columns = 0, []
-    for k in range(len(knots) + 2):
+    each = repeats.block_bytes(sum(r["bytes"] or 0 for r in sizes.values()), BLOCK_BYTES, docs)
+    base, held, columns = 0, 0, []
+    for k in range(len(knots) + 2):  # small neighbours are one block, large ranges are cut
         r = sizes.get(k)
-        parts = max(1, -(-(r["bytes"] or 0) // each)) if r else 1
-        low, high = (r["lo"], r["hi"]) if r and r["lo"] is not None else (0.0, 0.0)
+        size, low, high = (r["bytes"] or 0, r["lo"], r["hi"]) if r and r["lo"] is not None else (r["bytes"] or 0 if r else 0, 0.0, 0.0)
+        parts = max(1, -(-size // each))
+        if held and (held + size > each or k > len(knots)):  # rows without an id stay apart
+            base, held = base + 1, 0
         columns.append((base, parts, low, high))
-        base += parts
+        held += size + 1
+        if parts > 1:
+            base, held = base + parts, 0
     at = lambda k, kind: F.get(F.array(*(F.lit(c[k]) for c in columns)).cast(f"array<{kind}>"), F.col("range"))
     ranged = ranged.withColumns({"base": at(0, "bigint"), "parts": at(1, "bigint"), "lo": at(2, "double"), "hi": at(3, "double")})
     same = F.col("hi") <= F.col("lo")

@@ -162,7 +162,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
+    count = max(1, -(-total // repeats.block_bytes(total, BLOCK_BYTES, docs)))
     row = F.xxhash64("id", F.monotonically_increasing_id())  # rows that repeat, or have no id, are spread too
     blocks = docs.withColumn("block", F.pmod(row, F.lit(count))).withColumn("place", F.col("block"))
     buckets = repeats.buckets_of(docs)
