@@ -86,6 +86,21 @@ def test_suffixes(table, documents):
     assert got == brute_suffixes(rows, 200)
 
 
+def test_buckets_are_refined_by_later_offsets():
+    """Equal buckets are equal strings, at all widths, and nothing but the q-grams is read."""
+    import numpy as np
+
+    data = np.frombuffer((b"abcab" * 60)[:280] + bytes(range(120)) + (b"abcab" * 60)[:250], np.uint8)
+    assert suffixes.widths(200, 50) == [50, 100, 200] and suffixes.widths(50, 20) == [20, 25, 50] and suffixes.widths(200, 48) == [48, 96, 100, 200] and suffixes.widths(50, 48) == [48, 50]
+    part = suffixes.anchors(data, np.array([0, len(data)]), 0, 200, 50)
+    for level, width in enumerate(part.widths):
+        at = np.arange(len(data) - width + 1)
+        strings = [data[k : k + width].tobytes() for k in at]
+        number = {x: k for k, x in enumerate(dict.fromkeys(strings))}
+        names = dict.fromkeys(part.bucket(at, level).tolist())
+        assert [number[x] for x in strings] == [dict(zip(names, range(len(names)), strict=True))[b] for b in part.bucket(at, level).tolist()]
+
+
 @pytest.mark.parametrize("length", [50, 200])
 def test_suffixes_of_odd_rows(table, length):
     rows = [*ODD, (11, "ab" * 400), (12, "z" * length), (13, "z" * (length + 1)), (14, "é" * 500)]

@@ -1,12 +1,13 @@
 """Suffix-array dedup: long repeated byte strings, by bucket-pointer refinement.
 
-Suffixes are sampled where a window's least q-gram stands (its anchor), so equal
-windows have equal anchors at the same distance. The anchors' q-grams are the
-initial buckets. A bucket is refined by the identifiers (hashes) of the text at
-further offsets: first of the whole run of windows that share the anchor, then of
-cells of 13 offsets, then of single windows. A bucket of one member ends its
-branch, one whose members agree over the whole run is settled, and only what is
-left goes on, with the answers so far reused.
+The suffixes that take part stand where a window's least q-gram does (its anchor), so
+equal windows have equal anchors at the same distance. A suffix's q-gram names its initial
+bucket. A bucket of twice the length is named by its own bucket and the bucket at a later
+offset, and so on (50, 100, 200 bytes), so longer strings never are read again: the names
+are updated from and reuse the shorter ones. Spark sorts the names and counts them. A
+bucket of one member leaves. The others are refined, first for the whole run of windows
+that share the anchor, then for cells of 13 windows, then for single windows; members that
+agree over all of a run or a cell are settled and leave, but for those of one block.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ U64 = np.uint64
 BLOCK_BYTES, CELL = 4 << 20, 13
 BUCKET, RUN, CORE, SPAN, WINDOW = range(5)
 SALT = [U64(0x632BE59BD9B4E019 * k & (1 << 64) - 1) for k in (1, 3, 5, 7, 9)]
+ODD = U64(text.BASE)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -38,22 +40,48 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
+def widths(length: int, gram: int) -> list[int]:
+    """Lengths of the strings that buckets stand for: from the q-gram doubled up to half of length, then length."""
+    out = [gram]
+    while 2 * out[-1] < length:
+        out.append(min(2 * out[-1], max(-(-length // 2), gram)))
+    return [*out, *[length] * (out[-1] < length)]
+
+
+def refined(own: np.ndarray, later: np.ndarray, offset) -> np.ndarray:
+    """The bucket of a longer string: by the buckets of its beginning and of its end, which stands offset further on."""
+    return text.mix(own * ODD + later + np.asarray(offset).astype(U64))
+
+
 @dataclass
 class Part:
-    """Some whole documents of a block: the prefix hash, and each anchor with its first and last window start."""
+    """Some whole documents of a block: the q-gram bucket of each position, and each anchor with its first and last window start."""
 
     base: int
-    prefix: np.ndarray
+    grams: np.ndarray
     anchor: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    widths: list[int]
+
+    def bucket(self, at: np.ndarray, level: int) -> np.ndarray:
+        """Buckets of the strings of widths[level] bytes that start there."""
+        if not level:
+            return self.grams[at]
+        offset = self.widths[level] - self.widths[level - 1]
+        return refined(self.bucket(at, level - 1), self.bucket(at + offset, level - 1), offset)
+
+    def span(self, a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
+        """Buckets of [a, b), where a string of the level's width starts at a and another ends at b."""
+        later = b - self.widths[level]
+        return refined(self.bucket(a, level), self.bucket(later, level), later - a)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, base: int, length: int, gram: int) -> Part:
-    prefix = text.prefix_hash(text.BYTE_VALUES[data])
-    none = np.zeros(0, np.int64)
+    steps, none = widths(length, gram), np.zeros(0, np.int64)
     if len(data) < length:
-        return Part(base, prefix, none, none, none)
+        return Part(base, none.astype(U64), none, none, none, steps)
+    prefix = text.prefix_hash(text.BYTE_VALUES[data])
     low = U64((1 << len(data).bit_length()) - 1)
     n = len(data) - gram + 1
     hashes = text.mix((prefix[gram:] - prefix[:-gram]) * text.Powers.upto(n)[1])
@@ -66,7 +94,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, base: int, length: int, gram:
     stop = valid.copy()
     stop[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
     first = np.flatnonzero(new)
-    return Part(base, prefix, at[first], first, np.flatnonzero(stop))
+    return Part(base, hashes, at[first], first, np.flatnonzero(stop), steps)
 
 
 class Block:
@@ -74,6 +102,9 @@ class Block:
 
     def __init__(self, column, length: int, gram: int):
         self.length, self.gram = length, gram
+        steps = widths(length, gram)
+        self.top = len(steps) - 1
+        self.cell = min(CELL, length - steps[-2] + 1) if self.top else 1  # what its windows share is a string of the level below
         self.data, self.offsets = text.utf8(column)
         self.parts = [
             anchors(self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a], int(self.offsets[a]), length, gram)
@@ -81,11 +112,9 @@ class Block:
         ]
         self.sizes = [len(p.anchor) for p in self.parts]
 
-    def hashes(self, spans: list[tuple[np.ndarray, np.ndarray]], salt: int, shift: list[np.ndarray] | None = None) -> np.ndarray:
-        out = [np.zeros(0, U64)]
-        for i, (part, (a, b)) in enumerate(zip(self.parts, spans, strict=True)):
-            out.append(text.mix(text.span_hash(part.prefix, a, b) + SALT[salt] * (U64(1) if shift is None else (shift[i] + 1).astype(U64))))
-        return np.concatenate(out)
+    def keys(self, kind: int, buckets: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+        """Keys of one kind: a bucket, and where the anchor stands in it."""
+        return np.concatenate([np.zeros(0, U64), *(refined(b, np.full(len(b), SALT[kind]), p) for b, p in zip(buckets, places, strict=True))])
 
     def split(self, flags: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
         return np.split(flags, np.cumsum(sizes)[:-1]) if sizes else []
@@ -93,8 +122,8 @@ class Block:
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """Keys of all anchors (the initial buckets) and of their whole runs."""
         return (
-            self.hashes([(p.anchor, p.anchor + self.gram) for p in self.parts], BUCKET),
-            self.hashes([(p.first, p.last + self.length) for p in self.parts], RUN, [p.anchor - p.first for p in self.parts]),
+            self.keys(BUCKET, [p.bucket(p.anchor, 0) for p in self.parts], [0 * p.anchor for p in self.parts]),
+            self.keys(RUN, [p.span(p.first, p.last + self.length, self.top) for p in self.parts], [p.anchor - p.first for p in self.parts]),
         )
 
     def cells(self, open_: np.ndarray):
@@ -102,19 +131,20 @@ class Block:
         out = []
         for p, mask in zip(self.parts, self.split(open_, self.sizes), strict=True):
             a, b, at = p.first[mask], p.last[mask], p.anchor[mask]
-            low = (at - b) // CELL
-            count = (at - a) // CELL - low + 1
+            low = (at - b) // self.cell
+            count = (at - a) // self.cell - low + 1
             own = np.repeat(np.arange(len(at)), count)
             cell = low[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-            far = at[own] - np.minimum(cell * CELL + CELL - 1, self.length - self.gram)
-            near = at[own] - cell * CELL
+            far = at[own] - np.minimum(cell * self.cell + self.cell - 1, self.length - self.gram)
+            near = at[own] - cell * self.cell
             out.append((at[own], np.maximum(a[own], far), np.minimum(b[own], near), near, far + self.length))
         return out
 
     def cell_keys(self, cells) -> tuple[np.ndarray, np.ndarray]:
+        pairs = list(zip(self.parts, cells, strict=True))
         return (
-            self.hashes([(near, end) for _, _, _, near, end in cells], CORE, [at - near for at, _, _, near, _ in cells]),
-            self.hashes([(a, b + self.length) for _, a, b, _, _ in cells], SPAN, [at - a for at, a, *_ in cells]),
+            self.keys(CORE, [p.span(near, end, self.top - 1) for p, (_, _, _, near, end) in pairs], [at - near for at, _, _, near, _ in cells]),
+            self.keys(SPAN, [p.span(a, b + self.length, self.top) for p, (_, a, b, _, _) in pairs], [at - a for at, a, *_ in cells]),
         )
 
     def starts(self, cells, open_: np.ndarray) -> list[np.ndarray]:
@@ -126,7 +156,7 @@ class Block:
         return out
 
     def window_keys(self, starts: list[np.ndarray]) -> np.ndarray:
-        return self.hashes([(s, s + self.length) for s in starts], WINDOW)
+        return self.keys(WINDOW, [p.bucket(s, self.top) for p, s in zip(self.parts, starts, strict=True)], [0 * s for s in starts])
 
 
 def narrow(block: Block, replies: pa.Table):
@@ -144,7 +174,7 @@ def narrow_again(block: Block, cells, replies: pa.Table):
     return whole, repeats.flags(core, replies, "before", "here") & ~(whole & repeats.flags(span, replies, "before"))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 48, whole_characters: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 50, whole_characters: bool = False) -> DataFrame:
     """Removes each byte covered by a string of length bytes that also starts anywhere else.
 
     Texts are UTF-8 bytes; matches never cross documents; a repeat inside one document
