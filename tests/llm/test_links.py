@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -116,3 +117,23 @@ def test_odd_vectors(spark):
     assert got == [("4", 2, "4", True), ("9", 0, "9", True), ("None", 0, "None", True), ("None", 0, "None", True), ("None", 2, "4", False), ("None", 2, "4", False)]
     assert vectors.near_dedup(frame(spark, [])).count() == 0
     assert vectors.near_dedup(frame(spark, [(1, None)])).first()["kept"]
+
+
+def test_jaccard_of_texts_of_over_a_megabyte(table):
+    draw = random.Random(9)
+    body = " ".join(f"w{draw.randrange(100_000)}" for _ in range(200_000))
+    rows = [(3, body), (2, edited(body, 0.01, 1)), (9, edited(body, 0.2, 2)), (1, "a short one")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(table(rows)).collect())
+    assert len(body) > 1_000_000 and got == brute(rows, 5, 80)
+
+
+def test_jaccard_of_repeated_rows_and_ids(table):
+    """Rows that repeat hundreds of times are one class; an id with two texts has each judged by itself."""
+    draw = random.Random(3)
+    text = lambda: " ".join(f"w{draw.randrange(10_000)}" for _ in range(80))
+    a, b = text(), text()
+    rows = [(7, a)] * 300 + [(5, f"{a} end")] * 2 + [(7, b), (8, f"{b} end"), (None, a), (None, text())]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(table(rows)).collect())
+    assert got == {(7, 76, 5): 300, (5, 77, 5): 2, (7, 76, 7): 1, (8, 77, 7): 1, (None, 76, None): 2}
+    out = jaccard.jaccard_join(table(rows[:302])).collect()
+    assert len(out) == 302 and {r["component_id"] for r in out} == {5}

@@ -156,3 +156,10 @@ def test_unknown_and_empty_sites(spark):
     clash = spark.createDataFrame([(*r[:3], 7, 8, 9) for r in rows], "doc_id long, text string, source string, key long, gone long, left long")
     out = lines.line_dedup(clash, sites=2).collect()
     assert sum(r["n_removed"] for r in out) == 5 and all((r["key"], r["gone"], r["left"]) == (7, 8, 9) for r in out)
+
+
+def test_a_document_of_many_removed_lines(spark):
+    many = "\n".join(f"boilerplate line number {k}" for k in range(15_000))
+    rows = [(k, many if k > 1 else f"{many}\nown words of the first", f"s{k}", "x") for k in range(1, 4)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.line_dedup(sites(spark, rows), sites=3).collect()}
+    assert got == {1: (15_001, 0), 2: (15_000, 15_000), 3: (15_000, 15_000)}

@@ -355,3 +355,70 @@ def test_many_url_rules_against_all_expressions(spark):
         best = max(hits, key=lambda h: h[:2])[2] if hits else None
         assert got[k] == ((best.name, best.verdict) if best else (None, "allow"))
     assert sum(r is not None for r, _ in got.values()) > 50
+
+
+def letters_of(text):
+    """Lower-case letters, each run of anything else one blank, none in front."""
+    out = []
+    for c in text:
+        c = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " "
+        if c != " " or (out and out[-1] != " "):
+            out.append(c)
+    return out
+
+
+class PlainKneserNey:
+    """Interpolated Kneser-Ney of order four in dictionaries, straight from its definition."""
+
+    def __init__(self, texts):
+        self.counts = [None, *(Counter() for _ in range(4))]
+        for t in texts:
+            x = [" "] * 3 + letters_of(t)
+            self.counts[4].update(tuple(x[k - 3 : k + 1]) for k in range(3, len(x)))
+        for n in (3, 2, 1):
+            self.counts[n].update(g[1:] for g in self.counts[n + 1])
+        self.discount = [None]
+        for c in self.counts[1:]:
+            once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+            self.discount.append(once / (once + 2 * twice) if once and twice else 0.5)
+
+    def p(self, gram):
+        if not gram:
+            return 1 / (len(self.counts[1]) + 1)
+        known = {g: v for g, v in self.counts[len(gram)].items() if g[:-1] == gram[:-1]}
+        if not known:
+            return self.p(gram[1:])
+        total, d = sum(known.values()), self.discount[len(gram)]
+        return max(known.get(gram, 0) - d, 0) / total + d * len(known) / total * self.p(gram[1:])
+
+    def entropy(self, text):
+        x = [" "] * 3 + letters_of(text)
+        return -sum(np.log(self.p(tuple(x[k - 3 : k + 1]))) for k in range(3, len(x))) / max(1, len(x) - 3)
+
+
+def test_languages_against_plain_kneser_ney(spark):
+    import pyarrow as pa
+
+    rows = [(1, "The cat sat on the mat, and the dog sat on the log.", "en"), (2, "A cat and a dog; the end?", "en"), (3, "Der Hund und die Katze saßen auf der Matte.", "de"), (4, "Über den Dächern: die Katze!", "de"), (5, "  ... le chat est sur la table", "fr"), (6, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = languages.train(docs, "lang")
+    plain = {n: PlainKneserNey([t for _, t, x in rows if x == n and t]) for n in ("de", "en", "fr")}
+    asked = ["the dog and the cat", "die Matte ist über dem Hund", "zzz qqq", "12 a", "la Table...", "ΑΒΓ ж"]
+    got, found = model.entropies(pa.array(asked))
+    assert model.names == ["de", "en", "fr"] and found.all()
+    assert got == pytest.approx(np.array([[plain[n].entropy(t) for n in model.names] for t in asked]))
+    out = {r["text"]: r["lang_pred"] for r in languages.predict(spark.createDataFrame([(t,) for t in asked[:2]], "text string"), model).collect()}
+    assert out == {t: min(model.names, key=lambda n: plain[n].entropy(t)) for t in asked[:2]}
+
+
+def test_texts_of_over_a_megabyte(spark, table):
+    draw = random.Random(6)
+    body = " ".join(draw.choice(("the", "house", "der", "Hund", "x#", "\n")) + str(draw.randrange(900)) * (k % 7 == 0) for k in range(250_000))
+    assert len(body) > 1_000_000
+    (r,) = quality.statistics(table([(1, body)])).collect()
+    assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counted(body)
+    docs = spark.createDataFrame([(1, "the house is on the hill", "en"), (2, "der Hund ist im Haus", "de"), (3, body, None)], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in languages.predict(docs, languages.train(docs, "lang")).collect()}
+    assert out[3]["lang_pred"] in ("de", "en") and 0 < out[3]["score"] <= 1
+    pieces_of = packing.pack(table([(1, body)]), RANKS).collect()
+    assert sum(r["length"] for r in pieces_of) == pieces_of[0]["doc_tokens"] == len(stream(body))
