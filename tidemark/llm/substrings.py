@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import repeats, text
 
-BLOCK_BYTES, KNOTS = 8 << 20, 1000
+BLOCK_BYTES, KNOTS = 4 << 20, 1000
 LAST = np.iinfo(np.int64).max
 
 
