@@ -106,6 +106,25 @@ def test_vectors(spark):
         assert {k: v[1] for k, v in got.items()} == want
 
 
+@pytest.mark.parametrize("threshold", [0.95, 0.9])
+def test_cells_in_two_levels(spark, monkeypatch, threshold):
+    """Eight cells only, so they are divided; no pair across any border is missed."""
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(1500, 48)) + 3 * np.repeat(rng.normal(size=(60, 48)), 25, axis=0)
+    near = points[:700] + rng.normal(size=(700, 48)) * rng.uniform(0.1, 0.6, size=(700, 1))
+    points = np.concatenate([points, near, rng.normal(size=(1, 48))]).astype(np.float32)
+    unit = points.astype(float) / np.linalg.norm(points.astype(float), axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= threshold, 1))
+    degree = np.bincount(np.concatenate([i, j]), minlength=len(points))
+    want = classes(range(len(points)), zip(i.tolist(), j.tolist(), strict=True))
+    homes, refined = [], vectors.refined
+    monkeypatch.setattr(vectors, "refined", lambda *a: homes.append(refined(*a)) or homes[0])
+    rows = frame(spark, [(k, v.tolist()) for k, v in enumerate(points)])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_dedup(rows, threshold=threshold, cell_rows=20, most_cells=8).collect()}
+    assert got == {k: (degree[k], want[k]) for k in range(len(points))}
+    assert homes[0].where("home >= 1L << 40").select("home").distinct().count() > 8
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (7, [2.0, 2.0]), (7, [1.0, 1.0]), (8, [1.0, 1.0, 1.0]), (9, []), (10, [1e-30, 1e-30])]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .components import components, roots
 from .shared import saved
 
-CELL_ROWS, BLOCK_ROWS, MOST_CELLS = 1000, 1024, 4096
+CELL_ROWS, BLOCK_ROWS, MOST_CELLS, LARGE, ASKS, BROADCAST_CELLS = 1000, 1024, 4096, 8, 4096, 100_000
 
 
 def spherical_kmeans(points: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -43,18 +43,79 @@ def usable(vec: Column) -> Column:
     return F.coalesce(finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def fit(classes: DataFrame, count: int, sample: int) -> np.ndarray | None:
+def visits(unit: np.ndarray, centres: np.ndarray, reach: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centroid of each unit vector, and which centroids it has to visit (the nearest too).
+
+    Of x with nearest centroid c and y with nearest centroid d, x(c - d) and y(d - c) are not
+    negative and add up to (x - y)(c - d) <= |x - y||c - d|. So for |x - y| <= 2 reach one of
+    them is within reach |c - d|: that one visits the other's cell. At twice the reach both do."""
+    cosines = unit @ centres.T
+    home = cosines.argmax(1)
+    kinds, at = np.unique(home, return_inverse=True)
+    norms = (centres**2).sum(1)
+    apart = np.sqrt(np.maximum(norms[kinds][:, None] + norms[None] - 2 * centres[kinds] @ centres.T, 0))[at]
+    return home, cosines[np.arange(len(home)), home][:, None] - cosines <= reach * apart + 1e-9
+
+
+def fit(classes: DataFrame, count: int, sample: int, cell_rows: int, most_cells: int) -> np.ndarray | None:
     """Centroids from at most about `sample` vectors of the commonest length."""
     if not count:
         return None
     width = classes.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()["n"]
     draw = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 20)) < int(min(1.0, sample / count) * (1 << 20))
     points = matrix(classes.where(draw & (F.size("vec") == width)).orderBy("rep").select("vec").toArrow()["vec"])
-    cells = min(MOST_CELLS, max(1, count // CELL_ROWS), len(points))
+    cells = min(most_cells, max(1, count // cell_rows), len(points))
     return spherical_kmeans(points, cells) if cells else None
 
 
-def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, margin: float = 0.15, sample: int = 8192) -> DataFrame:
+def refined(placed: DataFrame, sizes: DataFrame, reach: float, sample: int, cell_rows: int, most_cells: int) -> DataFrame:
+    """The placed vectors, with large cells divided by centroids of their own (fitted on about `sample` vectors each).
+
+    A vector of the cell visits others of its parts by the reach, a guest of the cell by twice
+    the reach: it meets only residents. Cells whose vectors would visit a quarter of the parts
+    or more stay whole, as dividing would not save work."""
+    large = saved(sizes.where(F.col("count") > LARGE * cell_rows))
+    if large.isEmpty():
+        return placed
+
+    def divide(table: pa.Table) -> pa.Table:
+        points = matrix(table.sort_by("rep")["vec"])
+        centres = spherical_kmeans(points, min(most_cells, table["count"][0].as_py() // cell_rows, len(points)))
+        if visits(points[:BLOCK_ROWS], centres, reach)[1].mean() >= 0.25:
+            centres = centres[:0]
+        return pa.table({"cell": table["cell"][: len(centres)], "sub": pa.array(np.arange(len(centres))), "centre": pa.array(list(centres), pa.list_(pa.float64()))})
+
+    def choose(rows: pa.Table, parts: pa.Table) -> pa.Table:
+        parts = parts.sort_by("sub")
+        centres = np.asarray(parts["centre"].combine_chunks().flatten(), np.float64).reshape(len(parts), -1)
+        first = (1 << 52) + (parts["cell"][0].as_py() << 20)  # numbers of parts lie above all cells
+        mine, subs, probes = rows["mine"].to_numpy(), [], []
+        for at in range(0, len(rows), BLOCK_ROWS):
+            own = mine[at : at + BLOCK_ROWS]
+            home, close = visits(matrix(rows["vec"].slice(at, BLOCK_ROWS)), centres, reach * np.where(own, 1, 2)[:, None])
+            close[own, home[own]] = False
+            subs += [first + int(h) if m else None for h, m in zip(home, own, strict=True)]
+            probes += [(first + np.flatnonzero(c)).tolist() for c in close]
+        return pa.table({"rep": rows["rep"], "cell": rows["cell"], "sub": pa.array(subs, pa.int64()), "found": pa.array(probes, pa.list_(pa.int64()))})
+
+    draw = F.pmod(F.xxhash64("rep", F.lit(6)), F.lit(1 << 20)) < F.lit(sample << 20) / F.col("count")
+    drawn = placed.join(F.broadcast(large), placed["home"] == large["cell"]).where(draw).select("cell", "count", "rep", "vec")
+    centroids = saved(drawn.groupBy("cell").applyInArrow(divide, "cell long, sub long, centre array<double>"))
+    asked = placed.select("rep", "vec", "home", F.explode(F.concat(F.array("home"), "probes")).alias("cell"))
+    divided = F.broadcast(centroids.select("cell").distinct())  # of at most MOST_CELLS cells and one per length
+    loads = F.broadcast(saved(asked.join(divided, "cell").groupBy("cell").agg(F.ceil(F.count("*") / ASKS).alias("parts"))))
+    asked = asked.join(loads, "cell").select("rep", "vec", "cell", (F.col("home") == F.col("cell")).alias("mine"), F.pmod(F.xxhash64("rep", F.lit(4)), "parts").alias("part"))
+    known = centroids.join(loads, "cell").select("cell", "sub", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    moves = asked.groupBy("cell", "part").cogroup(known.groupBy("cell", "part")).applyInArrow(choose, "rep long, cell long, sub long, found array<long>")
+    moves = moves.groupBy("rep").agg(F.max("sub").alias("sub"), F.flatten(F.collect_list("found")).alias("found"), F.collect_list("cell").alias("went"))
+    stay = F.coalesce(F.array_except("probes", "went"), "probes")
+    probes = F.concat(stay, F.coalesce("found", F.array().cast("array<long>")))
+    return saved(placed.join(moves, "rep", "left").select("rep", "copies", "vec", F.coalesce("sub", "home").alias("home"), probes.alias("probes")))
+
+
+def near_dedup(
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, sample: int = 8192, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS
+) -> DataFrame:
     """Columns id, n_links, component_id and kept, one row per input row.
 
     Links are pairs with cosine >= threshold; components follow links; the smallest id
@@ -64,30 +125,31 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     A null id is linked like any other: its component is the smallest id that is no null,
     and it is kept only if no row of its component has an id. An empty table is fine.
 
-    k-means is fitted on a bounded sample; every vector is indexed in its nearest cell and
-    looked up in all cells whose cosine is within `margin` of the best, so pairs across a
-    cell border are found but for a share below a thousandth (measured: see README). Cells
-    larger than a block are compared block by block, and no pair leaves a task: a block
-    returns link counts and a spanning forest of its links.
+    k-means is fitted on a bounded sample, in two levels: at most most_cells cells, and those
+    of over eight times cell_rows vectors are divided again. Every vector is indexed in its
+    nearest cell and looked up in all cells where a vector of the threshold's distance may
+    lie (see `visits`), so pairs across a border are all found. Cells larger than a block are
+    compared block by block, and no pair leaves a task: a block returns link counts and a
+    spanning forest of its links.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     rows = rows.withColumn("rep", F.when(usable(F.col("vec")), F.xxhash64("vec")))
     good = rows.where("rep is not null")
     classes = saved(good.groupBy("rep").agg(F.first("vec").alias("vec"), F.min("id").alias("id"), F.count("*").alias("copies")))
     count = classes.count()
-    centres = fit(classes, count, sample)
+    centres = fit(classes, count, sample, cell_rows, most_cells)
+    reach = max(0.0, (1 - threshold) / 2) ** 0.5  # half the distance of two unit vectors at the threshold
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch["vec"].value_lengths().to_numpy()
             home, probes = -sizes.astype(np.int64), [[] for _ in sizes]  # other lengths: one cell each
             own = np.flatnonzero(sizes == centres.shape[1])
-            if len(own):
-                cosines = matrix(batch["vec"].take(pa.array(own))) @ centres.T
-                home[own] = cosines.argmax(1)
-                close = cosines >= cosines.max(1, keepdims=True) - margin
-                for row, at in zip(own, close, strict=True):
-                    probes[row] = [int(c) for c in np.flatnonzero(at) if c != home[row]]
+            for at in range(0, len(own), BLOCK_ROWS):
+                some = own[at : at + BLOCK_ROWS]
+                home[some], close = visits(matrix(batch["vec"].take(pa.array(some))), centres, reach)
+                for row, near in zip(some, close, strict=True):
+                    probes[row] = [int(c) for c in np.flatnonzero(near) if c != home[row]]
             yield pa.RecordBatch.from_arrays([batch["rep"], batch["copies"], batch["vec"], pa.array(home), pa.array(probes, pa.list_(pa.int64()))], ["rep", "copies", "vec", "home", "probes"])
 
     def result(n_links, component) -> list[Column]:
@@ -98,18 +160,20 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         return rows.select(*result(F.lit(0), F.col("id")))
     kinds = dict(classes.dtypes)
     placed = saved(classes.select("rep", "copies", "vec").mapInArrow(place, f"rep long, copies long, vec {kinds['vec']}, home long, probes array<long>"))
+    placed = refined(placed, placed.groupBy(F.col("home").alias("cell")).count(), reach, sample, cell_rows, most_cells)
     sizes = placed.groupBy(F.col("home").alias("cell")).count()
-    visits = placed.select(F.explode("probes").alias("cell")).groupBy("cell").count()
-    cells = sizes.select("cell", F.ceil(F.col("count") / BLOCK_ROWS).alias("blocks")).join(visits.select("cell", F.ceil(F.col("count") / BLOCK_ROWS).alias("guests")), "cell", "left")
-    cells = saved(cells)  # one row per cell, so at most MOST_CELLS and one per length
+    guests = placed.select(F.explode("probes").alias("cell")).groupBy("cell").count()
+    cells = sizes.select("cell", F.ceil(F.col("count") / BLOCK_ROWS).alias("blocks")).join(guests.select("cell", F.ceil(F.col("count") / BLOCK_ROWS).alias("guests")), "cell", "left")
+    cells = saved(cells)
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
     blocks = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), n)
-    home = placed.join(F.broadcast(cells), placed["home"] == cells["cell"]).withColumn("block", blocks(F.col("blocks")))
+    home = placed.join(cells, placed["home"] == cells["cell"]).withColumn("block", blocks(F.col("blocks")))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     guests = F.when(F.coalesce("guests", F.lit(0)) > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("guests")), lambda g: F.struct(F.col("block").alias("a"), (-g).alias("b")))).otherwise(F.array())
     pairs = F.concat(F.transform(others, lambda o: F.struct(F.least("block", o).alias("a"), F.greatest("block", o).alias("b"))), guests)
     columns = ["cell", "pair.a", "pair.b", "block", "rep", "copies", "vec", "home", "probes"]
     residents = home.withColumn("pair", F.explode(pairs)).select(*columns)
-    guest = placed.withColumn("visit", F.explode("probes")).join(F.broadcast(cells), F.col("visit") == cells["cell"])
+    guest = placed.withColumn("visit", F.explode("probes")).join(cells, F.col("visit") == cells["cell"])
     guest = guest.withColumn("block", -1 - blocks(F.col("guests"))).withColumn("pair", F.explode(F.transform(others, lambda o: F.struct(o.alias("a"), F.col("block").alias("b"))))).select(*columns)
 
     def compare(table: pa.Table) -> pa.Table:
