@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, languages, lines, packing, pieces, quality, substrings, suffixes, urls, vectors
+from . import jaccard, languages, lines, packing, pieces, quality, resampling, substrings, suffixes, urls, vectors
 
 
 def vocabulary(name: str) -> str:
@@ -82,6 +82,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_piece_dropout": op1_piece_dropout,
     "op2_jaccard_join": op2_jaccard_join,
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_dedup": op9_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_resampling": op12_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -156,4 +162,30 @@ ORACLE_SQL: dict[str, str] = {
         ), kept AS (SELECT t.doc_id, t.w, coalesce(len(l.ps), 0) AS n_removed, CASE WHEN l.ps IS NULL THEN t.w ELSE (SELECT coalesce(list(t.w[j] ORDER BY j), []) FROM (SELECT unnest(range(1, len(t.w) + 1)) AS j) WHERE NOT list_contains(l.ps, j)) END AS rest
             FROM texts t LEFT JOIN lost l USING (doc_id))
         SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept""",
+    "op12_resampling": r"""
+        WITH RECURSIVE texts AS (
+            SELECT 0 AS corpus, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+            UNION ALL SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+        ), starts AS (SELECT corpus, id, w, unnest(range(1, len(w) + 1)) AS i FROM texts
+        ), runs AS (SELECT corpus, id, array_to_string(w[i:i + k - 1], ' ') AS f FROM starts, range(1, 4) r(k) WHERE i + k - 1 <= len(w)
+        ), counted AS MATERIALIZED (SELECT corpus, id, f, count(*) AS n FROM runs GROUP BY ALL
+        ), named AS MATERIALIZED (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM counted)
+        ), bits(b, k, v) AS (SELECT b, 0, b FROM range(256) t(b) UNION ALL SELECT b, k + 1, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END) FROM bits WHERE k < 8
+        ), effect AS MATERIALIZED (SELECT b, v FROM bits WHERE k = 8
+        ), later(d, b, v) AS (SELECT 0, b, v FROM effect UNION ALL SELECT d + 1, l.b, xor(l.v >> 8, e.v) FROM later l JOIN effect e ON e.b = l.v & 255 WHERE d < (SELECT max(length(h)) FROM named) // 2
+        ), base(n, v) AS (SELECT 0, 4294967295 UNION ALL SELECT n + 1, xor(s.v >> 8, e.v) FROM base s JOIN effect e ON e.b = s.v & 255 WHERE n < (SELECT max(length(h)) FROM named) // 2
+        ), letters AS (SELECT f, length(h) // 2 AS size, unnest(range(length(h) // 2)) AS p, h FROM named
+        ), folded AS (
+            SELECT f, any_value(size) AS size, bit_xor(l.v) AS v FROM letters JOIN later l ON l.d = size - 1 - p AND l.b = 16 * (strpos('0123456789ABCDEF', substr(h, 2 * p + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * p + 2, 1)) - 1 GROUP BY f
+        ), buckets AS MATERIALIZED (SELECT f, xor(xor(folded.v, base.v), 4294967295) % 10000 AS b FROM folded JOIN base ON base.n = size
+        ), tallies AS (SELECT b, sum(n) FILTER (corpus = 0) AS s, sum(n) FILTER (corpus = 1) AS t FROM counted JOIN buckets USING (f) GROUP BY b
+        ), sizes AS (SELECT sum(s) AS s_all, coalesce(sum(t), 0) AS t_all FROM tallies
+        ), gains AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM tallies, sizes
+        ), weighed AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM counted JOIN buckets USING (f) JOIN gains USING (b) WHERE corpus = 0 GROUP BY id
+        ), drawn AS (SELECT doc_id, floor(-1000 * ln(-ln((('0x' || left(sha256('42:' || doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS g FROM documents
+        ), scored AS (
+            SELECT d.doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + g)::BIGINT AS score, len(w) >= 20 AS able
+            FROM drawn d JOIN texts x ON x.corpus = 0 AND x.id = d.doc_id LEFT JOIN weighed g ON g.id = d.doc_id
+        ), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE able)
+        SELECT s.doc_id, n_features, weight, score, r AS rank FROM scored s LEFT JOIN ranked k ON k.doc_id = s.doc_id AND r <= 5 * n // 100""",
 }
