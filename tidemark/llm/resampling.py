@@ -18,9 +18,9 @@ from .shared import saved
 from .sums import added
 
 BUCKETS, MOST_WORDS, SHORT, DIGIT_BITS, BLOCK_ROWS = 10_000, 3, 48, 16, 1 << 18
-#: Bytes of words: digits, small letters and all bytes beyond ASCII.
-SOLID = np.zeros(256, bool)
-SOLID[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Words are digits, small letters and all bytes beyond ASCII.
+GAPS = np.ones(256, bool)
+GAPS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def crc_table() -> np.ndarray:
@@ -56,14 +56,7 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS, most
     space = np.array([0x20], np.uint8)
     for a, b in text.chunks(offsets):
         part, own = text.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
-        solid = SOLID[part]
-        edge = np.zeros(len(part) + 1, bool)
-        edge[own] = True
-        begin, stop = solid & edge[:-1], solid & edge[1:]
-        begin[1:] |= solid[1:] & ~solid[:-1]
-        stop[:-1] |= solid[:-1] & ~solid[1:]
-        starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        first = np.searchsorted(starts, own)
+        starts, ends, first = text.word_spans(part, own, GAPS)
         words = np.diff(first)
         row, last = np.repeat(np.arange(b - a), words), np.repeat(first[1:], words)
         at, state = np.arange(len(starts)), np.full(len(starts), 0xFFFFFFFF, np.uint32)
@@ -87,9 +80,9 @@ def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         for batch in batches:
             for _, _, _, found in features(*text.utf8(batch["text"]), buckets):
                 total += np.bincount(found, minlength=buckets)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total], pa.list_(pa.int64()))], ["part", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total], pa.list_(pa.int64()))], ["part", "v"])
 
-    return added(texts.mapInArrow(count, "part long, n array<long>")).get("n", np.zeros(buckets, np.int64))
+    return added(texts.mapInArrow(count, "part long, v array<long>"), buckets)
 
 
 def gains(target: np.ndarray, source: np.ndarray, scale: int = 1000) -> np.ndarray:

@@ -85,9 +85,9 @@ def chunks(offsets: np.ndarray, size: int = CHUNK):
         row = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ([^\\x20\\x09-\\x0D]+) and the first word of each row."""
-    solid = ~SPACES[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ([^\\x20\\x09-\\x0D]+, or runs of other bytes than gaps) and the first word of each row."""
+    solid = ~gaps[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = solid & edge[:-1]

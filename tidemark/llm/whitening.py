@@ -77,7 +77,7 @@ def second_moments(vectors: DataFrame, centre: Centre, basis: np.ndarray | None
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.ravel()], pa.list_(pa.float64()))], ["part", "v"])
 
-    return added(vectors.select("x").mapInArrow(add, "part long, v array<double>"))["v"].reshape(size, size) / centre.count
+    return added(vectors.select("x").mapInArrow(add, "part long, v array<double>"), size * size).reshape(size, size) / centre.count
 
 
 def whiten(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", components: int = 4, step: int = STEP) -> DataFrame:
@@ -102,20 +102,20 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     rows = vectors.where(finite(F.col(vec_col))).select(F.col(id_col).alias("id"), whole(F.col(vec_col), step).alias("x"))
     schema = f"id {dict(rows.dtypes)['id']}, component int, n long, deviation long, whitened double, explained double, identity_error double"
     width = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    rows = rows.where(F.size("x") == (width["n"] if width else 0))
+    if not width:
+        return vectors.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    width = width["n"]
+    rows = rows.where(F.size("x") == width)
     distinct = saved(rows.select("x").distinct())
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(len(batch), *halves(rows_of(batch["x"]))) for batch in batches]
         if parts:
-            high, low = (np.sum([p[k] for p in parts], axis=0) for k in (1, 2))
-            arrays = [pa.array([TaskContext.get().partitionId()]), pa.array([[sum(p[0] for p in parts)]]), *(pa.array([a], pa.list_(pa.int64())) for a in (high, low))]
-            yield pa.RecordBatch.from_arrays(arrays, ["part", "n", "high", "low"])
+            whole_sum = np.concatenate([[sum(p[0] for p in parts)], *(np.sum([p[k] for p in parts], axis=0) for k in (1, 2))])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([whole_sum], pa.list_(pa.int64()))], ["part", "v"])
 
-    found = added(distinct.mapInArrow(sums, "part long, n array<long>, high array<long>, low array<long>"))
-    if not found:
-        return vectors.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    centre = Centre(int(found["n"][0]), [(int(a) << 32) + int(b) for a, b in zip(found["high"], found["low"], strict=True)])
+    found = added(distinct.mapInArrow(sums, "part long, v array<long>"), 1 + 2 * width)
+    centre = Centre(int(found[0]), [(int(a) << 32) + int(b) for a, b in zip(found[1 : width + 1], found[width + 1 :], strict=True)])
     covariance = second_moments(distinct, centre)
     values, axes = contour.largest(covariance, components)
     basis, shares = axes / np.sqrt(values), values / np.trace(covariance)
