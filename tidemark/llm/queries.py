@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, languages, lines, packing, pieces, quality, resampling, substrings, suffixes, urls, vectors, whitening
+from . import jaccard, languages, lines, packing, pieces, quality, resampling, substrings, suffixes, toxicity, urls, vectors, whitening
 
 
 def vocabulary(name: str) -> str:
@@ -91,6 +91,15 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of remainder 0 are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.train(docs.select("doc_id", "text"), labels.where(~held))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted", F.to_json("evidence").alias("evidence"))
+
+
 QUERIES = {
     "op1_piece_dropout": op1_piece_dropout,
     "op2_jaccard_join": op2_jaccard_join,
@@ -104,6 +113,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_whitening": op11_whitening,
     "op12_resampling": op12_resampling,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
