@@ -80,6 +80,26 @@ def test_long_texts(table):
     assert all(r["n_removed"] == 900 for r in twice)
 
 
+@pytest.mark.parametrize("base", [2**53, 2**60, -(2**63), 2**63 - 7])
+def test_substrings_of_large_ids(table, monkeypatch, base):
+    """Neighbouring ids stay apart and in order where doubles can't tell them, in one block and in many."""
+    body = " ".join(f"w{k}" for k in range(3000))
+    rows = [(base + k, body) for k in range(6)] + [(5, body), (base + 6, "one two three")]
+    for size in (1 << 22, 1 << 12):
+        monkeypatch.setattr(substrings, "BLOCK_BYTES", size)
+        got = sorted((r["doc_id"], r["text"], r["n_words"], r["n_removed"]) for r in substrings.substring_dedup(table(rows)).collect())
+        assert got == brute_substrings(rows, 13)
+
+
+def test_substrings_of_one_id_in_many_blocks(table, monkeypatch):
+    """Rows of one id are no copies of each other, also where they fill several blocks; larger ids lose the words."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 1 << 10)
+    texts = [" ".join(f"v{j}-{k % 7}" for j in range(40)) for k in range(60)]
+    rows = [(9, t) for t in texts] + [(10, texts[3]), (None, texts[4]), (8, "short")]
+    got = {(r["doc_id"], r["n_removed"]) for r in substrings.substring_dedup(table(rows)).collect()}
+    assert got == {(9, 0), (10, 40), (None, 40), (8, 0)}
+
+
 def test_suffixes(table, documents):
     rows = documents[:120] + [(100_000 + k, t[7 : 7 + len(t) // 2] + t[:300]) for k, (_, t) in enumerate(documents[:40])]
     got = sorted(((r["doc_id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], len(r["spans"])) for r in suffixes.suffix_dedup(table(rows)).collect()), key=repr)

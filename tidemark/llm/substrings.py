@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.search import rank_in
 from . import repeats, text
+from .shared import saved
 
 BLOCK_BYTES, KNOTS = 4 << 20, 1000
 LAST = np.iinfo(np.int64).max
@@ -22,18 +23,20 @@ def in_order(docs: DataFrame) -> DataFrame:
 
     Up to 1,000 quantiles of the id cut ranges; an id that is several quantiles has a range of
     its own. Bytes of a range, some thousand numbers, tell into how many even parts of its ids
-    it is cut. Null ids come last."""
-    quantiles = docs.agg(F.percentile_approx("id", [i / KNOTS for i in range(KNOTS)], 10 * KNOTS)).first()[0] or [0]
+    it is cut. Quantiles are approximate, but ids are compared with them, and divided, as whole
+    numbers (BIGINT), so the order holds for ids of any size. Null ids come last. Rows of one id
+    that fill several blocks are dealt by their number in a saved copy, which no retry changes."""
+    number = F.col("id").cast("long")
+    quantiles = docs.agg(F.percentile_approx(number, [i / KNOTS for i in range(KNOTS)], 10 * KNOTS)).first()[0] or []
     often = {a for a, b in zip(quantiles, quantiles[1:], strict=False) if a == b}
-    knots = sorted({float(k) for k in quantiles} | {float(k) + 1 for k in often})
-    bucket = Bucketizer(splits=[-float("inf"), *knots, float("inf")], inputCol="number", outputCol="range", handleInvalid="keep")
-    ranged = bucket.transform(docs.withColumn("number", F.col("id").cast("double"))).withColumn("range", F.coalesce(F.col("range").cast("int"), F.lit(len(knots) + 1)))
-    sizes = {r["range"]: r for r in ranged.groupBy("range").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("number").alias("lo"), F.max("number").alias("hi")).collect()}
+    knots = sorted({int(k) for k in quantiles} | {min(int(k) + 1, LAST) for k in often})
+    ranged = lambda rows: rows.withColumn("range", F.coalesce(rank_in(knots, len(knots), number), F.lit(len(knots) + 1)))
+    sizes = {r["range"]: r for r in ranged(docs).groupBy("range").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min(number).alias("lo"), F.max(number).alias("hi")).collect()}
     each = repeats.block_bytes(sum(r["bytes"] or 0 for r in sizes.values()), BLOCK_BYTES, docs)
     base, held, columns = 0, 0, []
     for k in range(len(knots) + 2):  # small neighbours are one block, large ranges are cut
         r = sizes.get(k)
-        size, low, high = (r["bytes"] or 0, r["lo"], r["hi"]) if r and r["lo"] is not None else (r["bytes"] or 0 if r else 0, 0.0, 0.0)
+        size, low, high = (r["bytes"] or 0, r["lo"] or 0, r["hi"] or 0) if r else (0, 0, 0)
         parts = max(1, -(-size // each))
         if held and (held + size > each or k > len(knots)):  # rows without an id stay apart
             base, held = base + 1, 0
@@ -41,11 +44,15 @@ def in_order(docs: DataFrame) -> DataFrame:
         held += size + 1
         if parts > 1:
             base, held = base + parts, 0
-    at = lambda k, kind: F.get(F.array(*(F.lit(c[k]) for c in columns)).cast(f"array<{kind}>"), F.col("range"))
-    ranged = ranged.withColumns({"base": at(0, "bigint"), "parts": at(1, "bigint"), "lo": at(2, "double"), "hi": at(3, "double")})
-    same = F.col("hi") <= F.col("lo")
-    part = F.when(same, F.pmod(F.monotonically_increasing_id(), "parts")).otherwise(F.least(F.col("parts") - 1, F.floor((F.col("number") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("parts"))))
-    out = ranged.withColumn("block", F.col("base") + part)
+    out = docs.withColumn("row", F.lit(0).cast("long"))
+    if any(parts > 1 and low == high for _, parts, low, high in columns):
+        out = saved(docs.withColumn("row", F.monotonically_increasing_id()))
+    at = lambda k: F.get(F.array(*(F.lit(c[k]) for c in columns)).cast("array<bigint>"), F.col("range"))
+    out = ranged(out).withColumns({"base": at(0), "parts": at(1), "lo": at(2), "hi": at(3)})
+    same = F.col("hi") == F.col("lo")
+    wide = "decimal(20,0)"  # differences of BIGINTs
+    cut = F.expr(f"((cast(id as bigint) - cast(lo as {wide})) * parts) div (cast(hi as {wide}) - lo + 1)")
+    out = out.withColumn("block", F.col("base") + F.when(F.col("parts") == 1, F.lit(0)).when(same, F.pmod("row", "parts")).otherwise(cut))
     return out.select(*docs.columns, "block", F.when(same, F.col("base")).otherwise(F.col("block")).alias("place"))
 
 
