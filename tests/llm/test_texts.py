@@ -134,6 +134,17 @@ def test_packing(table, documents):
     assert packing.pack(table([]), RANKS).count() == 0
 
 
+def test_long_white_space():
+    """Blanks and newlines of several MB, before a letter, at the end, and before a special token; shorter ones id by id."""
+    encode = packing.encoder(RANKS)[0]
+    for blank in (" ", "\n", "\u3000"):
+        for tail in ("", "a", " a", "<|endoftext|>b"):
+            text = "x" + blank * 4999 + tail
+            assert np.concatenate(packing.token_ids(encode, text)).tolist() == encode.encode(text, allowed_special="all")
+    for text in (" " * 5_000_000 + "a", "b" + "\n" * 5_000_000 + "a", "\t" * 1_500_000, "c" + "\n " * 1_000_000 + "word"):
+        assert encode.decode(np.concatenate(packing.token_ids(encode, text)).tolist()) == text
+
+
 def test_ids_equal_the_public_tokenizer():
     """Random Unicode texts, blanks of all kinds and apostrophes, id by id; then one text of over a MB."""
     draw, encode = random.Random(11), packing.encoder(RANKS)[0]

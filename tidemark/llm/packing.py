@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -17,10 +18,12 @@ from pyspark.sql import functions as F
 
 SENTENCE, HARD, RUN = 2, 8, 4
 CHUNK_TOKENS = 1 << 20
-#: The byte-level vocabulary's split pattern in its public form without
-#: backtracking, and its text that is one id by itself.
+#: The byte-level vocabulary's split pattern in its public form, and its text that
+#: is one id by itself. Only \s+(?!\S) backtracks, see `token_ids`.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 SPECIAL = {"<|endoftext|>": 50256}
+#: Runs of white space (the pattern's \s) too long for its look-ahead.
+LONG_BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @lru_cache(maxsize=2)
@@ -36,6 +39,21 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL), ends
 
 
+def token_ids(encode, body: str) -> list[np.ndarray]:
+    """The ids of a text, in pieces.
+
+    The pattern takes a run of white space without its last character, which may go with the
+    next word, and whole at the end. Its look-ahead needs a step back for every character, which
+    fails on a million of them; so a long run is handed over by itself, where it is an end."""
+    begin, out = 0, []
+    for run in LONG_BLANKS.finditer(body):
+        end = run.end() if run.end() == len(body) or body.startswith(tuple(SPECIAL), run.end()) else run.end() - 1
+        for a, b in ((begin, run.start()), (run.start(), end)):
+            out.append(encode.encode_to_numpy(body[a:b], allowed_special="all", disallowed_special=()))
+        begin = end
+    return [*out, encode.encode_to_numpy(body[begin:], allowed_special="all", disallowed_special=())]
+
+
 def cuts(positions: np.ndarray, costs: np.ndarray, size: int) -> list[int]:
     """The boundaries at which the cheapest packing cuts, first 0 and last the end.
 
@@ -141,8 +159,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             begin = 0
             for k, body in enumerate(pc.fill_null(batch["text"], "").to_pylist()):
-                streams += [encode.encode_to_numpy(body, allowed_special="all", disallowed_special=()), np.array([end_id])]
-                held += len(streams[-2]) + 1
+                streams.append(np.concatenate([*token_ids(encode, body), [end_id]]))
+                held += len(streams[-1])
                 if held >= CHUNK_TOKENS:
                     out, sequence = chunk([*names, batch["id"][begin : k + 1]], streams, ends_sentence, sequence)
                     yield out
@@ -153,7 +171,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def chunk(names: list, streams: list, ends_sentence: np.ndarray, sequence: int):
         tokens = np.concatenate(streams).astype("<u4")
-        ends = np.cumsum([len(s) for s in streams])[1::2]
+        ends = np.cumsum([len(s) for s in streams])
         stops = np.flatnonzero(ends_sentence[np.minimum(tokens, len(ends_sentence) - 1)]) + 1
         bounds = windows(ends, stops[stops < len(tokens)], size)
         starts = np.unique(np.concatenate([bounds[:-1], ends[:-1]]))
