@@ -176,7 +176,7 @@ def test_a_large_day_is_dealt_to_files(spark, tmp_path):
         write_days(rows, str(tmp_path / "d"), EQUITY, rows_per_file=30)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert 1 < len(list((tmp_path / "d").rglob(f"*{DAYS[0]}/*.parquet"))) <= 3 and len(list((tmp_path / "d").rglob(f"*{DAYS[1]}/*.parquet"))) == 1
+    assert 1 < len(list((tmp_path / "d").rglob(f"*{DAYS[0]}/run=*/*.parquet"))) <= 3 and len(list((tmp_path / "d").rglob(f"*{DAYS[1]}/run=*/*.parquet"))) == 1
     assert read_days(spark, str(tmp_path / "d"), EQUITY).count() == 91
 
 
@@ -186,7 +186,7 @@ def test_replacing_a_day_leaves_others(spark, tmp_path):
     write_days(rows.where("trade_date = '2024-01-03'").withColumn("close", rows["close"] + 1), str(tmp_path / "d"), EQUITY)
     assert sorted(r["close"] for r in read_days(spark, str(tmp_path / "d"), EQUITY).collect()) == [1.5, 1.5, 2.5]
     files = list((tmp_path / "d").rglob("*.parquet"))
-    assert len(files) == 3 and all("zstd" in f.name for f in files)
+    assert len(files) == 4 and all("zstd" in f.name for f in files)  # the snapshot before keeps its file of the replaced day
 
 
 def test_scan_formats_and_empty_union(spark, tmp_path):
@@ -199,3 +199,167 @@ def test_scan_formats_and_empty_union(spark, tmp_path):
         assert [r["ticker"] for r in got] == ["000001"]
     assert landed.scan(spark, str(tmp_path / "j"), EQUITY, "json", landed.in_range("tradeDate", "20240101", "20240103")).first()["ticker"] == "000001"
     assert landed.union([], spark, EQUITY).schema == EQUITY.schema and landed.union([], spark, EQUITY).count() == 0
+
+
+def test_a_large_day_is_cut_at_quantiles_of_its_order(spark, tmp_path):
+    """Files of a day don't overlap in its order, and a hot symbol is no obstacle."""
+    from pyspark.sql import functions as F
+
+    rows = normalize.equity(raw(spark, EQUITY, [bar(DAYS[0], f"{k % 40 and k:06}", closePrice=str(k)) for k in range(4000)]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        write_days(rows, str(tmp_path / "d"), EQUITY, rows_per_file=500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = read_days(spark, str(tmp_path / "d"), EQUITY).groupBy(F.input_file_name()).agg(F.min("symbol").alias("a"), F.max("symbol").alias("b"), F.count("*").alias("n")).orderBy("a", "b").collect()
+    assert len(files) > 5 and sum(f["n"] for f in files) == 4000 and max(f["n"] for f in files) < 1200
+    assert all(x["b"] <= y["a"] for x, y in zip(files, files[1:], strict=False))
+
+
+def test_a_run_reads_its_raw_scan_once(spark, tmp_path):
+    """Rows that the raw scan hands out, counted where it is: no more than it has."""
+    rows = raw(spark, EQUITY, [bar(d, f"{k:06}") for d in DAYS for k in range(50)] + [bar(None)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counted = rows.mapInArrow(tell, rows.schema)
+    report = ingest.run_equity(counted, cal(spark, DAYS), f"{tmp_path}/e", "20240101", "20240131")
+    assert (report.rows, report.null_date, len(report.days), seen.value) == (151, 1, 3, 151)
+    index = raw(spark, INDEX, [{"indexID": "i", "ticker": "000300", "tradeDate": d, "closeIndex": "1"} for d in DAYS])
+    seen.value = 0
+    assert ingest.run_index(index.mapInArrow(tell, index.schema), cal(spark, DAYS), f"{tmp_path}/i", "20240101", "20240131").rows == 3 == seen.value
+    weights = raw(spark, WEIGHTS, snapshot("2022-01-31"))
+    seen.value = 0
+    ingest.run_weights(weights.mapInArrow(tell, weights.schema), f"{tmp_path}/w", "20220101", "20220131")
+    assert seen.value == 31
+
+
+def test_readers_see_whole_snapshots(spark, tmp_path):
+    """A run that dies after its files, before its log, changes nothing; a reader of the snapshot before keeps its files."""
+    from tidemark.sources import snapshots
+
+    root, rows = str(tmp_path / "d"), normalize.equity(raw(spark, EQUITY, [bar(d) for d in DAYS[:2]]))
+    write_days(rows, root, EQUITY)
+    before = read_days(spark, root, EQUITY)
+    values = lambda df: sorted((str(r["trade_date"]), r["close"]) for r in df.collect())
+    publish = snapshots.publish
+    changed = normalize.equity(raw(spark, EQUITY, [bar(d, closePrice="9") for d in DAYS]))
+    try:
+        snapshots.publish = lambda *_: (_ for _ in ()).throw(RuntimeError("killed"))
+        with pytest.raises(RuntimeError, match="killed"):
+            write_days(changed, root, EQUITY)
+    finally:
+        snapshots.publish = publish
+    assert values(read_days(spark, root, EQUITY)) == [(DAYS[0], 1.5), (DAYS[1], 1.5)]  # old days, none missing or double
+    write_days(changed, root, EQUITY)
+    assert values(read_days(spark, root, EQUITY)) == [(d, 9.0) for d in DAYS]
+    assert values(before) == [(DAYS[0], 1.5), (DAYS[1], 1.5)]
+    for price in ("3", "4"):
+        write_days(changed.withColumn("close", changed["close"] * 0 + float(price)), root, EQUITY)
+    assert values(read_days(spark, root, EQUITY)) == [(d, 4.0) for d in DAYS]
+    assert len(list(Path(root).rglob("*.parquet"))) == 3 + 3 + 3  # of the dead run, of the two newest snapshots
+    assert snapshots.sweep(spark, root) == 3 and len(list(Path(root).rglob("*.parquet"))) == 3 + 3
+    assert values(read_days(spark, root, EQUITY)) == [(d, 4.0) for d in DAYS]
+    assert len(list(Path(root, "_snapshots").glob("*.json"))) == 2
+
+
+def test_two_runs_at_once(spark, tmp_path):
+    """The second to publish fails, and nothing of it is visible."""
+    from tidemark.sources import snapshots
+
+    root = str(tmp_path / "d")
+    start = snapshots.Snapshot()
+    first = snapshots.publish(spark, root, start, "a", {("2024-01-02",): 1})
+    with pytest.raises(snapshots.ConcurrentRun):
+        snapshots.publish(spark, root, start, "b", {("2024-01-02",): 5})
+    assert snapshots.current(spark, root) == first and first.tokens() == ["2024-01-02/a"]
+
+
+def test_runs_by_exchange(spark, tmp_path):
+    """Each exchange has its own calendar, missing days, requests and stored days."""
+    days = [date.fromordinal(date(2024, 1, 1).toordinal() + k).isoformat() for k in range(30)]
+    closed = {("XSHG", days[4]), ("XSHE", days[20])}
+    calendar = spark.createDataFrame([(e, date.fromisoformat(d), int((e, d) not in closed)) for e in ("XSHG", "XSHE") for d in days], "exchange_cd string, calendar_date date, is_open int")
+    rows = [bar(d, exchange=e) for e in ("XSHG", "XSHE", "XNAS") for d in days] + [bar(None), bar(days[0], exchange=None)]
+    root = f"{tmp_path}/x"
+    first = ingest.run_equity(raw(spark, EQUITY, [r for r in rows if r["exchangeCD"] == "XSHG"]), calendar, root, "20240101", "20240110", by_exchange=True)
+    assert {d[1] for d in first.days} == {"XSHG"} and len(first.days) == 9 and first.null_date == 1
+    assert first.requests == [("XSHE", days[0], days[9], 10), ("XSHG", days[0], days[9], 9)]
+    second = ingest.run_equity(raw(spark, EQUITY, rows), calendar, root, "20240101", "20240130", by_exchange=True)
+    assert second.requests == [("XSHE", days[0], days[19], 20), ("XSHE", days[21], days[29], 9), ("XSHG", days[10], days[29], 20)]
+    assert len(second.days) == 29 + 20 and all(d[3] for d in second.days)
+    stored = read_days(spark, root, ingest.EXCHANGES)
+    assert {(r["part_exchange_cd"], r["n"]) for r in stored.groupBy("part_exchange_cd").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()} == {("XSHG", 29), ("XSHE", 29)}
+    assert ingest.run_equity(raw(spark, EQUITY, rows), calendar, root, "20240101", "20240130", by_exchange=True).days == []
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
+def test_a_backfill_opens_the_files_of_its_days(spark, tmp_path, fmt):
+    days = [date.fromordinal(date(2024, 1, 1).toordinal() + k).isoformat() for k in range(12)]
+    table = landed.Landed(spark, f"{tmp_path}/raw", EQUITY, fmt)
+    assert table.scan([(date(2024, 1, 1), date(2024, 1, 2))]).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        table.append(raw(spark, EQUITY, [bar(d, f"{k:06}") for d in days[:8] for k in range(20)]), parts=8)
+        table.append(raw(spark, EQUITY, [bar(d.replace("-", ""), "000001") for d in days[8:]]), parts=4)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    index = table.index().collect()
+    assert sum(r["n_rows"] for r in index) == 164 and len(index) >= 6
+    of = lambda a, b: {r["file"] for r in index if str(r["first_day"]) <= b and str(r["last_day"]) >= a}
+    for a, b in ((days[2], days[2]), (days[7], days[9]), (days[10], days[11])):
+        rows = table.scan([(date.fromisoformat(a), date.fromisoformat(b))])
+        opened = {"/".join(f.split("/")[-2:]) for f in rows.inputFiles()}
+        assert opened == of(a, b) and len(opened) < len(index) / 2
+        assert {r["tradeDate"].replace("-", "") for r in rows.collect()} == {d.replace("-", "") for d in days if a <= d <= b}
+    ingest.run_equity(table, cal(spark, [d for d in days if d != days[5]]), f"{tmp_path}/e", "20240101", "20240131")
+    report = ingest.run_equity(table, cal(spark, days), f"{tmp_path}/e", "20240101", "20240131")
+    assert report.days == [(days[5], 20, True)] and report.rows == 20
+    table.append(raw(spark, EQUITY, [bar("bad")]))
+    with pytest.raises(validate.ValidationError, match="bad_date"):  # its file is opened for any day
+        ingest.run_equity(table, cal(spark, ["2024-02-01"]), f"{tmp_path}/e", "20240201", "20240201")
+
+
+def test_windows_without_a_nested_loop(spark):
+    """Rows find their window by binary search: no join with the windows."""
+    from tidemark.operators import calendars
+
+    plan = [r.asDict() for r in calendars.version_windows(spark, "20140305", "20230401").orderBy("window_id").collect()]
+    days = ["2014-03-04", "2014-03-05", "20141231", "2015-01-01", "2021-12-12", "2021-12-13", "2023-04-01", "2023-04-02", None, "bad"]
+    tagged = ingest._in_windows(raw(spark, WEIGHTS, [{"effDate": d} for d in days]), plan)
+    got = [(r["effDate"], r["window_id"], r["version"]) for r in tagged.collect()]
+    assert got == [
+        ("2014-03-04", None, None), ("2014-03-05", 1, "SW2014"), ("20141231", 1, "SW2014"), ("2015-01-01", 2, "SW2014"), ("2021-12-12", 8, "SW2014"), ("2021-12-13", 9, "SW2021"),
+        ("2023-04-01", 11, "SW2021"), ("2023-04-02", None, None), (None, 1, "SW2014"), ("bad", 1, "SW2014"),
+    ]
+    assert "Join" not in tagged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_records_lie_beside_the_head(spark, tmp_path):
+    from tidemark.sources.manifest import read_manifests, read_quality
+
+    for _ in range(2):
+        run(spark, tmp_path, snapshot("2022-01-31") + snapshot("2023-01-31", weight="100"))
+    heads, rows = read_manifests(spark, f"{tmp_path}/w"), read_quality(spark, f"{tmp_path}/w")
+    assert heads.count() == 2 and heads.select("run_path").distinct().count() == 2 and rows.count() == 124
+    assert {(r["run_path"], r["scale"], r["n"]) for r in rows.groupBy("run_path", "scale").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()} == {(h["run_path"], s, 31) for h in heads.collect() for s in ("ratio", "percent")}
+
+
+def test_gaps_by_bitmaps(spark):
+    """Missing and extra names, also such as no version knows; nulls are no members."""
+    draw = __import__("random").Random(2)
+    names = [f"n{k:03}" for k in range(70)]
+    expected = {"a": sorted(names[:50]), "b": sorted(names[20:])}
+    rows = [(g, v, draw.choice([*expected[v], *expected[v], *names, "unknown1", "unknown2", None])) for g in range(12) for v in ("a", "b") for _ in range(400)]
+    rows += [(99, "a", n) for n in expected["a"]]
+    got = validate.snapshot_gaps(spark.createDataFrame(rows, "g int, version string, name string"), spark.createDataFrame(list(expected.items()), "version string, members array<string>"), ["g", "version"], "name")
+    want = {}
+    for g, v, n in rows:
+        if n is not None:
+            want.setdefault((g, v), set()).add(n)
+    want = {k: (sorted(set(expected[k[1]]) - s), sorted(s - set(expected[k[1]]))) for k, s in want.items()}
+    assert {(r["g"], r["version"]): (r["missing"], r["extra"]) for r in got.collect()} == {k: v for k, v in want.items() if v != ([], [])}

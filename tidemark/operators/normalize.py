@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce
-from ..schemas import EQUITY, INDEX, WEIGHTS, Table, require
+from ..schemas import EQUITY, INDEX, WEIGHTS, Table, require, unused
 from ..sources.catalogs import MARKET, NO_VERSION, exchange_suffixes, index_catalog
 from .calendars import version_of
 
@@ -28,14 +28,6 @@ def typed(df: DataFrame, table: Table, *extra: str) -> DataFrame:
     return df.select(*(value(c, kind).alias(c) for c, kind in kinds.items()), *extra)
 
 
-def unused(name: str, columns: list[str]) -> str:
-    """A column name that the table does not have."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def with_symbol(df: DataFrame, ticker: str, exchange: str, sec_id: str, out: str) -> DataFrame:
     """Exchange-suffixed symbol by a broadcast lookup; an unknown or null exchange, or a null ticker, falls back to sec_id."""
     code, suffix = unused("code", df.columns), unused("suffix", df.columns)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import scale_class
+from ..functions.exact import exact_sums
 
 BY = ("classification_version", "index_ticker", "effective_date")
 
 
 def weight_totals(df: DataFrame, by: tuple[str, ...] = BY, weight: str = "weight") -> DataFrame:
-    """weight_total (DOUBLE) and scale of every group."""
-    return df.groupBy(*by).agg(F.sum(F.col(weight).cast("double")).alias("weight_total")).withColumn("scale", scale_class(F.col("weight_total")))
+    """weight_total (DOUBLE) and scale of every group. Sums are exact and rounded once, so a total next to a limit never changes its class with the partitioning."""
+    return exact_sums(df, by, weight, "weight_total").withColumn("scale", scale_class(F.col("weight_total")))
 
 
 def scale_counts(totals: DataFrame) -> DataFrame:

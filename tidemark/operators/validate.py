@@ -1,8 +1,8 @@
 """Validation as explicit aggregates; the first failing rule of the first failing window wins.
 
-Rules are counted in one pass per shape (rows, keys, days, totals) over all windows at
-once, so the number of jobs doesn't grow with the windows. What reaches the driver is
-one row per window."""
+Rules of single rows are counted by the job that stages them; the rest in one pass per shape
+(keys, days, totals) over all windows at once, so the number of jobs doesn't grow with the
+windows. What reaches the driver is one row per window."""
 
 from __future__ import annotations
 
@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce
-from ..schemas import EQUITY, INDEX, WEIGHTS
+from ..schemas import WEIGHTS, Table, unused
 from ..sources.catalogs import index_catalog
 from .calendars import covers_month_end
 from .quality import weight_totals
 
-LADDER = ("empty_window", "unknown_ticker", "bad_date", "outside_window", "null_key", "bad_weight", "negative_weight", "duplicate_key", "incomplete_snapshot", "bad_total")
+ROW_RULES = ("unknown_ticker", "bad_date", "outside_window", "null_key", "bad_weight", "negative_weight")
+LADDER = ("empty_window", *ROW_RULES, "duplicate_key", "incomplete_snapshot", "bad_total")
 
 
 class ValidationError(ValueError):
@@ -53,78 +54,85 @@ def unknown_keys(df: DataFrame, catalog: DataFrame, on: list[str]) -> DataFrame:
     return keys.join(F.broadcast(catalog.select(*on)), on, "left_anti")
 
 
+def has_bit(bitmap: Column, position: Column) -> Column:
+    """Whether a bitmap (as the bitmap aggregates make it) has a position, counted from 0."""
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (position % 8).cast("int"))) != 0
+
+
 def snapshot_gaps(df: DataFrame, expected: DataFrame, by: list[str], member: str) -> DataFrame:
     """Groups whose members are not exactly the expected ones: sorted missing and extra.
 
-    expected: the `by` columns it shares and a column `members`, a sorted array of bounded
-    length. A group that has no row at all is not seen."""
+    expected: the `by` columns it shares and a column `members`, an array. A catalog: its names,
+    some hundreds and 32,768 at most, come to the driver. A group without any row is not seen.
+
+    The names are numbered in order; a row sets its name's bit by a broadcast lookup, and groups
+    merge their bitmaps on the map side, whatever the number of rows. Only names that nothing
+    expects are collected, as a set."""
     shared = [c for c in by if c in expected.columns]
-    found = df.where(F.col(member).isNotNull()).groupBy(*by).agg(F.collect_set(member).alias("__found"))
+    place, name, bits, other = (unused(c, [*df.columns, *expected.columns]) for c in ("place", "name", "bits", "other"))
+    names = sorted(r[0] for r in expected.select(F.explode("members")).distinct().collect())
+    if len(names) > 32_768:
+        raise ValueError("more names than a bitmap has bits")
+    numbered = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(names)), f"{place} int, {name} string"))
+    rows = df.where(F.col(member).isNotNull()).join(numbered, F.col(member) == F.col(name), "left")
+    found = rows.groupBy(*by).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(place) + 1)).alias(bits), F.collect_set(F.when(F.col(place).isNull(), F.col(member))).alias(other))
     joined = found.withColumn("__all", F.lit(1)).join(F.broadcast(expected.withColumn("__all", F.lit(1))), ["__all", *shared])
-    gaps = joined.withColumns({"missing": F.array_sort(F.array_except("members", "__found")), "extra": F.array_sort(F.array_except("__found", "members"))})
-    return gaps.where((F.size("missing") > 0) | (F.size("extra") > 0)).select(*by, "missing", "extra")
+    every = F.array(*(F.lit(n) for n in names)).cast("array<string>")
+    present = F.transform(F.filter(F.array(*(F.lit(k) for k in range(len(names)))).cast("array<int>"), lambda p: has_bit(F.col(bits), p)), lambda p: F.get(every, p))
+    gaps = joined.withColumn("missing", F.array_except("members", present)).withColumn("extra", F.array_union(F.array_except(present, "members"), other))
+    return gaps.where((F.size("missing") > 0) | (F.size("extra") > 0)).select(*by, F.array_sort("missing").alias("missing"), F.array_sort("extra").alias("extra"))
 
 
 def equity_rules(raw: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-    """The columns that the rules of raw bars need, numbers parsed once, and the rules."""
+    """Raw bars with the numbers that the rules need, parsed once, under free names; and the rules."""
+    deals, flag = unused("deals", raw.columns), unused("open flag", raw.columns)
     c = F.col
-    rows = raw.select("tradeDate", "dealAmount", "isOpen", "closePrice", coerce.number_or_null(c("dealAmount")).alias("deals"), coerce.number_or_null(c("isOpen")).alias("open"))
-    return rows, {"bad_date": coerce.bad_date(c("tradeDate")), "inexact_count": coerce.inexact_long(c("dealAmount"), c("deals")), "inexact_flag": coerce.inexact_tiny(c("isOpen"), c("open"))}
+    rows = raw.withColumns({deals: coerce.number_or_null(c("dealAmount")), flag: coerce.number_or_null(c("isOpen"))})
+    return rows, {"bad_date": coerce.bad_date(c("tradeDate")), "inexact_count": coerce.inexact_long(c("dealAmount"), c(deals)), "inexact_flag": coerce.inexact_tiny(c("isOpen"), c(flag))}
 
 
-def check_equity(raw: DataFrame) -> dict[str, int]:
-    """Raises on dates and integers that are no such thing; returns row counts, null dates too."""
-    c = F.col
-    rows, rules = equity_rules(raw)
-    found = rule_counts(rows, rules | {"null_date": c("tradeDate").isNull(), "rows": F.lit(True)}).first()
-    for rule in ("bad_date", "inexact_count", "inexact_flag"):
+def judge(found: dict[str, int], rules: tuple[str, ...], table: Table) -> None:
+    """Raises for the first rule of which there is a breach."""
+    for rule in rules:
         if found[rule]:
-            raise ValidationError(rule, detail=f"{found[rule]} rows of {EQUITY.name}")
-    return {"rows": found["rows"], "null_date": found["null_date"]}
-
-
-def check_index(raw: DataFrame, processed: DataFrame) -> dict[str, int]:
-    """Raises on bad dates and on tickers outside the version's catalog."""
-    found = rule_counts(raw.select(F.col("tradeDate").alias("d")), {"bad_date": coerce.bad_date(F.col("d")), "null_date": F.col("d").isNull(), "rows": F.lit(True)}).first()
-    if found["bad_date"]:
-        raise ValidationError("bad_date", detail=f"{found['bad_date']} rows of {INDEX.name}")
-    unknown = processed.where("index_family is null").agg(F.count("*").alias("n"), F.min("ticker").alias("example")).first()
-    if unknown["n"]:
-        raise ValidationError("unknown_ticker", detail=f"{unknown['n']} rows, e.g. {unknown['example']}")
-    return {"rows": found["rows"], "null_date": found["null_date"]}
-
+            raise ValidationError(rule, detail=f"{found[rule]} rows of {table.name}" + (f", e.g. {found['example']}" if rule == "unknown_ticker" else ""))
 
-def check_weights(raw: DataFrame, prepared: DataFrame, windows: DataFrame) -> Failure | None:
-    """The first failure, windows in order and then the ladder; None if all is well.
 
-    raw: with window_id, version, start_date, end_date. prepared: the normalised rows with window_id."""
-    c, w = F.col, "window_id"
-    catalog = index_catalog(raw.sparkSession, broad=False)
-    weight = coerce.number_or_null(c("weight"))
-    day = coerce.date_or_null(c("effDate"))
-    known = F.broadcast(catalog.select(c("version").alias("__v"), "catalog_ticker"))
-    tagged = raw.join(known, (c("ticker").cast("string") == c("catalog_ticker")) & (c("version") == c("__v")), "left")
-    rules = {
-        "unknown_ticker": c("ticker").isNotNull() & c("catalog_ticker").isNull(),
+def weight_flags() -> dict[str, Column]:
+    """Rules of single rows of weights: on raw columns, start_date, end_date and known (the ticker is in the window's catalog)."""
+    c = F.col
+    weight, day = coerce.number_or_null(c("weight")), coerce.date_or_null(c("effDate"))
+    return {
+        "unknown_ticker": c("ticker").isNotNull() & ~c("known"),
         "bad_date": day.isNull(),
         "outside_window": ~day.between(c("start_date"), c("end_date")),
         "null_key": c("ticker").isNull() | c("consID").isNull() | c("consTickerSymbol").isNull() | c("effDate").isNull(),
         "bad_weight": weight.isNull(),
         "negative_weight": weight < 0,
     }
-    rows = rule_counts(tagged, rules | {"rows": F.lit(True)}, (w,)).join(tagged.where(rules["unknown_ticker"]).groupBy(w).agg(F.min("ticker").alias("ticker")), w, "left")
-    keys = duplicate_keys(prepared, (w, *WEIGHTS.key)).groupBy(w).agg(F.count("*").alias("duplicate_key"))
+
+
+def check_weights(rows: DataFrame, windows: DataFrame) -> tuple[Failure | None, dict[int, int]]:
+    """The first failure, windows in order and then the ladder (None if all is well), and the rows of each window.
+
+    rows: processed, with window_id, version and the flags of `weight_flags`. One row per window reaches the driver."""
+    c, w = F.col, "window_id"
+    catalog = index_catalog(rows.sparkSession, broad=False)
+    flags = rows.groupBy(w).agg(*(F.count_if(F.coalesce(c(f), F.lit(False))).alias(f) for f in ROW_RULES), F.count("*").alias("rows"), F.min(F.when(c("unknown_ticker"), c("index_ticker"))).alias("ticker"))
+    keys = duplicate_keys(rows, (w, *WEIGHTS.key)).groupBy(w).agg(F.count("*").alias("duplicate_key"))
     expected = catalog.groupBy("version").agg(F.array_sort(F.collect_set("catalog_ticker")).alias("members"))
-    gaps = snapshot_gaps(prepared, expected, [w, "version", "effective_date"], "index_ticker")
+    gaps = snapshot_gaps(rows, expected, [w, "version", "effective_date"], "index_ticker")
     text = F.concat(F.col("effective_date").cast("string"), F.lit(" missing "), F.concat_ws(",", "missing"), F.lit(" extra "), F.concat_ws(",", "extra"))
     gaps = gaps.groupBy(w).agg(F.count("*").alias("incomplete_snapshot"), F.min_by(text, "effective_date").alias("gap"))
-    totals = weight_totals(prepared, (w, "classification_version", "index_ticker", "effective_date")).where("scale = 'unrecognized'")
+    totals = weight_totals(rows, (w, "classification_version", "index_ticker", "effective_date")).where("scale = 'unrecognized'")
     totals = totals.groupBy(w).agg(F.count("*").alias("bad_total"), F.min(F.struct("effective_date", "index_ticker")).alias("total"))
-    table = windows.join(rows, w, "left").join(keys, w, "left").join(gaps, w, "left").join(totals, w, "left")
-    table = table.withColumn("empty_window", (F.coalesce("rows", F.lit(0)) == 0) & covers_month_end(c("start_date"), c("end_date")))
-    for row in table.orderBy(w).collect():
+    table = windows.join(flags, w, "left").join(keys, w, "left").join(gaps, w, "left").join(totals, w, "left")
+    table = table.withColumn("empty_window", (F.coalesce("rows", F.lit(0)) == 0) & covers_month_end(c("start_date"), c("end_date"))).orderBy(w).collect()
+    counts = {r[w]: r["rows"] or 0 for r in table}
+    for row in table:
         for rule in LADDER:
             if row[rule]:
                 detail = {"unknown_ticker": row["ticker"], "incomplete_snapshot": row["gap"], "bad_total": row["total"] and f"{row['total'][0]} {row['total'][1]}"}.get(rule)
-                return Failure(row[w], rule, detail)
-    return None
+                return Failure(row[w], rule, detail), counts
+    return None, counts

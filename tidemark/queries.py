@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coerce
+from .functions.exact import exact_sums
 from .operators import calendars, normalize, quality, validate
 from .plans import ingest
 from .schemas import EQUITY, INDEX, WEIGHTS, MissingColumns, Table, require
@@ -61,22 +62,36 @@ def backfill_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendars.backfill_ranges(island_batches(spark, sf_dir))
 
 
+def exchange_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Islands and chunks by exchange: each order status is an exchange, open on the days of its orders; days of urgent ones are stored."""
+    days = load(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')").select(c("o_orderstatus").alias("exchange_cd"), c("o_orderdate").cast("date").alias("trade_date"), (c("o_orderpriority") == "1-URGENT").alias("urgent"))
+    of = ("exchange_cd",)
+    return calendars.plan_backfill(days.select(*of, "trade_date").distinct(), days.where("urgent").select(*of, "trade_date").distinct(), cut=CUT, by=of)
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = order_days(spark, sf_dir).agg(coerce.day_text(F.min("trade_date")), coerce.day_text(F.max("trade_date"))).first()
     return calendars.version_windows(spark, first, last, CUT)
 
 
 def version_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = load(spark, sf_dir, "orders").select(c("o_orderdate").cast("date").alias("day"))
-    joined = orders.join(F.broadcast(_windows(spark, sf_dir)), c("day").between(c("start_date"), c("end_date")))
-    return joined.groupBy("window_id", "version", "start_date", "end_date").agg(F.count("*").alias("n_rows"))
+    windows = _windows(spark, sf_dir)
+    orders = load(spark, sf_dir, "orders").select(_window_id(windows, c("o_orderdate").cast("date")))
+    counts = orders.where("window_id is not null").groupBy("window_id").agg(F.count("*").alias("n_rows"))
+    return counts.join(F.broadcast(windows), "window_id").select("window_id", "version", "start_date", "end_date", "n_rows")
+
+
+def _window_id(windows: DataFrame, day: Column) -> Column:
+    """The window of a day, found by binary search in the few windows."""
+    spans = [tuple(r) for r in windows.orderBy("window_id").select("start_date", "end_date").collect()]
+    return (calendars.window_place(day, spans) + 1).alias("window_id")
 
 
 def month_end_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows with the last day of a month, their rows, and those of one status: none would be an error."""
-    orders = load(spark, sf_dir, "orders").select(c("o_orderdate").cast("date").alias("day"), (c("o_orderstatus") == "P").alias("pending"))
     windows = _windows(spark, sf_dir)
-    counts = orders.join(F.broadcast(windows), c("day").between(c("start_date"), c("end_date"))).groupBy("window_id").agg(F.count("*").alias("n"), F.count_if("pending").alias("p"))
+    orders = load(spark, sf_dir, "orders").select(_window_id(windows, c("o_orderdate").cast("date")), (c("o_orderstatus") == "P").alias("pending"))
+    counts = orders.groupBy("window_id").agg(F.count("*").alias("n"), F.count_if("pending").alias("p"))
     found = (F.coalesce("n", F.lit(0)).alias("n_rows"), F.coalesce("p", F.lit(0)).alias("n_pending"))
     return windows.join(counts, "window_id", "left").select("window_id", calendars.covers_month_end(c("start_date"), c("end_date")).alias("covers"), *found)
 
@@ -166,6 +181,11 @@ def _quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.weight_totals(load(spark, sf_dir, "lineitem"), ("l_orderkey",), "l_quantity")
 
 
+def exact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices summed by supplier, exactly, and rounded once: every bit of the total is fixed."""
+    return exact_sums(load(spark, sf_dir, "lineitem"), ("l_suppkey",), "l_extendedprice", "total")
+
+
 def scale_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scale_counts(_quantities(spark, sf_dir))
 
@@ -286,6 +306,7 @@ def industry_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _land(spark: SparkSession, raw: DataFrame, fmt: str = "parquet") -> str:
     """The raw rows in a working folder, with a field that no pipeline knows."""
     path = working_folder(spark)
+    raw = raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # files of a landed table, however few the given one has
     raw.withColumn("unknownField", F.lit("x")).write.format(fmt).option("header", True).save(path)
     return path
 
@@ -336,9 +357,11 @@ def landed_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typed_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No batch gives the typed columns: what a scan of no day unions with, and the fields of each type."""
-    rows = landed.of_days(_raw_equity(spark, sf_dir), "tradeDate", [])
-    whole = union([landed.empty(spark, EQUITY), normalize.equity(rows)], spark, EQUITY)
+    """A run of a range without an open day stores nothing, and its table reads as the typed columns; so does no batch."""
+    raw, days, root = _stored(spark, sf_dir)
+    if ingest.run_equity(raw, days, root, "19000101", "19001231") != ingest.Report([], [], 0, 0):
+        raise AssertionError("a day was found")
+    whole = union([landed.empty(spark, EQUITY), read_days(spark, root, EQUITY).select(*EQUITY.schema.names)], spark, EQUITY)
     kinds = [(f.dataType.simpleString(), f.name) for f in whole.schema]
     counted = spark.createDataFrame(kinds, "kind string, name string").groupBy("kind").agg(F.count("*").alias("n_fields"))
     return counted.join(whole.agg(F.count("*").alias("n_rows")), F.lit(True)).select("kind", "n_fields", "n_rows")
@@ -375,6 +398,51 @@ def equity_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.join(F.broadcast(reported), c("day") == c("trade_date").cast("string"), "left").select("trade_date", "year", "month", "n_rows", "total", "run", "reported")
 
 
+def equity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one run reports of a landed table with undated rows: rows, undated rows, days and requests, all counted by the job that stages it."""
+    raw, days, root = _stored(spark, sf_dir)
+    raw = raw.withColumns({"isOpen": F.lit("1"), "tradeDate": F.when(c("turnoverRate") == "0.03", None).otherwise(c("tradeDate"))})
+    report = ingest.run_equity(landed.scan(spark, _land(spark, raw), EQUITY), days, root, "19970101", "19970630")
+    row = [(report.rows, report.null_date, len(report.days), sum(d[1] for d in report.days), len(report.requests))]
+    return spark.createDataFrame(row, "n_rows bigint, null_date bigint, n_days bigint, stored bigint, n_requests bigint")
+
+
+def exchange_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars stored by day and exchange: one exchange is stored up to February 1996, then both up to April; days of each run."""
+    raw, days, root = _stored(spark, sf_dir)
+    raw = landed.scan(spark, _land(spark, raw.withColumn("isOpen", F.lit("1"))), EQUITY)
+    several = days.crossJoin(F.broadcast(spark.createDataFrame([("XSHG",), ("XSHE",)], "exchange_cd string")))  # a calendar for each of two exchanges
+    first = ingest.run_equity(raw, several.where("exchange_cd = 'XSHG'"), root, "19960101", "19960229", by_exchange=True)
+    second = ingest.run_equity(raw, several, root, "19960101", "19960430", by_exchange=True)
+    reported = spark.createDataFrame([(1, *d) for d in first.days] + [(2, *d) for d in second.days], "run int, day string, exchange_cd string, reported bigint, written boolean")
+    stored = read_days(spark, root, ingest.EXCHANGES).groupBy("trade_date", c("part_exchange_cd").alias("exchange_cd")).agg(F.count("*").alias("n_rows"))
+    return stored.join(F.broadcast(reported.withColumn("trade_date", c("day").cast("date"))), ["trade_date", "exchange_cd"], "left").select("trade_date", "exchange_cd", "n_rows", "run", "reported")
+
+
+def landed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars landed in two batches with an index of their files; a scan of three spans opens some of the files and finds all rows."""
+    raw = _raw_equity(spark, sf_dir)
+    table = landed.Landed(spark, working_folder(spark), EQUITY)
+    for batch in ("tradeDate < '1998-01-01'", "tradeDate >= '1998-01-01'"):
+        table.append(raw.where(batch), parts=12)
+    spans = [(date(1995, 3, 1), date(1995, 3, 31)), (date(1997, 12, 20), date(1998, 1, 10)), (date(2001, 1, 1), date(2001, 1, 1))]
+    if len(table.files(spans)) > table.index().count() // 2:
+        raise AssertionError("files without a day of the spans are opened")
+    return table.scan(spans).groupBy("tradeDate").agg(F.count("*").alias("n"), F.min("secID").alias("first_id"))
+
+
+def index_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ticker that the day's version does not know stops a run of index bars; nothing is stored."""
+    raw = _raw_index(spark, sf_dir).withColumn("ticker", F.when(c("ticker") == "899999", "801020").otherwise(c("ticker")))
+    every = raw.select(coerce.date_or_null(c("tradeDate")).alias("calendar_date")).distinct().withColumn("is_open", F.lit(1))
+    root = working_folder(spark)
+    try:
+        ingest.run_index(raw, every, root, "20211101", "20220228")
+    except validate.ValidationError as error:
+        return read_days(spark, root, INDEX).agg(F.count("*").alias("n_stored")).withColumn("message", F.lit(str(error)))
+    raise AssertionError("the ticker passed")
+
+
 def index_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index bars: days of urgent orders are stored before; a run plans the rest over the change of version."""
     raw = _raw_index(spark, sf_dir).where("ticker <> '899999'")
@@ -407,6 +475,19 @@ def weights_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy("effective_date", "classification_version", "year", "month").agg(F.count("*").alias("n_rows"), F.count_distinct("index_ticker").alias("n_tickers"), F.round(F.sum("weight"), 6).alias("weight"), F.min("constituent_symbol").alias("first_symbol"))
 
 
+def weights_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ticker is absent from one snapshot of 2020: earlier windows stay stored, later ones are not written, the manifest says failed."""
+    raw, root = landed.scan(spark, _land(spark, _raw_weights(spark, sf_dir).where("not (ticker = '801010' and effDate = '2020-05-31')")), WEIGHTS), working_folder(spark)
+    first, last = (x.replace("-", "") for x in raw.agg(F.min("effDate"), F.max("effDate")).first())
+    try:
+        ingest.run_weights(raw, root, first, last)
+    except validate.ValidationError as error:
+        heads = read_manifests(spark, root).select("status", F.size("completed_windows").cast("long").alias("n_completed"), c("failure.window.start_date").alias("failed_from"), "summary.files_written", F.element_at("calls", -1)["error_type"].alias("rule"))
+        stored = read_days(spark, root, WEIGHTS).agg(F.count("*").alias("n_rows"), F.max("effective_date").alias("last_day"))
+        return heads.crossJoin(stored).withColumn("detail", F.lit(error.detail))  # one row each
+    raise AssertionError("the gap passed")
+
+
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of a run and of its repetition: windows, files, totals by scale."""
     rows = read_manifests(spark, _weights_manifests(spark, sf_dir)).withColumn("run", F.row_number().over(Window.orderBy("created_at_utc")))
@@ -442,7 +523,8 @@ QUERIES = {f.__name__: f for f in (
     open_days, missing_days, chunk_days, island_batches, backfill_ranges, version_windows, month_end_cover, symbol_suffix, numeric_coerce, exact_int, date_parse_format,
     strict_dates, drop_undated, rename_project, classify_index, unknown_keys, weight_totals, scale_counts, bad_totals, duplicate_keys, snapshot_gaps, rule_counts, run_summary,
     union_batches, days_roundtrip, stored_day_list, equity_bars, equity_checks, index_bars, industry_weights, equity_scan, index_scan, weights_scan, landed_calendar, typed_empty,
-    required_columns, equity_run, index_run, weights_run, run_manifest, equity_order, index_order, weights_order,
+    required_columns, equity_run, index_run, weights_run, run_manifest, equity_order, index_order, weights_order, exchange_batches, exact_totals, equity_report, exchange_run, landed_days,
+    index_unknown, weights_failure,
 )}
 
 _DAYS = "days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), urgent AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '1-URGENT')"
@@ -545,4 +627,23 @@ ORACLE_SQL = {
     "equity_order": "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS day, count(*) AS n_rows, 1::BIGINT AS n_files, 0::BIGINT AS n_late FROM lineitem GROUP BY 1",
     "index_order": f"WITH {_INDEX} SELECT CAST(date_trunc('month', day) AS DATE) AS day, count(*) AS n_rows, 1::BIGINT AS n_files, 0::BIGINT AS n_late FROM bars GROUP BY 1",
     "weights_order": f"WITH {_SNAPSHOTS} SELECT day, count(*) AS n_rows, 1::BIGINT AS n_files, 0::BIGINT AS n_late FROM rows_ GROUP BY 1",
+    "exchange_batches": """WITH days AS (SELECT DISTINCT o_orderstatus AS e, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus IN ('F', 'O')), urgent AS (SELECT DISTINCT o_orderstatus AS e, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '1-URGENT'
+        ), places AS (SELECT e, d, row_number() OVER (PARTITION BY e ORDER BY d) AS p FROM days), gaps AS (
+            SELECT e, d, p - row_number() OVER (PARTITION BY e ORDER BY d) AS g, CASE WHEN d >= DATE '1998-01-01' THEN 'SW2021' ELSE 'SW2014' END AS version FROM places ANTI JOIN urgent USING (e, d)
+        ), numbered AS (SELECT e, d, dense_rank() OVER (PARTITION BY e ORDER BY g) - 1 AS island, version FROM gaps)
+        SELECT e AS exchange_cd, d AS trade_date, island::INT AS island, version, ((row_number() OVER (PARTITION BY e, island, version ORDER BY d) - 1) // 20)::INT AS chunk FROM numbered""",
+    "exact_totals": """WITH sums AS (SELECT l_suppkey, sum((l_extendedprice * 17592186044416)::HUGEINT) AS s FROM lineitem GROUP BY 1
+        ), cut AS (SELECT l_suppkey, s, greatest(floor(log2(s::DOUBLE))::INT - 52, 0) AS k FROM sums), parts AS (SELECT l_suppkey, k, s // (1::HUGEINT << k) AS q, s % (1::HUGEINT << k) AS r, (1::HUGEINT << k) AS unit FROM cut)
+        SELECT l_suppkey, (q + CASE WHEN 2 * r > unit OR (2 * r = unit AND q % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE * unit::DOUBLE / 17592186044416::DOUBLE AS total FROM parts""",
+    "equity_report": """WITH rows_ AS (SELECT CAST(l_shipdate AS DATE) AS d, round(l_discount, 2) = 0.03 AS undated FROM lineitem), open_ AS (SELECT count(DISTINCT d) AS n FROM rows_ WHERE NOT undated AND d BETWEEN DATE '1997-01-01' AND DATE '1997-06-30')
+        SELECT count(*) FILTER (undated OR d BETWEEN DATE '1997-01-01' AND DATE '1997-06-30') AS n_rows, count(*) FILTER (undated) AS null_date, (SELECT n FROM open_) AS n_days, count(*) FILTER (NOT undated AND d BETWEEN DATE '1997-01-01' AND DATE '1997-06-30') AS stored,
+            (SELECT (count(DISTINCT d) + 19) // 20 FROM rows_ WHERE d BETWEEN DATE '1997-01-01' AND DATE '1997-06-30')::BIGINT AS n_requests FROM rows_""",
+    "exchange_run": """SELECT CAST(l_shipdate AS DATE) AS trade_date, CASE l_returnflag WHEN 'A' THEN 'XSHG' ELSE 'XSHE' END AS exchange_cd, count(*) AS n_rows, CASE WHEN l_returnflag = 'A' AND CAST(l_shipdate AS DATE) <= DATE '1996-02-29' THEN 1 ELSE 2 END AS run, count(*) AS reported
+        FROM lineitem WHERE l_returnflag IN ('A', 'N') AND CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-04-30' GROUP BY ALL""",
+    "landed_days": """SELECT strftime(l_shipdate, '%Y-%m-%d') AS "tradeDate", count(*) AS n, min('S' || l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS first_id FROM lineitem
+        WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1995-03-31' OR CAST(l_shipdate AS DATE) BETWEEN DATE '1997-12-20' AND DATE '1998-01-10' OR CAST(l_shipdate AS DATE) = DATE '2001-01-01' GROUP BY ALL""",
+    "index_unknown": f"WITH {_INDEX} SELECT 0::BIGINT AS n_stored, 'unknown_ticker: ' || count(*) || ' rows of index_daily, e.g. 801020' AS message FROM bars WHERE code = '899999' AND day BETWEEN DATE '2021-12-13' AND DATE '2022-02-28'",
+    "weights_failure": f"""WITH {_SNAPSHOTS}, eras AS (SELECT DISTINCT version, year(day) AS y FROM rows_ WHERE day < DATE '2020-01-01')
+        SELECT 'failed' AS status, (SELECT count(*) FROM eras) AS n_completed, '20200101' AS failed_from, count(DISTINCT day) AS files_written, 'incomplete_snapshot' AS rule, count(*) AS n_rows, max(day) AS last_day, '2020-05-31 missing 801010 extra ' AS detail
+        FROM rows_ WHERE day < DATE '2020-01-01'""",
 }

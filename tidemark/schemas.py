@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Table:
-    """rename: raw to processed names. columns: processed names and types, in order."""
+    """rename: raw to processed names. columns: processed names and types, in order. split: columns that, with the day, make up what is stored as a whole."""
 
     name: str
     rename: dict[str, str]
@@ -18,6 +18,7 @@ class Table:
     date: str
     order: tuple[str, ...] = ()
     key: tuple[str, ...] = ()
+    split: tuple[str, ...] = ()
 
     @property
     def schema(self) -> T.StructType:
@@ -81,3 +82,11 @@ def require(df: DataFrame, table: Table) -> None:
     absent = sorted(set(table.rename) - set(df.columns))
     if absent:
         raise MissingColumns(f"{table.name}: missing columns {absent}")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,62 +1,113 @@
-"""Tables partitioned by year, month and day: written by day, replaced or skipped by day."""
+"""Tables partitioned by year, month and day: written by day, replaced or skipped by day, published as a whole."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from datetime import UTC, date, datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import path_parts
 from ..schemas import Table
+from . import files, snapshots
 
 PARTS = ("year", "month")
+RUN = "run"
+
+
+def keys_of(table: Table) -> tuple[str, ...]:
+    """Partition columns that make up a day's key: the day, and what the table is split by besides."""
+    return (table.date, *(f"part_{c}" for c in table.split))
 
 
 def read_days(spark: SparkSession, root: str, table: Table) -> DataFrame:
-    """The stored table, partition columns with their own types (months keep their zero); empty if nothing is stored."""
+    """The stored table as of its newest snapshot, partition columns with their own types (months keep their zero); empty if nothing is stored.
+
+    Day and run are partition columns, so the snapshot is a filter on folders: files that no
+    snapshot names are not opened. A table without a log is read as it lies."""
     fields = [f for f in table.schema if f.name != table.date]
-    schema = T.StructType([*fields, *(T.StructField(p, T.StringType()) for p in PARTS), T.StructField(table.date, T.DateType())])
-    try:
-        return spark.read.schema(schema).parquet(root)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    key = [T.StructField(table.date, T.DateType()), *(T.StructField(k, T.StringType()) for k in keys_of(table)[1:])]
+    schema = T.StructType([*fields, *(T.StructField(p, T.StringType()) for p in PARTS), *key])
+    now = snapshots.current(spark, root)
+    empty = spark.createDataFrame([], schema)
+    if now is not None:
+        if not now.days:
+            return empty
+        stored = spark.read.schema(T.StructType([*schema, T.StructField(RUN, T.StringType())])).parquet(root)
+        own = F.concat_ws("/", *(F.col(k).cast("string") for k in keys_of(table)), F.col(RUN))
+        return stored.where(own.isin(now.tokens())).drop(RUN)
+    return spark.read.schema(schema).parquet(root) if files.names(spark, root) else empty
 
 
 def stored_days(spark: SparkSession, root: str, table: Table) -> DataFrame:
-    """Distinct stored days as trade_date; reads partition values only."""
-    return read_days(spark, root, table).select(F.col(table.date).alias("trade_date")).distinct()
+    """Distinct stored days as trade_date, with what the table is split by; from the snapshot log alone, or without one from partition values."""
+    now = snapshots.current(spark, root)
+    if now is None:
+        return read_days(spark, root, table).select(F.col(table.date).alias("trade_date"), *(F.col(f"part_{c}").alias(c) for c in table.split)).distinct()
+    rows = [(date.fromisoformat(k[0]), *k[1:]) for k in now.days]
+    return spark.createDataFrame(rows, ", ".join(["trade_date date", *(f"{c} string" for c in table.split)]))
+
+
+def day_counts(df: DataFrame, table: Table) -> dict[tuple[str, ...], int]:
+    """Rows of each day (and part): a row per day comes to the driver."""
+    key = [F.col(table.date).cast("string"), *(F.col(c) for c in table.split)]
+    return {tuple(r)[:-1]: r[-1] for r in df.where(F.col(table.date).isNotNull()).groupBy(*(k.alias(f"k{i}") for i, k in enumerate(key))).count().collect()}
+
 
+def _write(rows: DataFrame, root: str, table: Table) -> None:
+    parts = (*PARTS, *keys_of(table))
+    order = [*parts, *(F.asc_nulls_last(c) for c in table.order if c != table.date)]
+    writer = rows.sortWithinPartitions(*order).write.mode("append").partitionBy(*parts, RUN).option("compression", "zstd")
+    # Tasks put their files in place themselves: nothing is visible before the log is, and a repeated task replaces its own files.
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(root)
 
-def write_days(df: DataFrame, root: str, table: Table, mode: str = "replace", rows_per_file: int = 5_000_000) -> list[tuple[str, int, bool]]:
-    """Writes every day of df and returns (day, rows, written) of each.
 
-    replace: a stored day is replaced, other days stay. skip: stored days are left alone.
-    Rows without a day are left out. A day is one task and one file, sorted by the table's
-    order (nulls last); a day of more than rows_per_file rows is dealt to more."""
+def write_days(df: DataFrame, root: str, table: Table, mode: str = "replace", rows_per_file: int = 5_000_000) -> list[tuple]:
+    """Writes every day of df and returns (day, rows, written) of each, with what the table is split by after the day.
+
+    replace: a stored day is replaced, other days stay. skip: stored days are left alone. Rows
+    without a day, or without a value of the split, are left out. A day is one task and one file,
+    sorted by the table's order (nulls last). A day of more than rows_per_file rows is cut at
+    quantiles of the order (a range partitioning), so its files don't overlap in it. Files go to
+    folders of this run; the snapshot log, published last, makes all of them visible at once.
+
+    df is read twice, for the counts and for the files: give a staged or stored table."""
+    if mode not in ("replace", "skip"):
+        raise ValueError(mode)
     spark = df.sparkSession
+    before = snapshots.current(spark, root) or snapshots.Snapshot(0, adopted(spark, root, table))
     df = df.where(F.col(table.date).isNotNull())
-    counts = {r[0]: r[1] for r in df.groupBy(table.date).count().collect()}  # a row per day
-    done = set()
-    if mode == "skip":
-        done = {r[0] for r in stored_days(spark, root, table).collect()} & set(counts)
-        df = df.where(~F.col(table.date).isin(list(done))) if done else df
-    elif mode != "replace":
-        raise ValueError(mode)
-    if set(counts) - done:
+    for c in table.split:
+        df = df.where(F.col(c).isNotNull())
+    counts = day_counts(df, table)
+    done = set(before.days) & set(counts) if mode == "skip" else set()
+    todo = {k: n for k, n in counts.items() if k not in done}
+    if todo:
+        run = f"{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:12]}"
         year, month = path_parts(F.col(table.date))
-        out = df.withColumns({"year": year, "month": month})
-        large = {n: -(-n // rows_per_file) for n in {n for d, n in counts.items() if d not in done and n > rows_per_file}}
-        salt = F.lit(0).cast("long")
-        for n, parts in large.items():  # one branch for each count of a large day
-            salt = F.when(F.col(table.date).isin([d for d, m in counts.items() if m == n]), F.pmod(F.xxhash64(*table.order), F.lit(parts))).otherwise(salt)
-        out = out.repartition(*PARTS, table.date, salt)
-        out = out.sortWithinPartitions(*PARTS, table.date, *(F.asc_nulls_last(c) for c in table.order))
-        writer = out.write.partitionBy(*PARTS, table.date).option("compression", "zstd")
-        if mode == "replace":
-            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
-        else:
-            writer.mode("append").parquet(root)
-    return sorted((str(d), n, d not in done) for d, n in counts.items())
+        out = df.withColumns({"year": year, "month": month, RUN: F.lit(run), **{f"part_{c}": F.col(c) for c in table.split}})
+        own = F.concat_ws("/", F.col(table.date).cast("string"), *table.split)
+        among = lambda keys: own.isin(["/".join(k) for k in keys])
+        large = {k: n for k, n in todo.items() if n > rows_per_file}
+        out = out.where(~among(done)) if done else out
+        if len(large) < len(todo):
+            small = out.where(~among(large)) if large else out
+            rest = [n for k, n in todo.items() if k not in large]
+            # A number of tasks by what there is to write: small ones put together would write many files one after another.
+            tasks = min(len(rest), max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(rest) // rows_per_file))
+            _write(small.repartition(tasks, *PARTS, *keys_of(table)), root, table)
+        if large:
+            cuts: list[Column] = [*(F.col(c) for c in (*PARTS, *keys_of(table))), *(F.asc_nulls_last(c) for c in table.order if c != table.date), F.xxhash64(*df.columns)]
+            _write(out.where(among(large)).repartitionByRange(sum(-(-n // rows_per_file) for n in large.values()), *cuts), root, table)
+        snapshots.publish(spark, root, before, run, todo)
+        snapshots.forget(spark, root, keys_of(table))
+    return sorted((*k, n, k not in done) for k, n in counts.items())
+
+
+def adopted(spark: SparkSession, root: str, table: Table) -> dict[tuple[str, ...], tuple[str, int]]:
+    """A table that was stored without a log can't be continued: its days have no run."""
+    if any(n.startswith("year=") for n in files.names(spark, root)) and not read_days(spark, root, table).isEmpty():
+        raise ValueError(f"{root} holds days without a snapshot log; copy them with write_days(read_days(...)) to a new root")
+    return {}

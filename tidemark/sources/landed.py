@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 
@@ -10,13 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import date_or_null
+from ..functions.search import rank_in
 from ..schemas import Table
+from . import files
 
 CALENDAR = "calendarDate string, isOpen int"
-MOST_LITERALS = 200
+MOST_LITERALS = 10
 
 
-def scan(spark: SparkSession, path: str, table: Table, fmt: str = "parquet", where: Column | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str | list[str], table: Table, fmt: str = "parquet", where: Column | None = None) -> DataFrame:
     """Only the table's raw fields, with the filter next to the scan so that it is pushed down.
 
     CSV and JSON are read as text, so a ticker keeps its leading zeros; Parquet keeps its own types."""
@@ -30,6 +34,71 @@ def scan(spark: SparkSession, path: str, table: Table, fmt: str = "parquet", whe
     return df.select(*(c for c in table.rename if c in df.columns))
 
 
+@dataclass(frozen=True)
+class Landed:
+    """A landed table with an index of its files: batches below path, and the first day, last day, rows and undated rows of each file.
+
+    The index, below _index, has a row per file; the lander keeps it. A scan of some days opens the
+    files whose days overlap with them, and those with dates that can't be read."""
+
+    spark: SparkSession
+    path: str
+    table: Table
+    fmt: str = "parquet"
+
+    def index(self) -> DataFrame:
+        schema = "file string, first_day date, last_day date, n_rows bigint, n_undated bigint"
+        found = files.names(self.spark, f"{self.path}/_index")
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/_index/{n}" for n in found)) if found else self.spark.createDataFrame([], schema)
+
+    def append(self, raw: DataFrame, parts: int | None = None) -> None:
+        """Lands raw rows as a batch of its own, dealt to files by ranges of days, so that each has few of them; then their index.
+
+        A day of many rows fills several files: rows of equal days are ranged by a hash. A batch counts once its index is there."""
+        source = next(a for a, b in self.table.rename.items() if b == self.table.date)
+        batch = uuid.uuid4().hex
+        keys = [date_or_null(F.col(source)), F.xxhash64(*raw.columns)]
+        dealt = raw.repartitionByRange(*([parts] if parts else []), *keys)
+        dealt.write.format(self.fmt).option("header", True).save(f"{self.path}/{batch}")
+        day, name = date_or_null(F.col(source)), F.concat(F.lit(f"{batch}/"), F.col("_metadata.file_name"))
+        rows = self._reader().load(f"{self.path}/{batch}").groupBy(name.alias("file"))
+        index = rows.agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("n_rows"), F.count_if(day.isNull()).alias("n_undated"))
+        index.coalesce(1).write.parquet(f"{self.path}/_index/{batch}")  # a row per file
+
+    def _reader(self):
+        reader = self.spark.read.format(self.fmt)
+        return reader.option("header", True).option("enforceSchema", False) if self.fmt == "csv" else reader.option("primitivesAsString", True) if self.fmt == "json" else reader
+
+    def files(self, spans: list[tuple[date, date]]) -> list[str]:
+        """Names of the files that may hold rows of the spans, each from its first to its last day."""
+        if not spans:
+            return []
+        firsts, lasts = zip(*merged(spans), strict=True)
+        # The last span that begins by the file's end must not end before the file begins.
+        at = rank_in(firsts, len(firsts), F.col("last_day"))
+        hit = F.get(F.array(*(F.lit(d) for d in lasts)), at - 1) >= F.col("first_day")
+        return [r["file"] for r in self.index().where((F.col("n_undated") > 0) | hit).select("file").orderBy("file").collect()]  # of the asked days
+
+    def scan(self, spans: list[tuple[date, date]]) -> DataFrame:
+        """Known fields of the rows of the spans, and of rows whose date can't be read; other files are not opened."""
+        found = self.files(spans)
+        source = next(a for a, b in self.table.rename.items() if b == self.table.date)
+        if not found:
+            return self.spark.createDataFrame([], self.table.raw_schema)
+        return of_days(scan(self.spark, [f"{self.path}/{f}" for f in found], self.table, self.fmt), source, spans)
+
+
+def merged(spans: list[tuple[date, date]]) -> list[tuple[date, date]]:
+    """Spans in order, overlapping and neighbouring ones as one."""
+    out: list[tuple[date, date]] = []
+    for a, b in sorted(spans):
+        if out and (a - out[-1][1]).days <= 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def on_days(column: str, days: list[str]) -> Column:
     """Literal day list, which reaches the scan; good for the few days of a backfill chunk."""
     return F.col(column).isin(days)
@@ -38,10 +107,11 @@ def on_days(column: str, days: list[str]) -> Column:
 def of_days(df: DataFrame, column: str, spans: list[tuple[date, date]]) -> DataFrame:
     """Rows of the days from first to last of any span, and rows whose date can't be read, for validation.
 
-    A few spans are literals in the scan's filter, on text in both of its forms; of many,
-    the whole range is, and a broadcast semi-join on the days (a row per day) does the rest."""
+    A few spans are literals in the scan's filter, on text in both of its forms. Of many, the whole
+    range is, and each row finds its span by binary search in an expression; no join either way."""
     if not spans:
         return df.where(F.lit(False))
+    spans = merged(spans)
     day, text = date_or_null(F.col(column)), isinstance(df.schema[column].dataType, T.StringType)
 
     def between(a: date, b: date) -> Column:
@@ -50,13 +120,13 @@ def of_days(df: DataFrame, column: str, spans: list[tuple[date, date]]) -> DataF
         forms = [(str(a), str(b)), (f"{a:%Y%m%d}", f"{b:%Y%m%d}")]
         return reduce(Column.__or__, (F.col(column).between(x, y) if a < b else F.col(column) == x for x, y in forms))
 
-    unread = day.isNull()
-    if len(spans) <= MOST_LITERALS:
-        wanted = reduce(Column.__or__, (between(a, b) for a, b in spans))
-        return df.where(unread | (wanted & reduce(Column.__or__, (day.between(F.lit(a), F.lit(b)) for a, b in spans))) if text else unread | wanted)
-    rows = df.where(unread | between(min(a for a, _ in spans), max(b for _, b in spans)))
-    known = df.sparkSession.createDataFrame(spans, "a date, b date").select(F.explode(F.sequence("a", "b")).alias("wanted"))
-    return rows.where(unread).unionByName(rows.join(F.broadcast(known.distinct()), day == F.col("wanted"), "left_semi"))
+    few = len(spans) <= MOST_LITERALS
+    pushed = reduce(Column.__or__, (between(a, b) for a, b in (spans if few else [(spans[0][0], spans[-1][1])])))
+    if few and not text:
+        return df.where(day.isNull() | pushed)
+    firsts, lasts = zip(*spans, strict=True)
+    last = F.get(F.array(*(F.lit(b) for b in lasts)), rank_in(firsts, len(firsts), day) - 1)
+    return df.where(day.isNull() | (pushed & (day <= last)))
 
 
 def in_range(column: str, start: str, end: str) -> Column:

@@ -1,4 +1,4 @@
-"""One JSON document per run."""
+"""One document per run: a head and its quality records."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.quality import scale_counts
+
 # The fields of the run's document.
 WINDOW = "struct<classification_version:string,start_date:string,end_date:string>"
 HEAD = (
@@ -17,26 +19,34 @@ HEAD = (
     "summary struct<api_calls:bigint,rows_downloaded:bigint,files_written:bigint,files_skipped:bigint,unique_index_tickers:bigint,unique_effective_dates:bigint,rows_outside:bigint>, "
     f"failure struct<error_type:string,window:{WINDOW}>"
 )
-QUALITY = "quality struct<weight_scale_counts:map<string,bigint>,weight_totals:array<struct<classification_version:string,index_ticker:string,effective_date:date,weight_total:double,scale:string>>>"
+TOTALS = "classification_version string, index_ticker string, effective_date date, weight_total double, scale string"
+COUNTS = "quality struct<weight_scale_counts:map<string,bigint>>"
+
 
+def manifest(spark: SparkSession, head: dict[str, Any], totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The head of the document, one row with the counts of scales, and its quality records: a row for each group of totals."""
+    counts = {r["scale"]: r["n"] for r in scale_counts(totals).collect()}  # three scales
+    row = head | {"created_at_utc": datetime.now(UTC), "quality": {"weight_scale_counts": dict(sorted(counts.items()))}}
+    return spark.createDataFrame([row], f"{HEAD}, {COUNTS}"), totals.select(*(n.split()[0] for n in TOTALS.split(", ")))
 
-def manifest(spark: SparkSession, head: dict[str, Any], totals: DataFrame) -> DataFrame:
-    """One row: head, and the quality of totals (weight totals with their scales)."""
-    quality = totals.agg(
-        F.array_sort(F.collect_list(F.struct("classification_version", "index_ticker", "effective_date", "weight_total", "scale"))).alias("weight_totals"),
-        F.map_from_entries(F.array_sort(F.filter(F.array(*(F.struct(F.lit(s).alias("k"), F.count_if(F.col("scale") == s).alias("n")) for s in ("percent", "ratio", "unrecognized"))), lambda x: x["n"] > 0))).alias("weight_scale_counts"),
-    ).select(F.struct("weight_scale_counts", "weight_totals").alias("quality"), F.lit(1).alias("__one"))
-    row = spark.createDataFrame([head | {"created_at_utc": datetime.now(UTC)}], HEAD).withColumn("__one", F.lit(1))
-    return row.join(F.broadcast(quality), "__one").drop("__one")
 
+def write_manifest(row: DataFrame, totals: DataFrame, root: str) -> str:
+    """Writes _manifests/run=<time> under root (the underscore hides it from scans of the table) and returns its path.
 
-def write_manifest(row: DataFrame, root: str) -> str:
-    """Writes _manifests/run=<time> under root (the underscore hides it from scans of the table) and returns its path."""
+    Quality records are rows beside the head, in as many files as they need, below `_quality`; the head, which makes the run count, comes last."""
     path = f"{root}/_manifests/run={datetime.now(UTC):%Y%m%dT%H%M%S%fZ}"
-    row.coalesce(1).write.option("ignoreNullFields", False).json(path)
+    totals.write.option("ignoreNullFields", False).json(f"{path}/_quality")
+    row.coalesce(1).write.mode("append").option("ignoreNullFields", False).json(path)
     return path
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
-    """All documents under a table's root, one row per run."""
-    return spark.read.schema(f"{HEAD}, {QUALITY}").json(f"{root}/_manifests/*")
+    """The heads of all documents under a table's root, one row per run, with the run's folder as `run_path`."""
+    heads = spark.read.schema(f"{HEAD}, {COUNTS}").json(f"{root}/_manifests/*")
+    return heads.withColumn("run_path", F.regexp_extract(F.input_file_name(), "_manifests/(run=[^/]+)", 1))
+
+
+def read_quality(spark: SparkSession, root: str) -> DataFrame:
+    """The quality records of all documents under a table's root, a row for each group, with the run's folder as `run_path`."""
+    rows = spark.read.schema(TOTALS).json(f"{root}/_manifests/*/_quality")
+    return rows.withColumn("run_path", F.regexp_extract(F.input_file_name(), "_manifests/(run=[^/]+)", 1))
