@@ -15,7 +15,6 @@ from ..functions import coerce
 from ..schemas import WEIGHTS, Table, unused
 from ..sources.catalogs import index_catalog
 from .calendars import covers_month_end
-from .quality import weight_totals
 
 ROW_RULES = ("unknown_ticker", "bad_date", "outside_window", "null_key", "bad_weight", "negative_weight")
 LADDER = ("empty_window", *ROW_RULES, "duplicate_key", "incomplete_snapshot", "bad_total")
@@ -113,10 +112,10 @@ def weight_flags() -> dict[str, Column]:
     }
 
 
-def check_weights(rows: DataFrame, windows: DataFrame) -> tuple[Failure | None, dict[int, int]]:
+def check_weights(rows: DataFrame, windows: DataFrame, totals: DataFrame) -> tuple[Failure | None, dict[int, int]]:
     """The first failure, windows in order and then the ladder (None if all is well), and the rows of each window.
 
-    rows: processed, with window_id, version and the flags of `weight_flags`. One row per window reaches the driver."""
+    rows: processed, with window_id, version and the flags of `weight_flags`. totals: weight totals by window. One row per window reaches the driver."""
     c, w = F.col, "window_id"
     catalog = index_catalog(rows.sparkSession, broad=False)
     flags = rows.groupBy(w).agg(*(F.count_if(F.coalesce(c(f), F.lit(False))).alias(f) for f in ROW_RULES), F.count("*").alias("rows"), F.min(F.when(c("unknown_ticker"), c("index_ticker"))).alias("ticker"))
@@ -125,8 +124,7 @@ def check_weights(rows: DataFrame, windows: DataFrame) -> tuple[Failure | None,
     gaps = snapshot_gaps(rows, expected, [w, "version", "effective_date"], "index_ticker")
     text = F.concat(F.col("effective_date").cast("string"), F.lit(" missing "), F.concat_ws(",", "missing"), F.lit(" extra "), F.concat_ws(",", "extra"))
     gaps = gaps.groupBy(w).agg(F.count("*").alias("incomplete_snapshot"), F.min_by(text, "effective_date").alias("gap"))
-    totals = weight_totals(rows, (w, "classification_version", "index_ticker", "effective_date")).where("scale = 'unrecognized'")
-    totals = totals.groupBy(w).agg(F.count("*").alias("bad_total"), F.min(F.struct("effective_date", "index_ticker")).alias("total"))
+    totals = totals.where("scale = 'unrecognized'").groupBy(w).agg(F.count("*").alias("bad_total"), F.min(F.struct("effective_date", "index_ticker")).alias("total"))
     table = windows.join(flags, w, "left").join(keys, w, "left").join(gaps, w, "left").join(totals, w, "left")
     table = table.withColumn("empty_window", (F.coalesce("rows", F.lit(0)) == 0) & covers_month_end(c("start_date"), c("end_date"))).orderBy(w).collect()
     counts = {r[w]: r["rows"] or 0 for r in table}

@@ -6,6 +6,7 @@ are written, and a new snapshot of the table is published at the end."""
 
 from __future__ import annotations
 
+from contextlib import ExitStack
 from dataclasses import dataclass
 from datetime import date
 
@@ -157,9 +158,11 @@ def run_weights(raw: DataFrame, root: str, start: str, end: str, overwrite: bool
     known = index_catalog(spark, broad=False).select(c("version").alias("__v"), c("catalog_ticker"))
     tagged = tagged.join(known, (c("ticker").cast("string") == c("catalog_ticker")) & (c("version") == c("__v")), "left")
     tagged = tagged.withColumn("known", c("catalog_ticker").isNotNull()).withColumns(validate.weight_flags()).drop("catalog_ticker", "__v")
-    with staged(normalize.weights(tagged, "version", "window_id", *validate.ROW_RULES)) as stage:
+    with ExitStack() as stages:
+        stage = stages.enter_context(staged(normalize.weights(tagged, "version", "window_id", *validate.ROW_RULES)))
         outside = 0 if asked else watch.found()["rows_outside"]
-        failure, counts = validate.check_weights(stage, windows)
+        every = stages.enter_context(staged(quality.weight_totals(stage, ("window_id", *quality.BY))))  # a row for each group, for the check and the manifest
+        failure, counts = validate.check_weights(stage, windows, every)
         last = failure.window if failure else len(plan) + 1
         good = stage.where(c("window_id") < last).select(*WEIGHTS.schema.names)
         stored = write_days(good, root, WEIGHTS, "replace" if overwrite else "skip")
@@ -182,7 +185,7 @@ def run_weights(raw: DataFrame, root: str, start: str, end: str, overwrite: bool
             },
             "failure": {"error_type": "ValidationError", "window": span(broken)} if broken else None,
         }
-        totals = quality.weight_totals(good)
+        totals = every.where(c("window_id") < last).drop("window_id")
         if not failure:
             return write_manifest(*manifest(spark, head, totals), root)
         error = validate.ValidationError(failure.rule, failure.window, failure.detail)
