@@ -183,3 +183,12 @@ def test_a_document_of_many_removed_lines(spark):
     rows = [(k, many if k > 1 else f"{many}\nown words of the first", f"s{k}", "x") for k in range(1, 4)]
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.line_dedup(sites(spark, rows), sites=3).collect()}
     assert got == {1: (15_001, 0), 2: (15_000, 15_000), 3: (15_000, 15_000)}
+
+
+def test_lines_of_megabyte_texts(spark):
+    """One line of a megabyte on eight sites goes as a whole; a text of 60,000 lines keeps its own ones in order."""
+    long, many = "wide " * 250_000, "\n".join(f"own line number {k}" for k in range(60_000))
+    rows = [(k, f"{long}\nown {k}", f"s{k}", "x") for k in range(8)] + [(30, many, "s1", "x")]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in lines.line_dedup(sites(spark, rows)).collect()}
+    assert got[0] == (2, 0, f"{long}\nown 0") and all(got[k] == (2, 1, f"own {k}") for k in range(1, 8))
+    assert got[30] == (60_000, 0, many)

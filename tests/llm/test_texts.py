@@ -433,3 +433,13 @@ def test_texts_of_over_a_megabyte(spark, table):
     assert out[3]["lang_pred"] in ("de", "en") and 0 < out[3]["score"] <= 1
     pieces_of = packing.pack(table([(1, body)]), RANKS).collect()
     assert sum(r["length"] for r in pieces_of) == pieces_of[0]["doc_tokens"] == len(stream(body))
+
+
+def test_urls_of_a_megabyte(spark):
+    """A long host, a long path and a long query are judged as any other; the rest is not cut."""
+    long = "a" * 1_000_000
+    rows = [(1, f"http://{long}.example.com/en/x"), (2, f"http://x.net/es/{long}"), (3, f"http://x.net/fr?{long}"), (4, f"{long}"), (5, f"http://x.org/{'/'.join(['viagra-free'] * 90_000)}/viagra/")]
+    got = {r["page_id"]: r for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), (*HOST_RULES, *urls.PATTERNS)).collect()}
+    assert (got[1]["rule"], got[1]["verdict"], len(got[1]["host"])) == ("example.com/en/", "block", 1_000_012)
+    assert (got[2]["rule"], got[2]["verdict"], len(got[2]["path"])) == ("net/es/", "block", 1_000_004)
+    assert (got[3]["rule"], got[3]["path"]) == (None, "/fr") and (got[4]["host"], got[4]["path"]) == ("", "") and got[5]["verdict"] == "block"
