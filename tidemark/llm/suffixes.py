@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import repeats, text
+from .shared import saved
 
 U64 = np.uint64
 BLOCK_BYTES, CELL = 4 << 20, 13
@@ -186,7 +187,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, so null and repeated ids are allowed. Other columns are ignored. Equal strings
     are told by 64-bit hashes.
 
-    Plan: one shuffle of the texts into blocks, reused by every level; per level one of
+    Plan: the texts are saved with their block, which no retry changes; one shuffle of them
+    into blocks, reused by every level; per level one of
     the keys still open and one of the answers. Anchors stand every (length - gram) / 2
     bytes or so, runs and cells of repeated passages are settled by one key for all.
     """
@@ -194,7 +196,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // repeats.block_bytes(total, BLOCK_BYTES, docs)))
     row = F.xxhash64("id", F.monotonically_increasing_id())  # rows that repeat, or have no id, are spread too
-    blocks = docs.withColumn("block", F.pmod(row, F.lit(count))).withColumn("place", F.col("block"))
+    blocks = saved(docs.withColumn("block", F.pmod(row, F.lit(count)))).withColumn("place", F.col("block"))  # saved, so that a retry finds the same blocks
     buckets = repeats.buckets_of(docs)
 
     def first(table: pa.Table) -> np.ndarray:
