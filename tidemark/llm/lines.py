@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.search import rank_in
 from .shared import saved, unused
 
 BLANKS = " \t\x0b\x0c\r"
 LG_K = 12
+SHORT, MOST_LINES = 64, (1 << 28) - 1  # a text has at most 2**31 bytes, and a line that is judged several
 
 
 def line_key(line: Column, shortest: int) -> Column:
@@ -17,6 +19,12 @@ def line_key(line: Column, shortest: int) -> Column:
     return F.when(F.length(trimmed) >= shortest, F.xxhash64(trimmed))
 
 
+def listed(gone: Column, key: Column) -> Column:
+    """Whether a sorted list holds the key: short lists are read through, long ones halved."""
+    found = F.get(gone, rank_in(gone, MOST_LINES, key) - 1) == key
+    return F.coalesce(F.when(F.size(gone) <= SHORT, F.array_contains(gone, key)).otherwise(found), F.lit(False))
+
+
 def spread_lines(lines: DataFrame, sites: int) -> DataFrame:
     """Keys of the lines found on `sites` distinct sites or more, and the smallest id that has each.
 
@@ -43,17 +51,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their names. Texts may be of any length. Equal lines are told by 64-bit hashes.
 
     Plan: a table of line hashes (no text), sketches by line hash, an exact count for the few lines near the threshold,
-    then each document meets the list of its own removed lines by id."""
+    then each document meets the sorted list of its own removed lines by id, or, without an id, by its text."""
     keys = F.array_compact(F.transform(F.split(text_col, "\n"), lambda x: line_key(x, shortest)))
-    own = saved(docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.explode(F.array_distinct(keys)).alias("line")))
+    copy = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))  # rows without an id lose what their own text has
+    own = saved(docs.select(F.col(id_col).alias("id"), copy.alias("copy"), F.col(site_col).alias("site"), F.explode(F.array_distinct(keys)).alias("line")))
     held = saved(spread_lines(own, sites))
-    key, gone, left = (unused(c, docs.columns) for c in ("key", "gone", "left"))
-    lost = own.join(held, "line").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy(F.col("id").alias(key)).agg(F.collect_set("line").alias(gone))
-    out = docs.join(lost, F.col(id_col).eqNullSafe(F.col(key)), "left").drop(key)
+    key, same, gone, left, hashes = (unused(c, docs.columns) for c in ("key", "same", "gone", "left", "hashes"))
+    lost = own.join(held, "line").where(~F.col("id").eqNullSafe(F.col("first")))
+    lost = lost.groupBy(F.col("id").alias(key), F.col("copy").alias(same)).agg(F.sort_array(F.collect_set("line")).alias(gone))
+    out = docs.join(lost, F.col(id_col).eqNullSafe(F.col(key)) & copy.eqNullSafe(F.col(same)), "left").drop(key, same)
     lines = F.split(text_col, "\n")
-    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(gone, line_key(x, shortest)), F.lit(False)))
+    out = out.withColumn(hashes, F.when(F.col(gone).isNotNull(), F.transform(lines, lambda x: line_key(x, shortest))))
+    stay = F.filter(lines, lambda x, k: ~listed(F.col(gone), F.get(F.col(hashes), k)))
     out = out.withColumn(left, F.when(F.col(gone).isNotNull(), stay))
     count = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
     out = out.withColumn("n_lines", count)
     out = out.withColumn("n_removed", F.coalesce(F.col("n_lines") - F.size(left), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop(left, gone)
+    return out.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).drop(left, gone, hashes)
