@@ -218,17 +218,20 @@ def train(docs: DataFrame, label_col: str, text_col: str = "text", calibrate: Co
     """Models for all labels, from all rows with a label and a text; None without such rows.
 
     calibrate: which rows to draw about `sample` from at most, to calibrate on; all others
-    are counted. A label whose rows are all marked is counted only. Rows are drawn by id_col
-    and text (without such a column by text), so copies of a text are drawn one by one. Up to most_grams (label, 4-gram) rows, and four
+    are counted. A label whose rows are all marked is counted only. Rows are drawn one by one by id_col,
+    text and their number in a saved copy of the marked rows, also where whole rows repeat. Up to most_grams (label, 4-gram) rows, and four
     times as many probabilities, the models are arrays that every task holds; beyond that
     they are tables, all counts included, and only the most frequent grams are held."""
     rows = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.coalesce(F.lit(False) if calibrate is None else calibrate, F.lit(False)).alias("held"), F.xxhash64(*([id_col] if id_col in docs.columns else []), text_col).alias("hash")).where("label is not null and text is not null")
-    drawn = F.lit(False)
+    counted = rows.select("label", "text")
     if calibrate is not None:
         sizes = rows.groupBy("label").agg(F.count("*"), F.count_if("held")).collect()  # a row per label
         share = min(1.0, sample / max(1, sum(r[2] for r in sizes)))
-        drawn = F.col("held") & ~F.col("label").isin([r[0] for r in sizes if r[1] == r[2]]) & (F.pmod("hash", F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = count_grams(rows.where(~drawn).select("label", "text")).persist()
+        may = F.col("held") & ~F.col("label").isin([r[0] for r in sizes if r[1] == r[2]])
+        number = F.xxhash64("hash", F.monotonically_increasing_id())  # saved, so that every job draws the same rows
+        some = saved(rows.where(may).select("label", "text", (F.pmod(number, F.lit(1 << 20)) < int(share * (1 << 20))).alias("drawn")))
+        counted = rows.where(~may).select("label", "text").unionByName(some.where("not drawn").select("label", "text"))
+    counts = count_grams(counted).persist()
     try:
         size, kinds, names = counts.count(), counts.select("gram").distinct().count(), sorted(r[0] for r in counts.select("label").distinct().collect())
         if not names:
@@ -246,7 +249,7 @@ def train(docs: DataFrame, label_col: str, text_col: str = "text", calibrate: Co
     finally:
         counts.unpersist()
     if calibrate is not None:
-        fit(model, rows.where(drawn).select("label", "text"))
+        fit(model, some.where("drawn").select("label", "text"))
     return model
 
 
