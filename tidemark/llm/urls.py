@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import unused
+from .shared import saved, unused
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -65,6 +65,44 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def words(c: Column) -> Column:
+    return F.array_distinct(F.split(ascii_lower(c), "[^a-z0-9]+"))
+
+
+def deciding(subjects: DataFrame, rules: DataFrame) -> DataFrame:
+    """For each subject that a rule of the table matches, the rule that decides. subjects: distinct rows (subject)."""
+    if not rules.where("coalesce(size(tokens), 0) <= 0 or exists(tokens, t -> t is null) or verdict is null or pattern is null or place is null").isEmpty():
+        raise ValueError("every rule needs a verdict, a pattern, a place and literal tokens")
+    rules = rules.select("verdict", "pattern", "tokens", "name", "place").distinct()
+    found = subjects.select("subject", F.explode(words(F.col("subject"))).alias("token"))
+    asked = rules.select("*", F.explode("tokens").alias("token"))
+    counts = found.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"]
+    index = saved(asked.join(counts, "token", "left").groupBy(*rules.columns).agg(rarest.alias("token")))
+    hits = found.join(index, "token").where(F.rlike(F.col("subject"), F.col("pattern")))
+    rank = F.struct(F.col("name").isNotNull(), F.coalesce(F.length("name"), F.lit(0)), -F.col("place"), "name", "verdict")
+    return hits.groupBy("subject").agg(F.max(rank).alias("best")).select("subject", "best.name", "best.verdict")
+
+
+def filter_by_table(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
+    """url_filter for a table of any number of rules: columns verdict, pattern, tokens, name and place.
+
+    place is a rule's number in the list. The same columns and verdicts as url_filter; a rule
+    without tokens, pattern, verdict or place is an error, repeated rules are one, an empty table
+    allows all. Patterns are Java regular expressions.
+
+    Plan: distinct URLs are saved; their tokens are counted with map-side combine, for tokens
+    that rules name only; rules are joined to URLs by their rarest token, so no literal, and no
+    broadcast but by Spark's own size check. URLs that repeat are judged once."""
+    subject, name, verdict = (unused(c, pages.columns) for c in ("subject", "own name", "own verdict"))
+    host, path = url_parts(F.col(url_col))
+    out = pages.withColumn(subject, F.concat(host, path))
+    found = deciding(saved(out.select(F.col(subject).alias("subject")).distinct()), rules).toDF(subject, name, verdict)
+    out = out.withColumns({"host": host, "path": path}).join(found, subject, "left")
+    out = out.withColumns({"rule": F.col(f"`{name}`"), "verdict": F.coalesce(F.col(f"`{verdict}`"), F.lit(default))})
+    return out.drop(subject, name, verdict)
+
+
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = PATTERNS, url_col: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule (the name of the deciding host rule, or null) and verdict to every row.
 
@@ -75,13 +113,13 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = PATTERNS, url_col: st
 
     Narrow: the index is a literal of one row per rule, in as many hash cells as rules, so
     a token meets about one entry; nothing is shuffled and nothing grows with the pages. One
-    aggregate before counts the rules' tokens."""
+    aggregate before counts the rules' tokens. For lists of many thousand rules there is
+    filter_by_table."""
     if any(not r.tokens for r in rules):
         raise ValueError("every rule needs a literal token")
     subject, own = unused("subject", pages.columns), unused("tokens", pages.columns)
     host, path = url_parts(F.col(url_col))
     rows = pages.withColumn(subject, F.concat(host, path))
-    words = lambda c: F.array_distinct(F.split(ascii_lower(c), "[^a-z0-9]+"))
     known = sorted({t for r in rules for t in r.tokens})
     tokens = rows.select(F.explode(words(F.col(subject))).alias("token"))
     counts = {r["token"]: r["count"] for r in tokens.where(F.col("token").isin(known)).groupBy("token").count().collect()}
