@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from .conftest import ODD, WORD
 
 from tidemark.llm import lines, substrings, suffixes
@@ -192,3 +193,24 @@ def test_lines_of_megabyte_texts(spark):
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in lines.line_dedup(sites(spark, rows)).collect()}
     assert got[0] == (2, 0, f"{long}\nown 0") and all(got[k] == (2, 1, f"own {k}") for k in range(1, 8))
     assert got[30] == (60_000, 0, many)
+
+
+def test_lines_of_rows_without_an_id(spark):
+    """Such rows lose what their own text has, whatever other rows without an id lose; repeated ones alike."""
+    shared = [f"shared line number {k:03d}" for k in range(100)]
+    rows = [(k, "\n".join(shared), f"s{k}", "x") for k in range(3)]
+    rows += [(None, f"{shared[k]}\nown line of row {k}", f"s{k % 3}", "x") for k in range(100)] + [(None, f"{shared[5]}\nown line of row 5", "s9", "x")] * 20
+    rows += [(None, "\n".join([*shared, "at the end"]), "s1", "x"), (None, None, "s1", "x"), (None, "", None, "x")]
+    got = lines.line_dedup(sites(spark, rows), sites=3).collect()
+    assert len(got) == len(rows)
+    texts = Counter(r["text"] for r in got)
+    assert texts["\n".join(shared)] == 1 and texts["at the end"] == 1 and texts[""] == 3 and texts[None] == 1
+    assert texts["own line of row 5"] == 21 and all(texts[f"own line of row {k}"] == 1 for k in range(100) if k != 5)
+
+
+@pytest.mark.parametrize("size", [1, 64, 65, 1000])
+def test_search_in_sorted_lists(spark, size):
+    held = sorted(7 * k - 300 for k in range(size))
+    df = spark.createDataFrame([(held, k) for k in [*range(-310, 7 * size - 290), None]], "held array<long>, k long")
+    got = {r["k"]: r["found"] for r in df.select("k", lines.listed(F.col("held"), F.col("k")).alias("found")).collect()}
+    assert got == {k: k in set(held) for k in got}

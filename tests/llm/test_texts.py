@@ -304,6 +304,16 @@ def test_copies_of_a_text_are_drawn_one_by_one(spark, monkeypatch):
     assert 120 < drawn[0] < 280
 
 
+def test_whole_rows_that_repeat_are_drawn_one_by_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, "the same row again", "en")] * 3000 + [(k, "other rows", "en") for k in range(100)], "doc_id long, text string, lang string")
+    drawn, counted = [], []
+    count = languages.count_grams
+    monkeypatch.setattr(languages, "count_grams", lambda rows: counted.append(rows.count()) or count(rows))
+    monkeypatch.setattr(languages, "fit", lambda model, rows, *_: drawn.append(rows.count()))
+    languages.train(docs, "lang", calibrate=docs["doc_id"] == 7, sample=200)
+    assert 120 < drawn[0] < 280 and counted[0] + drawn[0] == 3100
+
+
 @pytest.mark.parametrize("dropout", [0.0, 0.1, 1.0])
 def test_long_words_equal_one_heap_and_rounds(monkeypatch, dropout):
     model, draw = pieces.pieces(MODEL), random.Random(8)
@@ -368,6 +378,30 @@ def test_many_url_rules_against_all_expressions(spark):
     assert sum(r is not None for r, _ in got.values()) > 50
 
 
+def rule_rows(spark, rules):
+    return spark.createDataFrame([(r.verdict, r.pattern, list(r.tokens), r.name, k) for k, r in enumerate(rules)], "verdict string, pattern string, tokens array<string>, name string, place long")
+
+
+def test_url_rules_from_a_table_are_the_same(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abc") for _ in range(2))
+    rules = (*(urls.host_rule(draw.choice(("allow", "block")), f"{word()}.{word()}/{word()}/") for _ in range(200)), *HOST_RULES, *urls.PATTERNS)
+    some = [f"http://{word()}.{word()}.{word()}/{word()}/{word()}" for _ in range(500)]
+    some += [None, "", "no scheme", "http://", "HTTP://WWW.Example.com/en/x", "http://a\nb.spam-farm.org/x", "http://x.net/fr/viagra", "http://" + "w" * 100_000 + ".com/en/"]
+    rows = [(k % 400 or None, u, 1, 2) for k, u in enumerate([*some, *some[-9:], *["http://hot.example.com/en/"] * 300])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, subject long, verdict long")
+    wanted, got = urls.url_filter(pages, rules), urls.filter_by_table(pages, rule_rows(spark, rules))
+    assert sorted(wanted.columns) == sorted(got.columns)
+    both = [sorted((tuple(r) for r in out.select("page_id", "url", "subject", "host", "path", "rule", "verdict").collect()), key=repr) for out in (wanted, got)]
+    assert both[0] == both[1] and len(both[0]) == len(rows) and sum(r[5] is not None for r in both[0]) > 300
+    twice = rule_rows(spark, rules).unionByName(rule_rows(spark, rules[:20]))
+    assert urls.filter_by_table(pages, twice).where("verdict = 'block'").count() == sum(r[6] == "block" for r in both[0])
+    assert urls.filter_by_table(pages, rule_rows(spark, ())).where("verdict = 'allow' and rule is null").count() == len(rows)
+    assert urls.filter_by_table(pages.limit(0), rule_rows(spark, rules)).count() == 0
+    with pytest.raises(ValueError, match="literal tokens"):
+        urls.filter_by_table(pages, rule_rows(spark, [urls.Rule("block", "x", ())]))
+
+
 def letters_of(text):
     """Lower-case letters, each run of anything else one blank, none in front."""
     out = []
