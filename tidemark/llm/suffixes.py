@@ -239,7 +239,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for level in (second, third):
         replies = replies.unionByName(repeats.answers(repeats.send_again(blocks, replies, level, buckets)))
     schema = T.StructType([
-        T.StructField("id", docs.schema["id"].dataType), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
+        T.StructField("id", blocks.schema["id"].dataType), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     ])
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(remove, schema).withColumnRenamed("id", id_col)
