@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources import files
+from ..sources.compiled import compiled
 from ..sources.folders import working_folder
 
 
@@ -29,24 +30,14 @@ class Watch:
         return {k: v for own in self.seen for k, v in own.get.items()}
 
 
-LIMIT = "spark.sql.codegen.hugeMethodLimit"
-
-
 @contextmanager
 def staged(df: DataFrame):
-    """The rows of df, written once to a working folder and read from there; the folder goes at the end, whatever happens.
-
-    Some twenty coerced columns make one method of generated code that is too long for the JVM to
-    compile (8,000 bytes), so it would be interpreted; within the limit Spark splits it up."""
+    """The rows of df, written once to a working folder and read from there; the folder goes at the end, whatever happens."""
     spark = df.sparkSession
     path = working_folder(spark)
-    before = spark.conf.get(LIMIT)
     try:
-        spark.conf.set(LIMIT, "8000")
-        try:
+        with compiled(spark):
             df.write.option("compression", "zstd").parquet(path)
-        finally:
-            spark.conf.set(LIMIT, before)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         files.remove(spark, path)

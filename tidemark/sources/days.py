@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from datetime import UTC, date, datetime
 
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import path_parts
-from ..schemas import Table
+from ..schemas import Table, unused
 from . import files, snapshots
+from .compiled import compiled
 
 PARTS = ("year", "month")
 RUN = "run"
+ROWS_PER_TASK = 500_000
 
 
 def keys_of(table: Table) -> tuple[str, ...]:
@@ -56,20 +59,36 @@ def day_counts(df: DataFrame, table: Table) -> dict[tuple[str, ...], int]:
     return {tuple(r)[:-1]: r[-1] for r in df.where(F.col(table.date).isNotNull()).groupBy(*(k.alias(f"k{i}") for i, k in enumerate(key))).count().collect()}
 
 
-def _write(rows: DataFrame, root: str, table: Table) -> None:
+def packed(rows: dict[tuple[str, ...], int], tasks: int) -> list[tuple[str, int]]:
+    """Each day (and part) with its task: the largest first, each to the task with the fewest rows so far."""
+    load = [(0, t) for t in range(tasks)]
+    out = []
+    for key, n in sorted(rows.items(), key=lambda r: (-r[1], r[0])):
+        held, task = heapq.heappop(load)
+        heapq.heappush(load, (held + n, task))
+        out.append(("/".join(key), task))
+    return out
+
+
+def _write(rows: DataFrame, root: str, table: Table, run: str) -> None:
+    # Partition values are added to rows that are in their task already, so they are not shuffled.
+    year, month = path_parts(F.col(table.date))
+    rows = rows.withColumns({"year": year, "month": month, RUN: F.lit(run), **{f"part_{c}": F.col(c) for c in table.split}})
     parts = (*PARTS, *keys_of(table))
     order = [*parts, *(F.asc_nulls_last(c) for c in table.order if c != table.date)]
     writer = rows.sortWithinPartitions(*order).write.mode("append").partitionBy(*parts, RUN).option("compression", "zstd")
     # Tasks put their files in place themselves: nothing is visible before the log is, and a repeated task replaces its own files.
-    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(root)
+    with compiled(rows.sparkSession):
+        writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(root)
 
 
 def write_days(df: DataFrame, root: str, table: Table, mode: str = "replace", rows_per_file: int = 5_000_000) -> list[tuple]:
     """Writes every day of df and returns (day, rows, written) of each, with what the table is split by after the day.
 
     replace: a stored day is replaced, other days stay. skip: stored days are left alone. Rows
-    without a day, or without a value of the split, are left out. A day is one task and one file,
-    sorted by the table's order (nulls last). A day of more than rows_per_file rows is cut at
+    without a day, or without a value of the split, are left out. A day is one file, sorted by the
+    table's order (nulls last); days are dealt to tasks by their counts, so that none gets several
+    large ones by chance. A day of more than rows_per_file rows is cut at
     quantiles of the order (a range partitioning), so its files don't overlap in it. Files go to
     folders of this run; the snapshot log, published last, makes all of them visible at once.
 
@@ -86,21 +105,19 @@ def write_days(df: DataFrame, root: str, table: Table, mode: str = "replace", ro
     todo = {k: n for k, n in counts.items() if k not in done}
     if todo:
         run = f"{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:12]}"
-        year, month = path_parts(F.col(table.date))
-        out = df.withColumns({"year": year, "month": month, RUN: F.lit(run), **{f"part_{c}": F.col(c) for c in table.split}})
         own = F.concat_ws("/", F.col(table.date).cast("string"), *table.split)
-        among = lambda keys: own.isin(["/".join(k) for k in keys])
         large = {k: n for k, n in todo.items() if n > rows_per_file}
-        out = out.where(~among(done)) if done else out
-        if len(large) < len(todo):
-            small = out.where(~among(large)) if large else out
-            rest = [n for k, n in todo.items() if k not in large]
-            # A number of tasks by what there is to write: small ones put together would write many files one after another.
-            tasks = min(len(rest), max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(rest) // rows_per_file))
-            _write(small.repartition(tasks, *PARTS, *keys_of(table)), root, table)
+        small = {k: n for k, n in todo.items() if k not in large}
+        if small:
+            # Tasks by what there is to write: in few of them large sorts would spill and many files be written one after another.
+            tasks = min(len(small), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(small.values()) // ROWS_PER_TASK)))
+            key, task = unused("key", df.columns), unused("task", df.columns)
+            places = F.broadcast(spark.createDataFrame(packed(small, tasks), f"{key} string, {task} int"))  # a row per day
+            _write(df.withColumn(key, own).join(places, key).drop(key).repartitionById(tasks, F.col(task)).drop(task), root, table, run)
         if large:
-            cuts: list[Column] = [*(F.col(c) for c in (*PARTS, *keys_of(table))), *(F.asc_nulls_last(c) for c in table.order if c != table.date), F.xxhash64(*df.columns)]
-            _write(out.where(among(large)).repartitionByRange(sum(-(-n // rows_per_file) for n in large.values()), *cuts), root, table)
+            cuts: list[Column] = [*(F.col(c) for c in (table.date, *table.split)), *(F.asc_nulls_last(c) for c in table.order if c != table.date), F.xxhash64(*df.columns)]
+            among = own.isin(["/".join(k) for k in large])
+            _write(df.where(among).repartitionByRange(sum(-(-n // rows_per_file) for n in large.values()), *cuts), root, table, run)
         snapshots.publish(spark, root, before, run, todo)
         snapshots.forget(spark, root, keys_of(table))
     return sorted((*k, n, k not in done) for k, n in counts.items())
