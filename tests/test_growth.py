@@ -8,6 +8,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidemark import queries
+from tidemark.functions import coerce
 from tidemark.schemas import Table
 from tidemark.sources import days
 from tidemark.sources.compiled import LIMIT
@@ -40,6 +41,24 @@ def test_packed_days():
     assert dict(found) == {"a": 0, "b/X": 1, "c": 1, "d": 0}
 
 
+def test_order_is_judged_without_paths(spark, monkeypatch):
+    """What the window holds of a row's file is its name."""
+    seen = []
+    frame = type(spark.range(0))
+    before = frame.withColumns
+    monkeypatch.setattr(frame, "withColumns", lambda self, columns: seen.append(before(self, columns)) or seen[-1])
+    assert queries.weights_order(spark, SMALL).agg(F.sum("n_late")).first()[0] == 0
+    files = next(df for df in seen if "file" in df.columns).select("file").distinct().collect()
+    assert files and all("/" not in r["file"] for r in files)
+
+
+def test_numbers_long_and_short(spark):
+    """Plain numbers go past the test of size; three hundred digits and more, and exponents, do not."""
+    texts = {"1": 1.0, " -2.50 ": -2.5, "+.5": 0.5, "3.": 3.0, "9" * 300: 1e300, "9" * 301: 1e301, "9" * 400: None, "1e999": None, "1e3": 1000.0, "1d": None, "1.2.3": None, ".": None, "": None, "0x1p3": None, "nan": None, "--": None, "-inf": float("-inf")}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", coerce.number_or_null(F.col("t")).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in rows} == texts
+
+
 def test_days_are_written_by_compiled_code(spark, tmp_path, monkeypatch):
     seen, before, limit = [], DataFrameWriter.parquet, spark.conf.get(LIMIT)
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: seen.append(spark.conf.get(LIMIT)) or before(self, *a, **b))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FINITE = r"^\s*+[+-]?+(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?+\d++)?+\s*+$"  # nothing to go back to, so no part does
+PLAIN = r"^\s*+[+-]?+(?:\d{1,300}+(?:\.\d*+)?+|\.\d++)\s*+$"  # of these none is too large
 INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
 
@@ -15,7 +16,7 @@ def number_or_null(c: Column) -> Column:
     Where a value has several uses, name it in a projection first, so that it is parsed once."""
     text = c.cast("string")
     value = text.try_cast("double")
-    return F.when(text.rlike(FINITE), F.when(F.abs(value) < float("inf"), value)).when(text.rlike(INFINITE), value)
+    return F.when(text.rlike(PLAIN), value).when(text.rlike(FINITE), F.when(F.abs(value) < float("inf"), value)).when(text.rlike(INFINITE), value)
 
 
 def date_or_null(c: Column) -> Column:

@@ -513,7 +513,8 @@ def _in_order(spark: SparkSession, sf_dir: str, table: Table, rows: DataFrame) -
     """What each stored file looks like: rows by their place in it, and how many stand before a smaller one."""
     root = working_folder(spark)
     write_days(rows, root, table)
-    stored = read_days(spark, root, table).withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id()})
+    name = F.substring_index(F.input_file_name(), "/", -1)  # of one folder a day; whole paths would be most of what the window holds
+    stored = read_days(spark, root, table).withColumns({"file": name, "at": F.monotonically_increasing_id()})
     own = F.struct(*(x for k in table.order if k != table.date for x in (c(k).isNull(), c(k))))
     before = F.lag(own).over(Window.partitionBy(table.date, "file").orderBy("at"))
     placed = stored.select(c(table.date).alias("day"), "file", (before > own).alias("late"))

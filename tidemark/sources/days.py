@@ -55,8 +55,8 @@ def stored_days(spark: SparkSession, root: str, table: Table) -> DataFrame:
 
 def day_counts(df: DataFrame, table: Table) -> dict[tuple[str, ...], int]:
     """Rows of each day (and part): a row per day comes to the driver."""
-    key = [F.col(table.date).cast("string"), *(F.col(c) for c in table.split)]
-    return {tuple(r)[:-1]: r[-1] for r in df.where(F.col(table.date).isNotNull()).groupBy(*(k.alias(f"k{i}") for i, k in enumerate(key))).count().collect()}
+    counts = df.where(F.col(table.date).isNotNull()).groupBy(table.date, *table.split).agg(F.count("*").alias("n rows"))
+    return {tuple(r)[:-1]: r[-1] for r in counts.select(F.col(table.date).cast("string"), *table.split, "n rows").collect()}
 
 
 def packed(rows: dict[tuple[str, ...], int], tasks: int) -> list[tuple[str, int]]:
