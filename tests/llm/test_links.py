@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import jaccard, vectors
@@ -67,6 +69,37 @@ def test_jaccard_of_a_passage_and_a_family(table):
     assert got == brute(rows, 4, 85)
 
 
+def peak_mb(work):
+    tracemalloc.start()
+    work()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / 1e6
+
+
+def test_jaccard_memory_of_a_batch(table, monkeypatch):
+    """What a worker holds of one batch does not grow with the batch's text."""
+    steps, frame = {}, type(table([]))
+    run = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda docs, step, *rest: run(docs, steps.setdefault(step.__name__, step), *rest))
+    jaccard.jaccard_join(table([(k, "a text of six words twice") for k in range(2)] + [(2, "a text of six words once")]), width=4, percent=50)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(6000)), "text": [" ".join(f"w{k}x{j}" for j in range(500)) for k in range(6000)]})
+    list(steps["describe"]([batch.slice(0, 10)]))  # tables of powers stay
+    cls = pa.concat_arrays([b["cls"] for b in steps["describe"]([batch])])
+    asked = pa.RecordBatch.from_arrays([cls, batch["text"]], ["cls", "text"])
+    for step, rows in (("describe", batch), ("sampled", batch), ("tokens_of", asked)):
+        assert peak_mb(lambda: sum(b.num_rows for b in steps[step]([rows]))) < 12, step  # noqa: B023
+
+
+def test_jaccard_memory_of_a_product():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 2**63, 1400).astype(np.uint64)) for _ in range(48)]
+    asking = [sets[k % 48][: 100 + k] for k in range(256)]
+    got = []
+    assert peak_mb(lambda: got.append(jaccard.overlaps(asking, sets))) < 32
+    assert (got[0] == [[len(a) if k % 48 == j else 0 for j in range(48)] for k, a in enumerate(asking)]).all()
+
+
 def test_jaccard_of_odd_rows(table):
     rows = [r for r in ODD if r[0] is not None] + [(20, "ONE"), (21, "one two"), (22, "one two")]
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(table(rows), width=4, percent=85).collect())

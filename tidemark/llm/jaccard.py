@@ -26,7 +26,7 @@ from .components import components, roots
 from .shared import saved
 
 U64 = np.uint64
-SLICE = 1 << 16
+CELLS = 1 << 21  # of both matrices at once
 GROUP, QUERIES, LEVELS, KEYS, BROADCAST_ROWS = 48, 256, 4, 3, 500_000
 
 
@@ -49,6 +49,12 @@ def token_sets(column, width: int) -> list[np.ndarray]:
     return out
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows with the token sets of their texts; a worker holds one piece's sets at a time, not a batch's."""
+    for piece in text.pieces(batches):
+        yield piece, token_sets(piece["text"], width)
+
+
 def class_of(tokens: np.ndarray) -> int:
     """Number of the class of all equal sets: a hash of the set."""
     sums = np.array([text.mix(tokens).sum(dtype=U64), text.mix(tokens ^ U64(text.BASE)).sum(dtype=U64), len(tokens)], U64)
@@ -82,18 +88,22 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         return shared
 
     def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        """Rows and columns of the ones, by column."""
+        row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
         flat = np.concatenate(sets)
-        at = np.minimum(np.searchsorted(kinds, flat), len(kinds) - 1)
+        at = np.minimum(np.searchsorted(kinds, flat), len(kinds) - 1).astype(np.int32)
         known = kinds[at] == flat
-        return row[known], at[known]
+        row, at = row[known], at[known]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
 
     (a, x), (b, y) = cells(left), cells(right)
-    for lo in range(0, len(kinds), SLICE):
-        size = min(SLICE, len(kinds) - lo)
+    step = max(1, CELLS // (len(left) + len(right)))
+    for lo in range(0, len(kinds), step):
+        size = min(step, len(kinds) - lo)
         one, two = np.zeros((len(left), size), np.float32), np.zeros((len(right), size), np.float32)
         for matrix, row, at in ((one, a, x), (two, b, y)):
-            part = (at >= lo) & (at < lo + size)
+            part = slice(*np.searchsorted(at, [lo, lo + size]))
             matrix[row[part], at[part] - lo] = 1
         shared += one @ two.T
     return shared
@@ -140,22 +150,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     most = U64(min(2**64 - 1, 2 * (100 - percent) * 2**64 // 100))  # at this share of the hash range, half unshared is enough to tell
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = token_sets(batch["text"], width)
+        for batch, sets in pieces_of(batches, width):
             cls = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int64()), cls], ["id", "n", "cls"])
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = token_sets(batch["text"], width)
+        for _, sets in pieces_of(batches, width):
             some = [s[: np.searchsorted(s, most)] for s in sets]  # sets are sorted
             cls = np.repeat(np.array([class_of(s) if len(s) else 0 for s in sets], np.int64), [len(s) for s in some])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U64), *some]).view(np.int64)), pa.array(cls)], ["token", "cls"])
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only rows of the class that was asked for: a repeated id may have other texts."""
-        for batch in batches:
-            sets = token_sets(batch["text"], width)
+        for batch, sets in pieces_of(batches, width):
             own = [k for k, (s, c) in enumerate(zip(sets, batch["cls"].to_pylist(), strict=True)) if len(s) and class_of(s) == c]
             sets = [sets[k] for k in own]
             keys = pa.array([[least(s, k) for k in range(1, KEYS + 1)] for s in sets], pa.list_(pa.int64()))
